@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.plans import analytics_catalog, analytics_sql
+from riskloom.plans import analytics_catalog, analytics_sql, graph_catalog, graph_catalog_sql
 from riskloom.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,10 +23,12 @@ def _configured(query: Query) -> Query:
 def queries() -> dict[str, Query]:
     return {name: _configured(query) for name, query in {
         **analytics_catalog.QUERIES,
+        **graph_catalog.QUERIES,
     }.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         **analytics_sql.ORACLES,
+        **graph_catalog_sql.ORACLES,
     }
