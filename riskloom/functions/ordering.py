@@ -27,3 +27,19 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], colu
     joined = blocks.withColumn("_lag", F.lag(value).over(inside)).join(carried, ["_block", *keys], "left")
     previous = F.coalesce("_lag", "_carry")
     return joined.withColumns({f"prev_{c}": previous[c] for c in columns}).drop("_block", "_lag", "_carry")
+
+
+def with_running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Adds ``sum_<column>``: the running sum up to and including the row, within ``keys`` by ``order``.
+
+    Same block scheme: sums run inside a block and start from the total of the key's earlier blocks.
+    """
+    blocks = cut_lineage(
+        df.repartitionByRange(*keys, *order).withColumn("_block", F.spark_partition_id()))
+    inside = Window.partitionBy("_block", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = blocks.groupBy("_block", *keys).agg(*[F.sum(c).alias(c) for c in columns])
+    base = totals.select("_block", *keys, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_base_{c}") for c in columns])
+    return (blocks.join(base, ["_block", *keys])
+            .withColumns({f"sum_{c}": F.sum(c).over(inside) + F.col(f"_base_{c}") for c in columns})
+            .drop("_block", *[f"_base_{c}" for c in columns]))

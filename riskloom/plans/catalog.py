@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.plans import analytics_catalog, analytics_sql, graph_catalog, graph_catalog_sql
+from riskloom.plans import analytics_catalog, analytics_sql, graph_catalog, graph_catalog_sql, text_catalog
 from riskloom.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
     return {name: _configured(query) for name, query in {
         **analytics_catalog.QUERIES,
         **graph_catalog.QUERIES,
+        **text_catalog.QUERIES,
     }.items()}
 
 
