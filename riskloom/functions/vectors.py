@@ -51,3 +51,23 @@ def cosine(left: Column, right: Column) -> Column:
         return _masked(values, len(a), valid)
 
     return score(left, right)
+
+
+def cosine_to_many(queries: Sequence[Sequence[float]]) -> Callable[[Column], Column]:
+    """Similarities of an embedding column to a fixed, small set of query vectors, as an array."""
+    needles = np.asarray(queries, dtype=np.float64)
+    needles = needles / np.linalg.norm(needles, axis=1, keepdims=True)
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def score(vectors: pa.Array) -> pa.Array:
+        valid = vectors.is_valid().to_numpy(zero_copy_only=False)
+        values = np.full((len(vectors), len(needles)), np.nan)
+        if valid.any():
+            rows = _matrix(vectors.drop_null())
+            with np.errstate(invalid="ignore", divide="ignore"):
+                values[valid] = rows @ needles.T / np.linalg.norm(rows, axis=1, keepdims=True)
+        flat = values.ravel()
+        return pa.ListArray.from_arrays(
+            pa.array(np.arange(len(vectors) + 1) * len(needles), pa.int32()), pa.array(flat, mask=np.isnan(flat)))
+
+    return score

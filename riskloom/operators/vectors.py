@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.filters import matches
 from riskloom.functions.rounding import round_half_up
-from riskloom.functions.vectors import cosine, cosine_to
+from riskloom.functions.vectors import cosine, cosine_to, cosine_to_many
 from riskloom.graph import AuditGraph
 from riskloom.operators.patterns import chunks_of, expand_relationships, reachable
 
 MAX_CONTEXT_CHUNKS = 50
+MAX_QUERIES = 1000
 
 
 def vector_search(chunks: DataFrame, query: Sequence[float], k: int = 10,
@@ -44,6 +45,22 @@ def nearest_chunks(questions: DataFrame, chunks: DataFrame, k: int = 5,
             .filter(F.col("rank") <= k))
 
 
+def search_many(chunks: DataFrame, queries: Mapping[int, Sequence[float]], k: int = 5) -> DataFrame:
+    """The k nearest chunks for each of a bounded set of query vectors, in one pass over the chunks.
+
+    Every batch of embeddings is multiplied with the query matrix; only k rows per query and
+    partition go on to the ranking.
+    """
+    if len(queries) > MAX_QUERIES:
+        raise ValueError(f"At most {MAX_QUERIES} query vectors per pass, got {len(queries)}; use nearest_chunks")
+    ids = F.array(*[F.lit(q) for q in queries])
+    scores = cosine_to_many(list(queries.values()))(F.col("embedding"))
+    scored = chunks.select(F.col("id").alias("chunk_id"), F.posexplode(scores).alias("at", "score")).select(
+        F.get(ids, F.col("at")).alias("question_id"), "chunk_id", "score")
+    best = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
+    return (scored.filter("score is not null").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k))
+
+
 def approximate_search(chunks: DataFrame, query: Sequence[float], k: int = 10, bucket_length: float = 1.0,
                        tables: int = 4, seed: int = 17) -> DataFrame:
     """Approximate top k: locality-sensitive hashing of unit vectors, ranked by exact distance.

@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.plans import analytics_catalog, analytics_sql, graph_catalog, graph_catalog_sql, text_catalog
+from riskloom.plans import analytics_catalog, analytics_sql, eval_catalog, graph_catalog, graph_catalog_sql, text_catalog, text_sql
 from riskloom.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         **analytics_catalog.QUERIES,
         **graph_catalog.QUERIES,
         **text_catalog.QUERIES,
+        **eval_catalog.QUERIES,
     }.items()}
 
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         **analytics_sql.ORACLES,
         **graph_catalog_sql.ORACLES,
+        **text_sql.ORACLES,
     }

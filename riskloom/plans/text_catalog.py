@@ -121,7 +121,7 @@ QUERIES: dict[str, Query] = {
     "t12_split_segments": lambda s, d: chunk_rows(whole_text_pieces(s, d)),
     "t15_fixed_size_chunks": lambda s, d: ch.fixed_size_chunks(read_table(s, d, "documents").select("doc_id", "text")).select(
         "doc_id", "text", *[F.col(c).cast("bigint").alias(c) for c in
-                            ("chunk_index", "tokens", "line_start", "line_end", "start_char", "end_char")]),
+                            ("chunk_index", "tokens", "line_start", "line_end")]),
     "t16_element_types": lambda s, d: ch.text_elements(marked_texts(s, d, "fps").withColumn("text", F.regexp_replace("text", r"\n", "\n\n"))).select(
         "doc_id", F.col("position").cast("bigint").alias("position"), "type"),
     "t17_page_furniture": lambda s, d: read_table(s, d, "documents").select(
