@@ -25,14 +25,16 @@ UNKNOWN_REFERENCE = "?"
 # --- parsing --------------------------------------------------------------------------
 
 def parse_responses(raw: DataFrame) -> DataFrame:
-    keep = [c for c in raw.columns if c != "response"]
-    return raw.select(*keep, F.from_json("response", schemas.EXTRACTION_RESPONSE).alias("r"))
+    """Adds the parsed response as ``r``; the row parsers below do so themselves where it is missing."""
+    if "r" in raw.columns:
+        return raw
+    return raw.withColumn("r", F.from_json("response", schemas.EXTRACTION_RESPONSE))
 
 
 def parse_entities(raw: DataFrame) -> DataFrame:
     """One row per extracted entity; a missing list yields none."""
     rows = parse_responses(raw)
-    keep = [c for c in rows.columns if c != "r"]
+    keep = [c for c in rows.columns if c not in ("r", "response")]
     return rows.select(*keep, F.posexplode("r.entities").alias("ordinal", "e")).select(
         *keep, "ordinal", F.col("e.entityType").alias("entity_type"), F.col("e.properties").alias("properties"),
         F.col("e.confidence").alias("confidence"), F.col("e.sourceReference.section").alias("section"),
@@ -42,7 +44,7 @@ def parse_entities(raw: DataFrame) -> DataFrame:
 def parse_relationships(raw: DataFrame) -> DataFrame:
     """One row per extracted relationship; a missing list yields none."""
     rows = parse_responses(raw)
-    keep = [c for c in rows.columns if c != "r"]
+    keep = [c for c in rows.columns if c not in ("r", "response")]
     return rows.select(*keep, F.posexplode("r.relationships").alias("ordinal", "e")).select(
         *keep, "ordinal", F.col("e.from").alias("from_ref"), F.col("e.to").alias("to_ref"),
         F.col("e.type").alias("rel_type"), F.col("e.confidence").alias("confidence"),

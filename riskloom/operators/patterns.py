@@ -52,20 +52,26 @@ def entities_by_ids(graph: AuditGraph, ids: DataFrame | Sequence[str]) -> DataFr
     return graph.entities().filter(F.col("id").isin(list(ids))).select("id", "type")
 
 
+def hops(graph: AuditGraph, rel_types: Sequence[str] = (), direction: str = "both") -> DataFrame:
+    """Edges seen from a node: (id, neighbour_id, neighbour_type, rel_type, src, dst, direction).
+
+    Both directions come from one scan of the edges.
+    """
+    views = {
+        "out": F.struct(F.col("src").alias("id"), F.col("dst").alias("neighbour_id"), F.col("dst_label").alias("neighbour_type"),
+                        F.lit("out").alias("direction")),
+        "in": F.struct(F.col("dst").alias("id"), F.col("src").alias("neighbour_id"), F.col("src_label").alias("neighbour_type"),
+                       F.lit("in").alias("direction")),
+    }
+    chosen = list(views.values()) if direction == "both" else [views[direction]]
+    return graph.edges(*rel_types).select("src", "dst", "rel_type", F.inline(F.array(*chosen))).select(
+        "id", "neighbour_id", "neighbour_type", "rel_type", "src", "dst", "direction")
+
+
 def expand_relationships(graph: AuditGraph, seeds: DataFrame, rel_types: Sequence[str] = (),
                          direction: str = "both") -> DataFrame:
-    """Edges touching the seed ids: (id, neighbour_id, neighbour_type, rel_type, src, dst, direction)."""
-    edges = graph.edges(*rel_types)
-    ends = {
-        "out": edges.select(F.col("src").alias("id"), F.col("dst").alias("neighbour_id"),
-                            F.col("dst_label").alias("neighbour_type"), "rel_type", "src", "dst",
-                            F.lit("out").alias("direction")),
-        "in": edges.select(F.col("dst").alias("id"), F.col("src").alias("neighbour_id"),
-                           F.col("src_label").alias("neighbour_type"), "rel_type", "src", "dst",
-                           F.lit("in").alias("direction")),
-    }
-    hops = ends["out"].unionByName(ends["in"]) if direction == "both" else ends[direction]
-    return hops.join(seeds.select("id").distinct(), "id", "left_semi")
+    """The hops that start at one of the seed ids."""
+    return hops(graph, rel_types, direction).join(seeds.select("id").distinct(), "id", "left_semi")
 
 
 def expanded_entities(expansion: DataFrame) -> DataFrame:
@@ -82,9 +88,9 @@ def reachable(graph: AuditGraph, seeds: DataFrame, depth: int = 1, rel_types: Se
                          F.lit(0).alias("depth"))
     frontier = found
     for step in range(1, depth + 1):
-        hops = expand_relationships(graph, frontier, rel_types).select("id", "neighbour_id", "neighbour_type")
+        onward = hops(graph, rel_types).select("id", "neighbour_id", "neighbour_type")
         frontier = (
-            frontier.select("seed_id", "id").join(hops, "id")
+            frontier.select("seed_id", "id").join(onward, "id")
             .select("seed_id", F.col("neighbour_id").alias("id"), F.col("neighbour_type").alias("type")).distinct()
             .join(found.select("seed_id", "id"), ["seed_id", "id"], "left_anti")
             .withColumn("depth", F.lit(step)))

@@ -15,6 +15,7 @@ from riskloom.functions.rounding import round_half_up
 from riskloom.functions.vectors import cosine, cosine_to, cosine_to_many
 from riskloom.graph import AuditGraph
 from riskloom.operators.patterns import chunks_of, expand_relationships, reachable
+from riskloom.session import cut_lineage
 
 MAX_CONTEXT_CHUNKS = 50
 MAX_QUERIES = 1000
@@ -91,7 +92,8 @@ def semantic_search(graph: AuditGraph, query: Sequence[float], k: int = 10, dept
         F.col("id").alias("chunk_id"), "graph_node_id", "score",
         F.coalesce("semantic_type", F.lit("unknown")).alias("semantic_type"), F.coalesce("context", F.lit("")).alias("context"))
     owners = graph.entities().select(F.col("id").alias("entity_id"), F.col("type").alias("entity_type"))
-    hits = hits.join(owners, F.col("graph_node_id") == F.col("entity_id"), "left")
+    # k rows, read again by every hop of the expansion.
+    hits = cut_lineage(hits.join(owners, F.col("graph_node_id") == F.col("entity_id"), "left"))
     related = reachable(graph, hits.filter("entity_id is not null").select(F.col("entity_id").alias("id")), depth)
     related = related.select(F.col("seed_id").alias("entity_id"), F.col("id").alias("related_id"),
                              F.col("type").alias("related_type"), "depth").filter("entity_id <> related_id")

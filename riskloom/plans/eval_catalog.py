@@ -8,23 +8,24 @@ from pyspark.sql import functions as F
 from riskloom.graph import AuditGraph
 from riskloom.operators import evaluate as ev
 from riskloom.operators import vectors as vec
-from riskloom.operators.patterns import expand_relationships
+from riskloom.operators.patterns import hops
 from riskloom.plans.analytics_catalog import Query, on_graph
+from riskloom.session import cut_lineage
 from riskloom.sources import ground_truth as gt
-from riskloom.sources.star_schema import read_table
+from riskloom.sources.star_schema import read_table, read_texts
 
 TOP_K = 5
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text"))
+    return read_texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text"))
 
 
 def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One question per document about two of its lines; some are deliberately invalid."""
     doc = F.col("doc_id")
     types = F.array(F.lit("factoid"), F.lit("contextual"), F.lit("multi-span"), F.lit("riddle"))
-    return read_table(spark, sf_dir, "documents").select(
+    return read_texts(spark, sf_dir).select(
         doc.alias("question_id"), doc.alias("document_id"),
         F.when(doc % 11 == 5, " short? ").otherwise(F.concat(F.lit("What does it say in document "), doc)).alias("question"),
         F.element_at(types, (doc % 4 + 1).cast("int")).alias("type"),
@@ -78,7 +79,7 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preserved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"))
+    documents = read_texts(spark, sf_dir).select(F.col("doc_id").alias("document_id"))
     return _rounded(ev.preservation(documents, findings(spark, sf_dir)))
 
 
@@ -102,36 +103,37 @@ def question_vectors(graph: AuditGraph) -> dict[int, list[float]]:
     return {ids[r.id]: list(r.embedding) for r in sorted(rows, key=lambda r: ids[r.id])}
 
 
-def retrieved_entities(graph: AuditGraph) -> DataFrame:
-    """Owners of each question's nearest chunks and their direct neighbours."""
+def question_hits(graph: AuditGraph) -> DataFrame:
+    """(question_id, graph_node_id, text) of the chunks found for the twenty questions."""
     hits = vec.search_many(graph.chunks, question_vectors(graph), TOP_K).select("question_id", F.col("chunk_id").alias("id"))
-    owners = hits.join(graph.chunks.select("id", "graph_node_id"), "id").select("question_id", F.col("graph_node_id").alias("id")).distinct()
-    near = owners.join(expand_relationships(graph, owners).select("id", "neighbour_id"), "id").select(
-        "question_id", F.col("neighbour_id").alias("id"))
-    return owners.unionByName(near).distinct()
+    return cut_lineage(hits.join(graph.chunks.select("id", "graph_node_id", F.col("chunk_text").alias("text")), "id"))
 
 
-def retrieved_texts(graph: AuditGraph) -> DataFrame:
-    hits = vec.search_many(graph.chunks, question_vectors(graph), TOP_K).select("question_id", F.col("chunk_id").alias("id"))
-    return hits.join(graph.chunks.select("id", F.col("chunk_text").alias("text")), "id").select("question_id", "text")
+def retrieved_entities(graph: AuditGraph, hits: DataFrame) -> DataFrame:
+    """Owners of each question's nearest chunks and their direct neighbours."""
+    owners = hits.select("question_id", F.col("graph_node_id").alias("id")).distinct()
+    near = owners.join(hops(graph).select("id", "neighbour_id"), "id").select("question_id", F.col("neighbour_id").alias("id"))
+    return owners.unionByName(near).distinct()
 
 
-def entity_scores(graph: AuditGraph) -> DataFrame:
-    return _rounded(ev.entity_scores(gt.questions(graph.spark), ev.expected_entities(graph), retrieved_entities(graph)))
+def entity_scores(graph: AuditGraph, hits: DataFrame | None = None) -> DataFrame:
+    found = retrieved_entities(graph, question_hits(graph) if hits is None else hits)
+    return _rounded(ev.entity_scores(gt.questions(graph.spark), ev.expected_entities(graph), found))
 
 
-def coverage_scores(graph: AuditGraph) -> DataFrame:
+def coverage_scores(graph: AuditGraph, hits: DataFrame | None = None) -> DataFrame:
     """Coverage of the twenty questions, with frequent letter groups added to their keywords."""
     extra = gt.questions(graph.spark).select("question_id", F.explode(F.array(*[F.lit(k) for k in ("THE", "ción", "eau", "der")])).alias("keyword"))
-    return _rounded(ev.keyword_coverage(gt.keywords(graph.spark).unionByName(extra), retrieved_texts(graph)))
+    return _rounded(ev.keyword_coverage(gt.keywords(graph.spark).unionByName(extra), question_hits(graph) if hits is None else hits))
 
 
 def summary(graph: AuditGraph) -> DataFrame:
-    return ev.category_means(entity_scores(graph).join(coverage_scores(graph), "question_id"))
+    hits = question_hits(graph)
+    return ev.category_means(entity_scores(graph, hits).join(coverage_scores(graph, hits), "question_id"))
 
 
 QUERIES: dict[str, Query] = {
-    "e01_valid_questions": lambda s, d: ev.valid_questions(golden(s, d), read_table(s, d, "documents").select(
+    "e01_valid_questions": lambda s, d: ev.valid_questions(golden(s, d), read_texts(s, d).select(
         F.col("doc_id").alias("document_id"), F.size(F.split("text", "\n")).alias("line_count"))).select(
         "question_id", "type", F.size("expected_facts").cast("bigint").alias("facts")),
     "e02_relevance": lambda s, d: ev.relevance(retrieved(s, d), golden(s, d)).select(

@@ -17,7 +17,7 @@ from riskloom.plans.analytics_catalog import Query, on_graph
 from riskloom.session import cut_lineage
 from riskloom.sources import files
 from riskloom.sources.event_extractions import event_extractions, stored_failure_modes
-from riskloom.sources.star_schema import load_graph, read_table
+from riskloom.sources.star_schema import load_graph, read_table, read_texts
 
 AS_OF = "2000-01-01"
 QUERY_CHUNK = "chk-7"
@@ -115,8 +115,8 @@ class Ingestion:
     """The stages of one ingestion run, each lazily derived from the one before."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        # Every stage below reads the responses; keep them as the stored table they would be.
-        self.raw = cut_lineage(event_extractions(spark, sf_dir))
+        # Every stage below reads the responses: parse once and keep them as the table they would be.
+        self.raw = cut_lineage(ing.parse_responses(event_extractions(spark, sf_dir)))
         self.parsed_entities = ing.parse_entities(self.raw)
         self.parsed_relationships = ing.parse_relationships(self.raw)
         self.entities = ing.validate_entities(self.parsed_entities)
@@ -126,7 +126,7 @@ class Ingestion:
 
     def resolved(self) -> DataFrame:
         existing = self._stored.withColumn("fingerprint", ing.content_fingerprint())
-        return ing.resolve_entities(ing.accepted(self.parsed_entities, self.verdicts), existing)
+        return ing.resolve_entities(cut_lineage(ing.accepted(self.parsed_entities, self.verdicts)), existing)
 
     def links(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         resolved = cut_lineage(self.resolved())
@@ -186,7 +186,7 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table as files: names and texts that carry type phrases."""
     doc = F.col("doc_id")
     pick = lambda values, key: F.element_at(F.array(*[F.lit(v) for v in values]), (key % len(values) + 1).cast("int"))
-    return read_table(spark, sf_dir, "documents").select(
+    return read_texts(spark, sf_dir).select(
         F.concat(pick(NAMES, doc), F.lit(" "), doc, F.lit(".txt")).alias("name"),
         F.concat("text", pick(PHRASES, F.floor(doc / 2))).alias("text"), F.sha2("text", 256).alias("content_hash"),
         doc.alias("doc_id"), "lang", "source")
@@ -220,7 +220,7 @@ def workbook_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-sheet workbook texts: every text line becomes a CSV row led by its first letter."""
     body = F.regexp_replace(F.regexp_replace("text", r"\. ", ","), r"(^|\n)(.)", "$1$2,\"$2, x\",$2")
     head = F.lit("Process,Quoted,Cause,Effect\n")
-    return read_table(spark, sf_dir, "documents").select(
+    return read_texts(spark, sf_dir).select(
         "doc_id", F.concat(F.lit("--- Sheet: "), "source", F.lit(" ---\n"), head, body,
                            F.lit("\n--- Sheet: notes ---\nProcess,Note\n"), "lang", F.lit(",ok\n,\n"), "source", F.lit(",end")).alias("text"))
 
@@ -260,7 +260,7 @@ OPEN_HIGH = """
 
 QUERIES: dict[str, Query] = {
     # records
-    "s03_content_hash": lambda s, d: read_table(s, d, "documents").select("doc_id", files.content_hash(F.col("text")).alias("content_hash")),
+    "s03_content_hash": lambda s, d: read_texts(s, d).select("doc_id", files.content_hash(F.col("text")).alias("content_hash")),
     "s04_storage_name": on_graph(stored_names),
     "s05_workbook_rows": workbook_cells,
     "s06_entities": on_ingestion(entity_rows),

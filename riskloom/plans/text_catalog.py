@@ -15,7 +15,7 @@ from riskloom.operators import chunk as ch
 from riskloom.operators import segment as sg
 from riskloom.plans.analytics_catalog import Query
 from riskloom.plans.graph_catalog import workbook_texts
-from riskloom.sources.star_schema import read_table
+from riskloom.sources.star_schema import read_texts
 
 VOWEL_LINE = r"\n([AEIOU])"
 # document type -> (lines before the text, replacement for VOWEL_LINE)
@@ -39,14 +39,14 @@ def filled(template: str):
 
 def marked_texts(spark: SparkSession, sf_dir: str, document_type: str) -> DataFrame:
     head, mark = MARKS[document_type]
-    return read_table(spark, sf_dir, "documents").select(
+    return read_texts(spark, sf_dir).select(
         "doc_id", F.concat(filled(head), F.regexp_replace("text", VOWEL_LINE, mark)).alias("text"))
 
 
 def markdown_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text line becomes a section of its own under a heading."""
     body = F.regexp_replace("text", r"\n", "\n\n## part\n\n")
-    return read_table(spark, sf_dir, "documents").select(
+    return read_texts(spark, sf_dir).select(
         "doc_id", F.concat(F.lit("# "), "source", F.lit("\n\n"), body).alias("text"))
 
 
@@ -57,14 +57,14 @@ def typed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(kind == "fmea", F.col("sheet"))
     for name, (head, mark) in MARKS.items():
         text = text.when(kind == name, F.concat(filled(head), F.regexp_replace("text", VOWEL_LINE, mark)))
-    return read_table(spark, sf_dir, "documents").join(sheet, "doc_id").select(
+    return read_texts(spark, sf_dir).join(sheet, "doc_id").select(
         F.col("doc_id").cast("string").alias("document_id"), kind.alias("document_type"),
         text.otherwise(F.col("text")).alias("text"))
 
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document lines as typed elements: short lines are titles, lines with a digit tables."""
-    lines = read_table(spark, sf_dir, "documents").select(
+    lines = read_texts(spark, sf_dir).select(
         F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("position", "text"))
     return lines.withColumns({
         "type": F.when(F.length("text") < 60, "Title").when(F.rlike("text", F.lit("[0-9]")), "Table").otherwise("NarrativeText"),
@@ -88,7 +88,7 @@ def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def whole_text_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as one segment each, split to size."""
-    docs = read_table(spark, sf_dir, "documents").select(
+    docs = read_texts(spark, sf_dir).select(
         F.col("doc_id").cast("string").alias("document_id"), F.lit(0).alias("segment_index"), "text",
         F.lit("generic").alias("document_type"), F.lit("text").alias("semantic_type"), F.col("source").alias("context"))
     return ch.split_segments(docs, max_tokens=SPLIT_TOKENS, overlap_tokens=SPLIT_OVERLAP)
@@ -97,7 +97,7 @@ def whole_text_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line range of every document's longest line, found again in the whole text."""
     longest = F.element_at(F.array_sort(F.transform(F.split("text", "\n"), lambda s: F.struct(F.length(s).alias("n"), s.alias("s")))), -1)["s"]
-    return read_table(spark, sf_dir, "documents").withColumn("at", locate_lines(F.col("text"), longest)).select(
+    return read_texts(spark, sf_dir).withColumn("at", locate_lines(F.col("text"), longest)).select(
         "doc_id", F.col("at.line_start").cast("bigint").alias("line_start"), F.col("at.line_end").cast("bigint").alias("line_end"))
 
 
@@ -110,7 +110,7 @@ QUERIES: dict[str, Query] = {
     "t01_chunk_documents": lambda s, d: chunk_rows(chunked(s, d)),
     "t02_chunk_statistics": lambda s, d: ch.chunk_job_statistics(chunked(s, d)),
     "t03_segment_generic": lambda s, d: rows(sg.segment_generic(markdown_texts(s, d))),
-    "t03_segment_paragraphs": lambda s, d: rows(sg.segment_generic(read_table(s, d, "documents").select("doc_id", "text"))),
+    "t03_segment_paragraphs": lambda s, d: rows(sg.segment_generic(read_texts(s, d).select("doc_id", "text"))),
     "t04_segment_fmea": lambda s, d: rows(sg.segment_fmea(workbook_texts(s, d), key="doc_id")),
     "t05_segment_ipar": lambda s, d: rows(sg.segment_ipar(marked_texts(s, d, "ipar"))),
     "t06_segment_hira": lambda s, d: rows(sg.segment_hira(marked_texts(s, d, "hira"))),
@@ -119,16 +119,16 @@ QUERIES: dict[str, Query] = {
         {c: F.col(c).cast("bigint") for c in ("first_position", "page")}),
     "t09_segment_fps": lambda s, d: rows(sg.segment_fps(marked_texts(s, d, "fps"))),
     "t12_split_segments": lambda s, d: chunk_rows(whole_text_pieces(s, d)),
-    "t15_fixed_size_chunks": lambda s, d: ch.fixed_size_chunks(read_table(s, d, "documents").select("doc_id", "text")).select(
+    "t15_fixed_size_chunks": lambda s, d: ch.fixed_size_chunks(read_texts(s, d).select("doc_id", "text")).select(
         "doc_id", "text", *[F.col(c).cast("bigint").alias(c) for c in
                             ("chunk_index", "tokens", "line_start", "line_end")]),
     "t16_element_types": lambda s, d: ch.text_elements(marked_texts(s, d, "fps").withColumn("text", F.regexp_replace("text", r"\n", "\n\n"))).select(
         "doc_id", F.col("position").cast("bigint").alias("position"), "type"),
-    "t17_page_furniture": lambda s, d: read_table(s, d, "documents").select(
+    "t17_page_furniture": lambda s, d: read_texts(s, d).select(
         "doc_id", ch.is_page_header(F.concat(F.lit("Página 3\nCorporativo\n"), F.when(F.col("lang") == "en", "Instruções\n").otherwise(""), "text")).alias("header"),
         ch.is_page_footer(F.element_at(F.split("text", " "), -1)).alias("footer")),
     "t18_outline": outline_rows,
     "t18_keyword_frequencies": lambda s, d: ch.keyword_frequencies(
-        read_table(s, d, "documents").select(F.concat(F.regexp_replace("text", VOWEL_LINE, "\nRiscos e perigo, Controles$1 "), F.lit(" objetivo")).alias("text"))),
+        read_texts(s, d).select(F.concat(F.regexp_replace("text", VOWEL_LINE, "\nRiscos e perigo, Controles$1 "), F.lit(" objetivo")).alias("text"))),
     "t19_chunk_locations": chunk_locations,
 }

@@ -96,7 +96,7 @@ _IPAR = _hazard_sql(
     "'Perigo: ' || hz || coalesce(' (' || cl || ')', '')", ("ipar_paragraph", "Parágrafo"))
 _HIRA = _hazard_sql(
     _HIRA_TEXT, _HIRA_HAZARDS, ("area|department|setor|área", "activity|task|atividade|tarefa"), "f2", "'HIRA: ' || f1 || ' - ' || f2", "hira_header", "Header",
-    "'Area: ' || f1 || ' | Activity: work ' || f2",
+    "'Area: ' || f1 || ' | Activity: ' || f2",
     f"coalesce({_first_word('t', _HIRA_HAZARDS)}, 'Unidentified') AS hz, "
     f"nullif(concat_ws(' / ', {_first_word('t', _HIRA_SEVERITIES)}, {_first_word('t', _HIRA_LIKELIHOODS)}), '') AS cl",
     ("hira_hazard_block", "'Hazard: ' || hz || coalesce(' | Risk: ' || cl, '') || chr(10) || chr(10) || t"),

@@ -23,6 +23,16 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Puts every core to work on costly per-row expressions.
+
+    A scan of fewer file splits than cores is redistributed once; a scan with enough splits, as
+    large tables have, stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the cluster's shared folder (a temporary one only if none is named)."""
     context = df.sparkSession.sparkContext

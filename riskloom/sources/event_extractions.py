@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.session import spread
 from riskloom.sources.star_schema import read_table
 
 
@@ -51,7 +52,7 @@ def event_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.when((kind == "click") & (value > 90), "IMPLIES").otherwise("MITIGATES")),
         relationship(F.concat(F.lit("Audit:"), day), F.concat(F.lit("Document:doc-"), _text("event_id")), F.lit("USES")),
     )
-    return read_table(spark, sf_dir, "events").select(
+    return spread(read_table(spark, sf_dir, "events")).select(
         F.concat(F.lit("doc-"), _text("event_id")).alias("document_id"),
         F.concat(F.lit("model-"), user % 3).alias("model_used"), F.col("ts").alias("extracted_at"),
         F.to_json(F.struct(entities.alias("entities"), relationships.alias("relationships"))).alias("response"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from riskloom import schemas
 from riskloom.graph import AuditGraph
+from riskloom.session import spread
 
 EPOCH = "2024-01-01"
 
@@ -20,6 +21,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table, spread for per-document text work."""
+    return spread(read_table(spark, sf_dir, "documents"))
+
+
 def _pick(values: tuple[str, ...], key: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (key % len(values) + 1).cast("int"))
 
@@ -152,11 +158,13 @@ def load_graph(spark: SparkSession, sf_dir: str) -> AuditGraph:
             none.alias("location"), none.alias("root_cause"), none.alias("process_id"),
         )
 
-    def line_pairs(condition: str, src: Column, dst: Column) -> DataFrame:
-        return t("lineitem").filter(condition).select(src.alias("src"), dst.alias("dst")).distinct()
+    def line_pairs(condition: str, src: tuple[str, str], dst: tuple[str, str]) -> DataFrame:
+        # Numbers are cheaper to make distinct than the ids built from them.
+        pairs = t("lineitem").filter(condition).select(src[1], dst[1]).distinct()
+        return pairs.select(_key(*src).alias("src"), _key(*dst).alias("dst"))
 
     def identifies() -> DataFrame:
-        pairs = line_pairs("true", _key("doc", "l_orderkey"), _key("fm", "l_partkey"))
+        pairs = line_pairs("true", ("doc", "l_orderkey"), ("fm", "l_partkey"))
         return _edges(pairs, "IDENTIFIES", "Document", "FailureMode")
 
     def implies() -> DataFrame:
@@ -167,9 +175,9 @@ def load_graph(spark: SparkSession, sf_dir: str) -> AuditGraph:
 
     def mitigates() -> DataFrame:
         on_mode = line_pairs("l_returnflag = 'R' and l_linenumber = 1",
-                             _key("ctl", "l_suppkey"), _key("fm", "l_partkey"))
+                             ("ctl", "l_suppkey"), ("fm", "l_partkey"))
         on_risk = line_pairs("l_returnflag = 'A' and l_linenumber = 2 and l_quantity >= 40",
-                             _key("ctl", "l_suppkey"), _key("risk", "l_partkey"))
+                             ("ctl", "l_suppkey"), ("risk", "l_partkey"))
         return _edges(on_mode, "MITIGATES", "Control", "FailureMode").unionByName(
             _edges(on_risk, "MITIGATES", "Control", "Risk"))
 
@@ -195,7 +203,7 @@ def load_graph(spark: SparkSession, sf_dir: str) -> AuditGraph:
 
     def satisfies(rel_type: str, line_status: str) -> DataFrame:
         pairs = line_pairs(f"l_linenumber = 3 and l_quantity >= 40 and l_linestatus = '{line_status}'",
-                           _key("doc", "l_orderkey"), _key("req", "l_partkey"))
+                           ("doc", "l_orderkey"), ("req", "l_partkey"))
         return _edges(pairs, rel_type, "Document", "Requirement")
 
     def addresses() -> DataFrame:
