@@ -176,9 +176,10 @@ def accepted(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
 def resolve_entities(entities: DataFrame, existing: DataFrame) -> DataFrame:
     """Gives every candidate an entity id and an action: created, found_identical, created_version.
 
-    ``existing``: latest versions as (id, entity_type, business_key, fingerprint). Within a batch
-    each distinct content of a key is one version, in order of first appearance; candidates with
-    equal content share it, so ingesting a batch again changes nothing.
+    ``existing``: stored versions as (id, entity_type, business_key, fingerprint[, is_latest]); without
+    the flag every row is the latest of its key. Within a batch each distinct content of a key is one
+    version, in order of first appearance; candidates with equal content share it and stored content
+    is found again, so ingesting a batch a second time changes nothing.
     """
     own_id = F.concat(F.lit("ent-"), F.substring(F.sha2(F.concat_ws(
         "|", "entity_type", "business_key", "document_id", F.col("ordinal").cast("string")), 256), 1, 24))
@@ -189,22 +190,27 @@ def resolve_entities(entities: DataFrame, existing: DataFrame) -> DataFrame:
         F.min(F.struct("document_id", "ordinal", "own_id")).alias("first"))
     contents = contents.select("entity_type", "business_key", "fingerprint", F.col("first.document_id").alias("first_doc"),
                                F.col("first.ordinal").alias("first_ordinal"), F.col("first.own_id").alias("version_id"))
-    stored = existing.select("entity_type", "business_key", F.col("id").alias("stored_id"), F.col("fingerprint").alias("stored_print"))
-    contents = contents.join(stored, ["entity_type", "business_key"], "left")
-    known = F.coalesce(F.col("stored_print") == F.col("fingerprint"), F.lit(False))
-    fresh = with_previous(contents.filter(~known), ["entity_type", "business_key"], ["first_doc", "first_ordinal"], ["version_id"])
+    if "is_latest" not in existing.columns:
+        existing = existing.withColumn("is_latest", F.lit(True))
+    stored = existing.groupBy("entity_type", "business_key", "fingerprint").agg(F.min("id").alias("stored_id"))
+    latest = existing.filter("is_latest").groupBy("entity_type", "business_key").agg(F.min("id").alias("latest_id"))
+    contents = contents.join(stored, ["entity_type", "business_key", "fingerprint"], "left").join(
+        latest, ["entity_type", "business_key"], "left")
+    fresh = with_previous(contents.filter("stored_id is null"), ["entity_type", "business_key"],
+                          ["first_doc", "first_ordinal"], ["version_id"])
     versions = fresh.select(
-        "entity_type", "business_key", "fingerprint", "version_id",
-        F.coalesce("prev_version_id", "stored_id").alias("supersedes_id")).unionByName(
-        contents.filter(known).select("entity_type", "business_key", "fingerprint", F.col("stored_id").alias("version_id"),
-                                      F.lit(None).cast("string").alias("supersedes_id")))
+        "entity_type", "business_key", "fingerprint", "version_id", F.lit(True).alias("is_new"),
+        F.coalesce("prev_version_id", "latest_id").alias("supersedes_id")).unionByName(
+        contents.filter("stored_id is not null").select(
+            "entity_type", "business_key", "fingerprint", F.col("stored_id").alias("version_id"),
+            F.lit(False).alias("is_new"), F.lit(None).cast("string").alias("supersedes_id")))
     resolved = candidates.filter(versioned).join(versions, ["entity_type", "business_key", "fingerprint"])
-    is_first = F.col("version_id") == F.col("own_id")
+    is_first = F.col("is_new") & (F.col("version_id") == F.col("own_id"))
     created = resolved.withColumns({
         "action": F.when(~is_first, "found_identical").when(F.col("supersedes_id").isNotNull(), "created_version").otherwise("created"),
         "entity_id": F.col("version_id"),
         "supersedes_id": F.when(is_first, F.col("supersedes_id")),
-    })
+    }).drop("is_new")
     always = candidates.filter(~versioned).withColumns({
         "version_id": F.col("own_id"), "supersedes_id": F.lit(None).cast("string"),
         "action": F.lit("created"), "entity_id": F.col("own_id")})
