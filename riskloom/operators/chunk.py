@@ -16,7 +16,7 @@ from riskloom.operators.segment import segment_documents
 MAX_TOKENS, OVERLAP_TOKENS = 8192, 100
 FIXED_TOKENS, FIXED_OVERLAP = 512, 50
 CHARS_PER_TOKEN = 4
-MAX_SPLIT_DEPTH = 6
+MAX_SPLIT_DEPTH = 4
 
 # --- fixed values: inspection vocabularies and patterns --------------------------------------------
 SAFETY_KEYWORDS = (

@@ -26,7 +26,7 @@ _E = """SELECT 'doc-' || event_id AS document_id, 'model-' || (user_id % 3) AS m
       'FM-' || user_id AS code, strftime(ts, '%Y-%m-%d') AS day,
       CASE WHEN event_type = 'error' AND value > 50 THEN '' ELSE 'Sec ' || (event_id % 5) END AS section FROM events"""
 _ENT = """
-    SELECT document_id, 0 AS ordinal, 'FailureMode' AS entity_type, CAST(CASE WHEN value < 2 THEN 0.65 ELSE 0.9 END AS DOUBLE) AS confidence, section,
+    SELECT document_id, CAST(0 AS BIGINT) AS ordinal, 'FailureMode' AS entity_type, CAST(CASE WHEN value < 2 THEN 0.65 ELSE 0.9 END AS DOUBLE) AS confidence, section,
       event_id % 9 + 1 AS page_number, code AS head_property, kind || ' failure' AS description FROM ev
     UNION ALL SELECT document_id, 1, CASE WHEN kind = 'purchase' AND value > 100 THEN 'Hazard' ELSE 'Risk' END, 0.8, section, event_id % 9 + 1,
       ['LOW','MEDIUM','HIGH','CRITICAL'][CAST(user_id % 4 + 1 AS INT)], kind || ' risk' FROM ev
@@ -34,7 +34,7 @@ _ENT = """
       ['PREVENTIVE','DETECTIVE','CORRECTIVE'][CAST(user_id % 3 + 1 AS INT)], CASE WHEN value <= 150 THEN 'control ' || user_id END FROM ev
     UNION ALL SELECT document_id, 3, 'Audit', 0.95, section, event_id % 9 + 1, day, NULL FROM ev"""
 _REL = """
-    SELECT document_id, 0 AS ordinal, 'FailureMode:' || code AS from_ref, 'Risk:' || kind || ' risk' AS to_ref,
+    SELECT document_id, CAST(0 AS BIGINT) AS ordinal, 'FailureMode:' || code AS from_ref, 'Risk:' || kind || ' risk' AS to_ref,
       CASE WHEN kind = 'view' AND value > 120 THEN 'BREAKS' ELSE 'IMPLIES' END AS rel_type, section FROM ev
     UNION ALL SELECT document_id, 1, 'Control:control ' || user_id,
       CASE WHEN kind = 'signup' AND value > 80 THEN 'FailureMode:none' ELSE 'FailureMode:' || code END,
@@ -192,7 +192,7 @@ ORACLES: dict[str, str] = {
         SELECT id, document_id FROM chunk WHERE document_id NOT IN (SELECT id FROM document WHERE document_type = 'fmea')"""),
     "s16_scan_chunks": with_graph("SELECT id, document_id, len(embedding) AS dimensions, length(chunk_text) AS chars FROM chunk"),
     "s18_extraction_log": _ingest("""
-        SELECT document_id, model, confidence_avg, 4 AS entity_count, 3 AS relationship_count,
+        SELECT document_id, model, confidence_avg, CAST(4 AS BIGINT) AS entity_count, CAST(3 AS BIGINT) AS relationship_count,
           CASE WHEN valid THEN 'success' ELSE 'failed' END AS status, first_error AS error_message
         FROM ev JOIN verdicts USING (document_id)
         JOIN (SELECT document_id, round(avg(confidence), 6) AS confidence_avg FROM ent GROUP BY 1) USING (document_id)"""),
@@ -206,7 +206,7 @@ ORACLES: dict[str, str] = {
               CASE WHEN event_id % 2 = 0 THEN 'semantic' ELSE 'fixed' END AS chunker_type,
               strftime(ts, '%Y-%m-%dT%H:%M') AS timestamp, value / 1000 AS overall_score FROM events)) WHERE n = 1""",
     "s21_rebuild_documents": with_graph(r"""
-        SELECT document_id, 0 AS part, count(*) AS chunks, max(['fmea','ipar','hira','alert','fps','generic'][CAST(n % 6 + 1 AS INT)]) AS document_type,
+        SELECT document_id, CAST(0 AS BIGINT) AS part, count(*) AS chunks, max(['fmea','ipar','hira','alert','fps','generic'][CAST(n % 6 + 1 AS INT)]) AS document_type,
           string_agg(chunk_text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY chunk_index) AS content
         FROM (SELECT *, CAST(substr(document_id, 5) AS INT) AS n FROM chunk) GROUP BY document_id"""),
     "g01_pattern": with_graph("""
@@ -235,7 +235,7 @@ ORACLES: dict[str, str] = {
     "g08_latest_versions": with_graph("SELECT id, code FROM failure_mode WHERE id NOT IN (SELECT dst FROM supersedes)"),
     "g09_version_chains": with_graph("""
         SELECT id, latest_id, depth FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY depth DESC) AS n FROM walk) WHERE n = 1""",
-        walk="""SELECT id, id AS latest_id, 0 AS depth FROM failure_mode
+        walk="""SELECT id, id AS latest_id, CAST(0 AS BIGINT) AS depth FROM failure_mode
           UNION ALL SELECT w.id, s.src, w.depth + 1 FROM walk w JOIN supersedes s ON s.dst = w.latest_id"""),
     "g11_page": with_graph("SELECT id, status FROM finding ORDER BY id LIMIT 25 OFFSET 40"),
     "g12_expected_paths": with_graph("""
@@ -263,8 +263,8 @@ ORACLES: dict[str, str] = {
           ON r.seed = h.document_id LEFT JOIN entity e ON e.id = r.id""",
         hits=f"SELECT * FROM ({_HITS}) ORDER BY s DESC, id LIMIT 5",
         hop="SELECT src AS a, dst AS b FROM edge UNION ALL SELECT dst, src FROM edge",
-        one="SELECT DISTINCT h.document_id AS seed, b AS id, 1 AS depth FROM hits h JOIN hop ON a = h.document_id",
-        two="SELECT DISTINCT one.seed, b AS id, 2 AS depth FROM one JOIN hop ON a = one.id"),
+        one="SELECT DISTINCT h.document_id AS seed, b AS id, CAST(1 AS BIGINT) AS depth FROM hits h JOIN hop ON a = h.document_id",
+        two="SELECT DISTINCT one.seed, b AS id, CAST(2 AS BIGINT) AS depth FROM one JOIN hop ON a = one.id"),
     "v08_search_aggregations": with_graph("""
         SELECT 'total' AS metric, count(*) AS chunks, count(DISTINCT document_id) AS entities FROM hits
         UNION ALL SELECT 'type:' || semantic_type, count(*), count(DISTINCT document_id) FROM hits GROUP BY 1""",

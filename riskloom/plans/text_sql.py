@@ -383,6 +383,6 @@ ORACLES: dict[str, str] = {
           round(avg(f1), 6) AS avg_f1, round(avg(coverage), 6) AS avg_coverage
         FROM entity_result JOIN coverage_result USING (question_id) GROUP BY ROLLUP (category)""", **_TRUTH),
     "e15_distribution_check": with_graph("""
-        SELECT control_type AS key, CASE control_type WHEN 'PREVENTIVE' THEN 34 WHEN 'DETECTIVE' THEN 1 ELSE 0 END AS expected, count(*) AS actual,
+        SELECT control_type AS key, CAST(CASE control_type WHEN 'PREVENTIVE' THEN 34 WHEN 'DETECTIVE' THEN 1 ELSE 0 END AS BIGINT) AS expected, count(*) AS actual,
           CASE control_type WHEN 'PREVENTIVE' THEN count(*) = 34 WHEN 'DETECTIVE' THEN count(*) = 1 END AS matches FROM control GROUP BY 1"""),
 }
