@@ -12,11 +12,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
 from pathlib import Path
 
+import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -28,8 +28,8 @@ from riskloom.llm.common import prepare, table, texts
 
 #: Bytes of a rank file that may be broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Entries of the per-worker cache of pattern matches, and the longest match that enters it.
-CACHE_ENTRIES, CACHE_BYTES = 200_000, 64
+#: Entries of each of a worker's two tables (matches, prefixes), and the longest match that enters them.
+CACHE_ENTRIES, CACHE_BYTES = 500_000, 64
 
 
 class Vocabulary:
@@ -38,34 +38,65 @@ class Vocabulary:
     def __init__(self, rank_file: bytes) -> None:
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
         self.tokens = {i: b for b, i in self.ranks.items()}
-        lengths: dict[bytes, set[int]] = defaultdict(set)
-        for b in self.ranks:
-            lengths[b[-2:]].add(len(b))
-        #: Token lengths to try at a position, longest first, by the last two bytes there.
-        self.lengths = {end: sorted((n for n in sizes if n > 1), reverse=True) for end, sizes in lengths.items()}
+        #: Finds all tokens that end at a position, longest first.
+        self.ends = ahocorasick.Automaton()
+        for b, i in self.ranks.items():
+            self.ends.add_word(b.decode("latin-1"), (len(b), i))
+        self.ends.make_automaton()
+        self.longest = max(map(len, self.ranks), default=1)
         self._fit: dict[tuple[int, int], bool] = {}
+        self._halves: dict[int, tuple[int, int] | None] = {}
 
-    def merged(self, data: bytes) -> list[int]:
-        """Encoding of a short byte string by its definition: merge the lowest rank, leftmost first."""
+    def merged(self, data: bytes, until: int = 1) -> list[int]:
+        """Encoding of a short byte string by its definition: merge the lowest rank, leftmost first, down to ``until`` parts."""
         parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > until:
             best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
             if parts[best] + parts[best + 1] not in self.ranks:
                 break
             parts[best:best + 2] = [parts[best] + parts[best + 1]]
         return [self.ranks[p] for p in parts]
 
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes this one, None for a single byte."""
+        if token not in self._halves:
+            data = self.tokens[token]
+            self._halves[token] = tuple(self.merged(data, 2)) if len(data) > 1 else None  # type: ignore[assignment]
+        return self._halves[token]
+
+    def reachable(self, token: int) -> bool:
+        """Whether the token is the encoding of its own bytes."""
+        halves = self.halves(token)
+        return halves is None or len(halves) == 2 and self.ranks.get(self.tokens[halves[0]] + self.tokens[halves[1]]) == token
+
     def fits(self, left: int, right: int) -> bool:
-        """Whether ``right`` may follow ``left``; left -1 is the start of the text."""
+        """Whether ``right`` may follow ``left``; left -1 is the start of the text.
+
+        Merges are undone from the latest to the earliest, next to the border only. The two may stand side by side unless, at
+        some moment, the parts at the border would have merged before the next merge of either side.
+        """
         known = self._fit.get((left, right))
         if known is None:
-            if len(self._fit) > 1_000_000:
+            if len(self._fit) > 500_000:
                 self._fit.clear()
-            before = self.tokens[left] if left >= 0 else b""
-            known = self.merged(before + self.tokens[right]) == ([left] if left >= 0 else []) + [right]
-            self._fit[left, right] = known
+            known = self._fit[left, right] = self.reachable(right) and (left < 0 or self._stay_apart(left, right))
         return known
 
+    def _stay_apart(self, left: int, right: int) -> bool:
+        tokens, ranks, never = self.tokens, self.ranks, 1 << 60
+        limit = never  # rank of the merge undone last; the left one of two equal ranks merges first
+        while True:
+            joined = ranks.get(tokens[left] + tokens[right], never)
+            if joined < limit:
+                return False
+            a, b = self.halves(left), self.halves(right)
+            if a is None and b is None:
+                return True
+            if b is None or a is not None and left > right:
+                limit, left = left, a[1]
+            else:
+                limit, right = right + 1, b[0]
+
 
 class PrefixEncoder:
     """Encoding of a growing byte string: ``last[j]`` is the last token of the encoding of the first j bytes."""
@@ -75,18 +106,15 @@ class PrefixEncoder:
         self.append(data)
 
     def append(self, data: bytes) -> None:
-        v, first = self.vocabulary, len(self.data)
+        first, last, fits = len(self.data), self.last, self.vocabulary.fits
         self.data += data
-        whole, last = bytes(self.data), self.last
-        for end in range(first + 1, len(whole) + 1):
-            for n in (*v.lengths.get(whole[max(0, end - 2):end], ()), 1):
-                if n <= end:
-                    token = v.ranks.get(whole[end - n:end])
-                    if token is not None and v.fits(last[end - n], token):
-                        last.append(token)
-                        break
-            else:
-                raise ValueError("the vocabulary lacks a single byte")
+        at = max(0, first - self.vocabulary.longest)  # no token that ends in the new part begins earlier
+        for end, (n, token) in self.vocabulary.ends.iter(self.data[at:].decode("latin-1")):
+            end += at + 1
+            if end == len(last) and fits(last[end - n], token):
+                last.append(token)
+        if len(last) <= len(self.data):
+            raise ValueError("the vocabulary lacks a single byte")
 
     def replace(self, start: int, stop: int, data: bytes) -> None:
         """Re-encodes after an edit; prefixes before ``start`` keep their tokens."""
@@ -104,24 +132,37 @@ class PrefixEncoder:
 
 
 class _Pieces(dict):
-    """Ids of a match of the pattern, by its text."""
+    """Ids of a match of the pattern, by its text. Matches that begin alike share the table of their prefixes."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
+        self.prefixes: dict[bytes, tuple[int, ...]] = {b"": ()}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
-        token = self.vocabulary.ranks.get(data)
-        if token is not None and self.vocabulary.fits(-1, token):
-            ids: tuple[int, ...] = (token,)
-        else:
-            ids = tuple(PrefixEncoder(self.vocabulary, data).tokens())
-        if len(data) <= CACHE_BYTES:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[piece] = ids
+        if len(data) > CACHE_BYTES:
+            return tuple(PrefixEncoder(self.vocabulary, data).tokens())
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        if len(self.prefixes) >= CACHE_ENTRIES:
+            self.prefixes = {b"": ()}
+        ids = self[piece] = self._extend(data)
         return ids
 
+    def _extend(self, data: bytes) -> tuple[int, ...]:
+        prefixes, fits = self.prefixes, self.vocabulary.fits
+        known = len(data)
+        while data[:known] not in prefixes:
+            known -= 1
+        known += 1  # the first end that is open
+        for end, (n, token) in self.vocabulary.ends.iter(data.decode("latin-1")):
+            if end + 1 == known:
+                before = prefixes[data[:known - n]]
+                if fits(before[-1] if before else -1, token):
+                    prefixes[data[:known]] = (*before, token)
+                    known += 1
+        return prefixes[data]
+
 
 class Codec:
     """Splits a text by the pattern, encodes each match on its own, and decodes ids."""

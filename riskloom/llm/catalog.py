@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from riskloom.llm import bpe, chat, hilbert
+from riskloom.llm import bpe, chat, decontaminate, hilbert, html, topk
 
 QUERIES = {
+    "op4_exact_topk": topk.op4_exact_topk,
     "op5_chat_round_trip": chat.op5_chat_round_trip,
+    "op7_html_min_cut": html.op7_html_min_cut,
     "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op9_decontamination": decontaminate.op9_decontamination,
     "op10_hilbert_shards": hilbert.op10_hilbert_shards,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op4_exact_topk": topk.ORACLE,
+    "op9_decontamination": decontaminate.ORACLE,
+}

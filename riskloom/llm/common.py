@@ -9,13 +9,14 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch; texts may be long, so a batch is kept small.
-BATCH_ROWS = 500
+#: Rows and bytes of one Arrow batch; texts may be long, so a batch is kept small.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     return spark
