@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from riskloom.llm import bpe, chat, decontaminate, hilbert, html, topk
+from riskloom.llm import bpe, chat, decontaminate, hilbert, html, quality, topk
 
 QUERIES = {
+    "op2_pu_quality": quality.op2_pu_quality,
     "op4_exact_topk": topk.op4_exact_topk,
     "op5_chat_round_trip": chat.op5_chat_round_trip,
     "op7_html_min_cut": html.op7_html_min_cut,
