@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from riskloom.llm import bpe, chat, decontaminate, hilbert, html, quality, topk
+from riskloom.llm import bpe, chat, decontaminate, hilbert, html, quality, simhash, topk
 
 QUERIES = {
     "op2_pu_quality": quality.op2_pu_quality,
     "op4_exact_topk": topk.op4_exact_topk,
     "op5_chat_round_trip": chat.op5_chat_round_trip,
+    "op6_simhash_components": simhash.op6_simhash_components,
     "op7_html_min_cut": html.op7_html_min_cut,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_decontamination": decontaminate.op9_decontamination,

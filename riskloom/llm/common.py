@@ -8,6 +8,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch; texts may be long, so a batch is kept small.
 BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
@@ -45,3 +46,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def texts(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """A string column as Python strings, null as the empty text."""
     return [x or "" for x in column.to_pylist()]
+
+
+def components(links: DataFrame, name: str) -> DataFrame:
+    """Connected components of links (a, b) between longs: node and component (its smallest node), for nodes with links.
+
+    Large and small stars by turns: every node hands its neighbours to the smallest node it knows, until each component is a
+    star. A round is two joins over the links, written to the shared folder; no list of neighbours is ever gathered.
+    """
+    edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
+    seen = None
+    while True:
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20)"))).first()
+        if state == seen:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+        seen = state
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = staged(small.union(least).distinct(), name)
