@@ -246,7 +246,7 @@ def main_text(html: str | None, weights: np.ndarray) -> str:
 
 
 def fit(pages: DataFrame, most: int = FIT_PAGES) -> np.ndarray:
-    """Weights from at most ``most`` pages, those with the smallest hashes of their html."""
+    """Weights from about ``most`` pages, those whose html hashes below a bound that follows from their number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for html in batch.column("html").to_pylist():
@@ -254,8 +254,10 @@ def fit(pages: DataFrame, most: int = FIT_PAGES) -> np.ndarray:
                 y = np.array([b.evidence for b in found])
                 yield pa.RecordBatch.from_arrays([pa.array([features(found)[y != 0].tobytes()], pa.binary()), pa.array([((y[y != 0] + 1) / 2).tobytes()], pa.binary())], ["x", "y"])
 
-    sample = pages.select(F.col("html").cast("string")).where("html is not null").orderBy(F.xxhash64("html")).limit(most)
-    rows = sample.mapInArrow(run, "x binary, y binary").collect()
+    given = pages.select(F.col("html").cast("string")).where("html is not null")
+    bound = int((1 << 40) * min(1.0, most / max(given.count(), 1)))
+    sample = given.where(F.pmod(F.xxhash64("html"), F.lit(1 << 40)) < bound)
+    rows = sample.mapInArrow(run, "x binary, y binary").limit(2 * most).collect()  # the limit guards against pages that repeat
     return trained(np.frombuffer(b"".join(r.x for r in rows)).reshape(-1, 9), np.frombuffer(b"".join(r.y for r in rows)))
 
 
