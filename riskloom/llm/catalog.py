@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from riskloom.llm import bpe, chat, decontaminate, hilbert, html, quality, simhash, topk
+from riskloom.llm import bpe, chat, decontaminate, hilbert, html, lines, quality, simhash, topk
 
 QUERIES = {
     "op2_pu_quality": quality.op2_pu_quality,
+    "op3_line_dedup": lines.op3_line_dedup,
     "op4_exact_topk": topk.op4_exact_topk,
     "op5_chat_round_trip": chat.op5_chat_round_trip,
     "op6_simhash_components": simhash.op6_simhash_components,

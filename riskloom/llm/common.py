@@ -20,6 +20,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # A written stage needs the shuffles that made it no longer.
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 
@@ -43,6 +45,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """``df`` written to the shared folder in buckets of ``key``: joins on it leave these rows, which hold texts, where they are."""
+    spark, name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    (df.repartition(buckets, key).write.bucketBy(buckets, key).format("parquet")
+     .option("path", os.path.join(shared_folder(spark), name)).saveAsTable(name))
+    return spark.table(name)
+
+
+def text_buckets(df: DataFrame, column: str, of_bytes: int) -> int:
+    """How many parts of about ``of_bytes`` the texts of ``df`` make, and as many as a shuffle has at least."""
+    total = df.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // of_bytes))
+
+
 def texts(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """A string column as Python strings, null as the empty text."""
     return [x or "" for x in column.to_pylist()]
