@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from riskloom.llm import bpe, chat, decontaminate, hilbert, html, lines, quality, simhash, topk
+from riskloom.llm import bpe, chat, decontaminate, hilbert, html, lines, quality, simhash, substrings, topk
 
 QUERIES = {
+    "op1_suffix_dedup": substrings.op1_suffix_dedup,
     "op2_pu_quality": quality.op2_pu_quality,
     "op3_line_dedup": lines.op3_line_dedup,
     "op4_exact_topk": topk.op4_exact_topk,
