@@ -1,7 +1,7 @@
 """Coverage gaps: entities that lack the control or procedure step they should have.
 
-Each named query has a full form (every gap) and, through :func:`coverage`, the report form that
-keeps the first ``limit`` rows in report order.
+Each named query gives every gap; :func:`coverage` runs it by name in report order, all of it or the
+first ``limit`` rows.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from riskloom.graph import AuditGraph
 
-REPORT_ROWS = 100
 _QUERIES: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...], str, tuple[str, ...]]] = {}
 
 
@@ -26,7 +25,7 @@ def register_coverage_query(name: str, order: tuple[str, ...], description: str,
     return add
 
 
-def coverage(name: str, graph: AuditGraph, limit: int | None = REPORT_ROWS, **params: object) -> DataFrame:
+def coverage(name: str, graph: AuditGraph, limit: int | None = None, **params: object) -> DataFrame:
     """Runs a named coverage query in report order."""
     if name not in _QUERIES:
         raise ValueError(f"Unknown coverage query: {name}")

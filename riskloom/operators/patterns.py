@@ -12,8 +12,6 @@ from riskloom.functions.filters import matches
 from riskloom.graph import AuditGraph
 from riskloom.session import cut_lineage
 
-PATTERN_ROWS = 20
-EXPECTED_ROWS = 100
 MAX_DOUBLINGS = 40
 
 # Properties by which a label finds its earlier versions.
@@ -29,7 +27,7 @@ BUSINESS_KEYS = {
 
 
 def query_by_pattern(graph: AuditGraph, label: str, filters: Mapping[str, object] | None = None,
-                     limit: int | None = PATTERN_ROWS) -> DataFrame:
+                     limit: int | None = None) -> DataFrame:
     """Nodes of a label that satisfy every filter, lowest ids first."""
     rows = graph.node(label).filter(matches(filters))
     return rows if limit is None else rows.orderBy("id").limit(limit)
@@ -102,7 +100,7 @@ def reachable(graph: AuditGraph, seeds: DataFrame, depth: int = 1, rel_types: Se
 
 def graph_pattern(graph: AuditGraph, label: str, filters: Mapping[str, object] | None = None,
                   relationships: Sequence[Mapping[str, str]] = (), include_chunks: bool = False,
-                  limit: int | None = PATTERN_ROWS) -> DataFrame:
+                  limit: int | None = None) -> DataFrame:
     """Pattern scan, optional typed expansion, optional chunk context, as tagged rows.
 
     Each relationship is ``{"type": ..., "direction": "in"|"out"|"both", "target_type": ...}``.
@@ -137,7 +135,7 @@ def chunks_of(graph: AuditGraph, nodes: DataFrame) -> DataFrame:
 
 
 def related_ids(graph: AuditGraph, label: str, filters: Mapping[str, object] | None = None,
-                relationship: Mapping[str, str] | None = None, limit: int | None = EXPECTED_ROWS) -> DataFrame:
+                relationship: Mapping[str, str] | None = None, limit: int | None = None) -> DataFrame:
     """Distinct ids of a label with the filters and, if given, an edge of a type / direction / target."""
     nodes = graph.node(label).filter(matches(filters)).select("id")
     if relationship:
@@ -240,7 +238,7 @@ def version_chains(graph: AuditGraph, label: str) -> DataFrame:
 
 # --- raw access ------------------------------------------------------------------
 
-def page(rows: DataFrame, order: Sequence[str], offset: int = 0, limit: int = PATTERN_ROWS) -> DataFrame:
+def page(rows: DataFrame, order: Sequence[str], offset: int = 0, limit: int = 20) -> DataFrame:
     """One page of an ordered result."""
     return rows.orderBy(*order).offset(offset).limit(limit)
 

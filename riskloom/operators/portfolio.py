@@ -19,7 +19,6 @@ from riskloom.functions.rounding import percentage, ratio, round_half_up
 from riskloom.graph import AuditGraph
 
 TOTAL = "TOTAL"
-TREND_ROWS = 100
 
 
 def _count_if(condition: Column) -> Column:
@@ -96,13 +95,14 @@ def unmitigated_critical_risks(graph: AuditGraph) -> DataFrame:
             .select("risk_id", "level", F.col("n_open_rows").cast("bigint").alias("row_count")))
 
 
-def risk_trends(graph: AuditGraph, rows: int = TREND_ROWS) -> DataFrame:
-    """Risks created per day and level, newest first."""
-    return (
+def risk_trends(graph: AuditGraph, rows: int | None = None) -> DataFrame:
+    """Risks created per day and level, newest first; all, or the first ``rows``."""
+    out = (
         graph.node("Risk").groupBy(iso_day(F.col("created_at")).alias("date"), F.col("level").alias("label"))
         .agg(F.count(F.lit(1)).alias("value"))
-        .orderBy(F.desc("date"), "label").limit(rows)
+        .orderBy(F.desc("date"), "label")
     )
+    return out if rows is None else out.limit(rows)
 
 
 # --- controls ---------------------------------------------------------------
@@ -245,16 +245,17 @@ def finding_resolution(graph: AuditGraph, as_of: str) -> DataFrame:
     )
 
 
-def finding_resolution_trends(graph: AuditGraph, rows: int = TREND_ROWS) -> DataFrame:
-    """Resolved findings per (created day, resolved day, day component), latest first."""
+def finding_resolution_trends(graph: AuditGraph, rows: int | None = None) -> DataFrame:
+    """Resolved findings per (created day, resolved day, day component), latest first; all, or the first ``rows``."""
     created, updated = F.col("created_at"), F.col("updated_at")
-    return (
+    out = (
         graph.node("Finding").filter(F.col("status").isin("RESOLVED", "CLOSED"))
         .groupBy(iso_day(created).alias("created_date"), iso_day(updated).alias("date"),
                  day_component(created, updated).cast("bigint").alias("resolution_days"))
         .agg(F.count(F.lit(1)).alias("value")).withColumn("label", F.lit("Resolved"))
-        .orderBy(F.desc("date"), F.desc("created_date"), "resolution_days").limit(rows)
+        .orderBy(F.desc("date"), F.desc("created_date"), "resolution_days")
     )
+    return out if rows is None else out.limit(rows)
 
 
 # --- compliance -------------------------------------------------------------
@@ -344,7 +345,7 @@ def process_versions(graph: AuditGraph) -> DataFrame:
 
 def _long(df: DataFrame, section: str, keys: list[str]) -> DataFrame:
     metrics = [c for c in df.columns if c not in keys]
-    values = df.select(F.concat_ws("/", F.lit(""), *keys).substr(2, 1000).alias("key"),
+    values = df.select(F.concat_ws("/", *keys).alias("key"),
                        *[F.col(m).cast("double").alias(m) for m in metrics])
     return values.unpivot("key", metrics, "metric", "value").select(
         F.lit(section).alias("section"), "metric", "key", "value")

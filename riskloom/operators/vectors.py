@@ -17,7 +17,6 @@ from riskloom.graph import AuditGraph
 from riskloom.operators.patterns import chunks_of, expand_relationships, reachable
 from riskloom.session import cut_lineage
 
-MAX_CONTEXT_CHUNKS = 50
 MAX_QUERIES = 1000
 
 
@@ -111,17 +110,20 @@ def search_aggregations(results: DataFrame) -> DataFrame:
                                       F.count_distinct("entity_id").alias("entities"))
 
 
-def entity_context(graph: AuditGraph, entity_ids: DataFrame, max_chunks: int = MAX_CONTEXT_CHUNKS,
+def entity_context(graph: AuditGraph, entity_ids: DataFrame, max_chunks: int | None = None,
                    include_relationships: bool = False) -> DataFrame:
-    """Chunks (first ``max_chunks`` by index), relationships and first provenance of entities.
+    """Chunks (all, or the first ``max_chunks`` by index), relationships and first provenance of entities.
 
     Rows: (entity_id, part, item_id, detail, confidence); part is 'provenance', 'chunk' or a
     relationship direction.
     """
     none = F.lit(None).cast("string")
     wanted = graph.entities().join(entity_ids.select("id").distinct(), "id", "left_semi").select("id")
-    by_index = Window.partitionBy("graph_node_id").orderBy("chunk_index", "id")
-    chunks = (chunks_of(graph, wanted).withColumn("n", F.row_number().over(by_index)).filter(F.col("n") <= max_chunks)
+    found = chunks_of(graph, wanted)
+    if max_chunks is not None:
+        by_index = Window.partitionBy("graph_node_id").orderBy("chunk_index", "id")
+        found = found.withColumn("n", F.row_number().over(by_index)).filter(F.col("n") <= max_chunks)
+    chunks = (found
               .select(F.col("graph_node_id").alias("entity_id"), F.lit("chunk").alias("part"),
                       F.col("id").alias("item_id"), F.coalesce("context", F.lit("")).alias("detail"),
                       F.lit(None).cast("double").alias("confidence")))

@@ -61,8 +61,9 @@ QUERIES: dict[str, Query] = {
     "a13_document_coverage": on_graph(xd.document_coverage),
     "a13_document_coverage_totals": on_graph(xd.document_coverage_totals),
     "a13_document_coverage_items": on_graph(xd.document_coverage_items),
-    "a14_shared_entity_network": on_graph(xd.shared_entity_network),
-    "a14_shared_hubs": on_graph(xd.shared_hubs),
+    "a14_shared_entity_network": on_graph(xd.shared_memberships),
+    "a14_entity_links": on_graph(xd.entity_links),
+    "a14_document_neighbours": on_graph(lambda g: xd.document_neighbours(g, g.node("Document").agg(F.min("id").alias("document_id")))),
     "a15_document_connections": on_graph(xd.document_connections),
     "a16_entity_provenance": on_graph(xd.entity_provenance),
     "a17_fps_maturity": on_graph(xd.fps_maturity),

@@ -159,10 +159,8 @@ _MEMBERS = """
 _MEMBER_CTES = {
     "members": _MEMBERS,
     "sizes": "SELECT route, entity_id, entity_type, count(DISTINCT document_id) AS documents FROM members GROUP BY ALL",
-    "pairs": """SELECT DISTINCT a.route, a.entity_id, a.document_id AS doc1_id, b.document_id AS doc2_id
-        FROM members a JOIN members b ON a.route = b.route AND a.entity_id = b.entity_id
-          AND a.document_id < b.document_id AND (a.via IS NULL OR a.via <> b.via)
-        JOIN sizes s ON s.route = a.route AND s.entity_id = a.entity_id AND s.documents <= 64""",
+    "alike": """SELECT entity_id, via, count(*) AS n, 'controls' AS route FROM (
+        SELECT entity_id, document_id, min(via) AS via FROM members WHERE route = 'controls' GROUP BY ALL HAVING count(*) = 1) GROUP BY ALL""",
 }
 _MATURITY = """
     SELECT d.id AS document_id, d.file_name, d.document_type,
@@ -233,7 +231,7 @@ ORACLES: dict[str, str] = {
         GROUP BY id, level HAVING count(ctl) = 0"""),
     "a02_risk_trends": with_graph("""
         SELECT strftime(created_at, '%Y-%m-%d') AS date, level AS label, count(*) AS value FROM risk
-        GROUP BY ALL ORDER BY date DESC, label LIMIT 100"""),
+        GROUP BY ALL"""),
     "a03_control_effectiveness": with_graph(_CONTROL_EFF),
     "a03_control_facts": with_graph(f"""
         SELECT id AS control_id, control_type, effectiveness, risk_count, has_steps FROM ({_REACH})"""),
@@ -248,7 +246,7 @@ ORACLES: dict[str, str] = {
         SELECT strftime(created_at, '%Y-%m-%d') AS created_date, strftime(updated_at, '%Y-%m-%d') AS date,
           CAST({_DAY_COMPONENT} AS BIGINT) AS resolution_days, count(*) AS value, 'Resolved' AS label
         FROM finding WHERE status IN ('RESOLVED', 'CLOSED')
-        GROUP BY ALL ORDER BY date DESC, created_date DESC, resolution_days LIMIT 100"""),
+        GROUP BY ALL"""),
     "a09_compliance_status": with_graph(_COMPLIANCE),
     "a09_compliance_gaps": with_graph(f"""
         SELECT id AS requirement_id, requirement_type, state, count(*) AS row_count FROM ({_REQ_ROWS})
@@ -278,23 +276,22 @@ ORACLES: dict[str, str] = {
         FROM ({_DOC_ITEMS}) i LEFT JOIN risk r ON r.id = entity_id LEFT JOIN control c ON c.id = entity_id
         WHERE kind IN ('risk', 'control')"""),
     "a14_shared_entity_network": with_graph("""
-        SELECT doc1_id, doc2_id, count(DISTINCT entity_id) AS shared_count, count(*) AS row_shared_count
-        FROM pairs GROUP BY ALL""", **_MEMBER_CTES),
-    "a14_shared_hubs": with_graph("""
-        SELECT route, entity_id, max(s.entity_type) AS entity_type, max(documents) AS documents,
-          CAST(max(documents) * (max(documents) - 1) // 2 - coalesce(sum(x.n), 0) AS BIGINT) AS links
-        FROM sizes s LEFT JOIN (
-          SELECT entity_id, via, count(*) * (count(*) - 1) // 2 AS n, 'controls' AS route
-          FROM (SELECT entity_id, document_id, min(via) AS via FROM members WHERE route = 'controls'
-                GROUP BY ALL HAVING count(*) = 1) GROUP BY ALL) x USING (route, entity_id)
-        WHERE documents > 64 GROUP BY route, entity_id""", **_MEMBER_CTES),
+        SELECT route, entity_id, entity_type, document_id, CASE WHEN route = 'controls' THEN count(*) ELSE 2 END AS n_via, min(via) AS via
+        FROM members GROUP BY route, entity_id, entity_type, document_id""", **_MEMBER_CTES),
+    "a14_entity_links": with_graph("""
+        SELECT route, entity_id, entity_type, documents,
+          CAST(documents * (documents - 1) // 2 - coalesce(x.n, 0) AS BIGINT) AS links
+        FROM sizes s LEFT JOIN (SELECT route, entity_id, sum(n * (n - 1) // 2) AS n FROM alike GROUP BY ALL) x USING (route, entity_id)""", **_MEMBER_CTES),
+    "a14_document_neighbours": with_graph("""
+        SELECT a.document_id AS doc1_id, b.document_id AS doc2_id, count(DISTINCT a.entity_id) AS shared_count, count(DISTINCT (a.route, a.entity_id)) AS row_shared_count
+        FROM members a JOIN members b ON a.route = b.route AND a.entity_id = b.entity_id AND a.document_id <> b.document_id AND (a.via IS NULL OR a.via <> b.via)
+        WHERE a.document_id = (SELECT min(id) FROM document) GROUP BY ALL""", **_MEMBER_CTES),
     "a15_document_connections": with_graph("""
-        SELECT document_id, CAST(coalesce(c.n, 0) AS BIGINT) AS connection_count, CAST(coalesce(h.n, 0) AS BIGINT) AS hub_count
-        FROM (SELECT document_id, count(*) AS n FROM (SELECT doc1_id AS document_id, doc2_id AS o FROM pairs
-              UNION SELECT doc2_id, doc1_id FROM pairs) GROUP BY 1) c
-        FULL JOIN (SELECT document_id, count(*) AS n FROM (SELECT DISTINCT m.route, m.entity_id, m.document_id FROM members m
-              JOIN sizes s ON s.route = m.route AND s.entity_id = m.entity_id AND s.documents > 64) GROUP BY 1) h
-        USING (document_id)""", **_MEMBER_CTES),
+        SELECT m.document_id, count(*) AS membership_count, CAST(sum(s.documents - 1 - CASE WHEN m.k = 1 THEN coalesce(x.n, 1) - 1 ELSE 0 END) AS BIGINT) AS connection_count
+        FROM (SELECT route, entity_id, document_id, CASE WHEN route = 'controls' THEN count(*) ELSE 2 END AS k, min(via) AS via FROM members GROUP BY 1, 2, 3) m
+        JOIN (SELECT route, entity_id, sum(documents) AS documents FROM sizes GROUP BY ALL) s ON s.route = m.route AND s.entity_id = m.entity_id
+        LEFT JOIN alike x ON x.route = m.route AND x.entity_id = m.entity_id AND x.via = m.via
+        GROUP BY m.document_id""", **_MEMBER_CTES),
     "a16_entity_provenance": with_graph(_PROV),
     "a17_fps_maturity": with_graph(_MATURITY),
     "a18_standard_maturity": with_graph(f"""
@@ -305,15 +302,13 @@ ORACLES: dict[str, str] = {
             CAST(sum(audited_procedures) AS BIGINT) AS total_audited, CAST(sum(non_compliant_count) AS BIGINT) AS total_non_compliant
           FROM ({_MATURITY}) WHERE file_name LIKE 'Safety ST%' GROUP BY 1)"""),
     "c01_risks_without_controls": with_graph("""
-        SELECT id, level, created_at FROM risk WHERE id NOT IN (SELECT dst FROM mitigates_risk)
-        ORDER BY created_at DESC, id LIMIT 100"""),
+        SELECT id, level, created_at FROM risk WHERE id NOT IN (SELECT dst FROM mitigates_risk)"""),
     "c02_controls_without_steps": with_graph(f"""
-        SELECT id, control_type, created_at FROM control WHERE id NOT IN {_IMPLEMENTED}
-        ORDER BY created_at DESC, id LIMIT 100"""),
+        SELECT id, control_type, created_at FROM control WHERE id NOT IN {_IMPLEMENTED}"""),
     "c03_unmitigated_high_rpn": with_graph("""
         SELECT id, code, CAST(rpn AS BIGINT) AS rpn FROM failure_mode
-        WHERE rpn > 100 AND id NOT IN (SELECT dst FROM mitigates_mode) ORDER BY rpn DESC, id LIMIT 100"""),
-    "c04_risks_without_procedure_controls": with_graph(_C04 + " ORDER BY created_at DESC, id LIMIT 100"),
+        WHERE rpn > 100 AND id NOT IN (SELECT dst FROM mitigates_mode)"""),
+    "c04_risks_without_procedure_controls": with_graph(_C04),
     "c05_ipar_control_gaps": with_graph(_C05),
     "c06_process_update_gaps": with_graph(_C06_SAFE, **_C06_CTES),
     "c_gap_counts": with_graph(f"""

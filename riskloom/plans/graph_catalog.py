@@ -300,7 +300,7 @@ QUERIES: dict[str, Query] = {
         "id", "description", F.col("severity").cast("bigint").alias("severity"), F.col("rpn").cast("bigint").alias("rpn"))),
     "g06_related_ids": on_graph(lambda g: pt.related_ids(
         g, "FailureMode", {"severity": {"$gte": 7}}, {"type": "MITIGATES", "direction": "in", "target_label": "Control"}, limit=None)),
-    "g06_related_ids_limited": on_graph(lambda g: pt.related_ids(
+    "g06_related_findings": on_graph(lambda g: pt.related_ids(
         g, "Finding", None, {"type": "REFERENCES", "direction": "out", "target_label": "Control"})),
     "g07_run_query": on_graph(lambda g: pt.run_query(g, OPEN_HIGH, status="OPEN", rel="REFERENCES")),
     "g08_latest_versions": on_graph(lambda g: pt.latest_versions(g, "FailureMode").select("id", "code")),

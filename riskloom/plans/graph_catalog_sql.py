@@ -211,7 +211,7 @@ ORACLES: dict[str, str] = {
         FROM (SELECT *, CAST(substr(document_id, 5) AS INT) AS n FROM chunk) GROUP BY document_id"""),
     "g01_pattern": with_graph("""
         SELECT f.id, f.code, x.id AS extraction_id, x.source_document_id, x.confidence
-        FROM (SELECT * FROM failure_mode WHERE severity = 8 ORDER BY id LIMIT 20) f LEFT JOIN extraction x ON x.entity_id = f.id"""),
+        FROM (SELECT * FROM failure_mode WHERE severity = 8) f LEFT JOIN extraction x ON x.entity_id = f.id"""),
     "g02_entities_by_ids": with_graph("SELECT id, type FROM entity WHERE id IN (SELECT dst FROM implies)"),
     "g03_expand": with_graph(f"""
         SELECT id, neighbour_id, neighbour_type, rel_type, direction FROM ({_BOTH}) WHERE id IN (SELECT id FROM risk WHERE level = 'CRITICAL')"""),
@@ -229,7 +229,7 @@ ORACLES: dict[str, str] = {
         SELECT id, description, CAST(severity AS BIGINT) AS severity, CAST(rpn AS BIGINT) AS rpn FROM failure_mode
         WHERE rpn > 100 AND rpn <= 300 AND description ILIKE '%widget%' AND severity IN (5, 6, 7, 8)"""),
     "g06_related_ids": with_graph("SELECT id FROM failure_mode WHERE severity >= 7 AND id IN (SELECT dst FROM mitigates_mode)"),
-    "g06_related_ids_limited": with_graph("SELECT id FROM finding WHERE id IN (SELECT src FROM references_) ORDER BY id LIMIT 100"),
+    "g06_related_findings": with_graph("SELECT id FROM finding WHERE id IN (SELECT src FROM references_)"),
     "g07_run_query": with_graph("""
         SELECT priority, count(*) AS findings FROM finding WHERE status = 'OPEN' AND id IN (SELECT src FROM references_) GROUP BY 1"""),
     "g08_latest_versions": with_graph("SELECT id, code FROM failure_mode WHERE id NOT IN (SELECT dst FROM supersedes)"),

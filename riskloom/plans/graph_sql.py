@@ -121,9 +121,10 @@ TABLES: dict[str, str] = {
         FROM lineitem WHERE l_returnflag = 'N' GROUP BY l_orderkey, l_partkey""",
     "chunk": """
         SELECT 'chk-' || vec_id AS id, embedding, 'doc-' || (vec_id // 5) AS document_id,
-          coalesce(d.text, '') AS chunk_text, vec_id % 5 AS chunk_index, 'type_' || label AS semantic_type,
-          d.lang AS context, vec_id * 37 % 900 + 20 AS tokens, vec_id * 37 % 900 + 20 > 800 AS is_oversized
-        FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id""",
+          coalesce(text, '') AS chunk_text, vec_id % 5 AS chunk_index, 'type_' || label AS semantic_type,
+          lang AS context, vec_id * 37 % 900 + 20 AS tokens, vec_id * 37 % 900 + 20 > 800 AS is_oversized
+        FROM (SELECT coalesce(e.vec_id, d.doc_id) AS vec_id, embedding, label, text, lang
+          FROM embeddings e FULL JOIN documents d ON d.doc_id = e.vec_id)""",
 }
 
 

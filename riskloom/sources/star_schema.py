@@ -241,10 +241,11 @@ def load_graph(spark: SparkSession, sf_dir: str) -> AuditGraph:
                 .unionByName(branch("l_returnflag = 'N'", "Risk", "risk", "l_partkey")))
 
     def chunks() -> DataFrame:
+        # Every text is a chunk, with or without an embedding; an embedding without a text is one too.
         vec = F.col("vec_id")
         tokens = (vec * 37 % 900 + 20).cast("int")
         texts = t("documents").select(F.col("doc_id").alias("vec_id"), "text", "lang")
-        return t("embeddings").join(texts, "vec_id", "left").select(
+        return t("embeddings").join(texts, "vec_id", "full").select(
             _key("chk", "vec_id").alias("id"), "embedding",
             _key("doc", F.floor(vec / 5)).alias("graph_node_id"),
             _key("doc", F.floor(vec / 5)).alias("document_id"),

@@ -1,10 +1,12 @@
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import one, table
 from riskloom.operators import coverage as cov
 from riskloom.operators import crossdoc as xd
 from riskloom.operators import diagnostics as dx
 from riskloom.operators import portfolio as pf
+from riskloom.sources.star_schema import load_graph
 
 
 def test_risk_exposure_counts_risks_and_joined_rows(tiny):
@@ -44,17 +46,24 @@ def test_process_health(tiny):
 def test_cross_document_and_network(tiny):
     assert table(xd.cross_document_entities(tiny), "entity_id", "document_count", "row_document_count") == {
         ("c1", 2, 2), ("fm1", 2, 3)}
-    network = one(xd.shared_entity_network(tiny))
-    # Shared: fm1 (identified), r1 (implied), c1 (extracted); r2's only control is the same on both sides.
-    assert (network["doc1_id"], network["doc2_id"], network["shared_count"], network["row_shared_count"]) == ("d1", "d2", 3, 3)
-    assert xd.shared_entity_network(tiny, ordered=True).count() == 2
-    assert table(xd.document_connections(tiny)) == {("d1", 1, 0), ("d2", 1, 0)}
 
 
-def test_hubs_carry_what_pairs_leave_out(tiny):
-    assert xd.shared_entity_network(tiny, hub_degree=1).count() == 0
-    hubs = table(xd.shared_hubs(tiny, hub_degree=1), "route", "entity_id", "documents", "links")
-    assert hubs == {("identified", "fm1", 2, 1), ("implied_risk", "r1", 2, 1), ("controls", "r2", 2, 0), ("extracted", "c1", 2, 1)}
+def test_network_is_exact(spark, tiny):
+    # Shared: fm1 (identified), r1 (implied), c1 (extracted); r2's only control is the same on both sides.
+    links = {(r, e): (n, k) for r, e, n, k in table(xd.entity_links(tiny), "route", "entity_id", "documents", "links")}
+    assert {key: v for key, v in links.items() if v[0] > 1} == {
+        ("identified", "fm1"): (2, 1), ("implied_risk", "r1"): (2, 1), ("controls", "r2"): (2, 0), ("extracted", "c1"): (2, 1)}
+    per_document = {r.document_id: r.connection_count for r in xd.document_connections(tiny).collect()}
+    assert per_document == {"d1": 3, "d2": 3}
+    assert sum(k for _, k in links.values()) * 2 == sum(per_document.values())
+    around = xd.document_neighbours(tiny, spark.createDataFrame([("d1",)], "document_id string"))
+    assert table(around) == {("d1", "d2", 3, 3)}
+
+
+def test_network_sums_agree_on_the_star_schema(spark):
+    graph = load_graph(spark, "/root/testdata/sf0.001")
+    links = xd.entity_links(graph).agg(F.sum("links")).first()[0]
+    assert links > 0 and links * 2 == xd.document_connections(graph).agg(F.sum("connection_count")).first()[0]
 
 
 def test_document_coverage(tiny):
