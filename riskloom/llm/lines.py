@@ -12,18 +12,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from riskloom.llm.common import bucketed, components, prepare, staged, table, text_buckets
 
-SHINGLE, SIMILARITY = 9, 0.8
+SHINGLE, SIMILARITY = 6, 0.8
 #: 16 bands of 5: of two lines at similarity 0.8, 998 in 1000 agree in a band; at 0.85 nearly all.
 BANDS, ROWS = 16, 5
 BINS = BANDS * ROWS
-#: Lines of a band's group that are paired with each other; in larger groups all are paired with one first.
-PAIRED = 6
+#: Lines of a band's group that are paired with each other; in larger groups all are paired with LEADS of them first.
+PAIRED, LEADS = 6, 4
+#: Sets of shingles that a task keeps at hand.
+KEPT_SETS = 256
 #: Text of a bucket, and lines whose band entries a task gathers before it hands them on.
 BUCKET_BYTES, FLUSH_LINES = 16 << 20, 100_000
 
@@ -130,85 +132,106 @@ def _entries(buckets: int):
 
 
 def _candidates(part: pa.Table) -> pa.Table:
-    """Groups of a bucket: pairs (a, b), and for groups of more than PAIRED lines also the members of the group."""
+    """Groups of a bucket: pairs (a, b), and for groups of more than PAIRED lines also their members (a, a) with the group."""
     entries = np.unique(np.concatenate([np.frombuffer(x, _ENTRY) for x in part.column("entries").to_pylist()]))
     rest, key = entries["rest"], entries["key"]
     first = np.flatnonzero(np.r_[True, rest[1:] != rest[:-1]])
     size = np.diff(np.r_[first, len(rest)])
     a, b, groups = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def add(x: np.ndarray, y: np.ndarray, group: int) -> None:
+        a.append(x)
+        b.append(y)
+        groups.append(np.full(len(x), group))
+
     for n in range(2, PAIRED + 1):
         at = first[size == n]
         for i in range(n):
             for j in range(i + 1, n):
-                a.append(key[at + i])
-                b.append(key[at + j])
-                groups.append(np.full(len(at), -1))
+                add(key[at + i], key[at + j], -1)
     bucket = int(part.column("bucket")[0].as_py())
     for at, n in zip(first[size > PAIRED].tolist(), size[size > PAIRED].tolist(), strict=True):
         members = key[at:at + n]
-        # Each group has a first of its own, so that one odd line does not stand before all groups of a large component.
-        lead = members[np.argmin(_mix(members.astype(np.uint64) ^ np.uint64(rest[at])))]
-        a.append(np.full(n, lead))
-        b.append(members)
-        groups.append(np.full(n, bucket << 32 | int(rest[at])))
+        # Each group has leads of its own, so that no odd line stands before all groups of a large component.
+        leads = members[np.argsort(_mix(members.astype(np.uint64) ^ np.uint64(rest[at])))[:LEADS]]
+        for lead in leads:
+            add(np.full(n, lead), members, -1)
+        add(members, members, bucket << 32 | int(rest[at]))
     columns = [np.concatenate(x) for x in (a, b, groups)]
     return pa.table([pa.array(x, pa.int64()) for x in columns], ["a", "b", "crowd"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known, last = set(), None
+    sets: dict[int, set[str]] = {}
+
+    def of(key: int, line: str) -> set[str]:
+        found = sets.get(key)
+        if found is None:
+            if len(sets) >= KEPT_SETS:
+                sets.clear()
+            found = sets[key] = shingles(line)
+        return found
+
     for batch in batches:
         kept = []
-        for i, (x, y) in enumerate(zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)):
-            if x != last:
-                known, last = shingles(x), x
-            other = shingles(y)
-            small, large = sorted((len(known), len(other)))
-            if small >= SIMILARITY * large:
-                both = len(known & other)
-                if both >= SIMILARITY * (len(known) + len(other) - both):
-                    kept.append(i)
+        for i, (x, y, text_x, text_y) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True)):
+            one, other = of(x, text_x), of(y, text_y)
+            both = len(one & other)
+            if both >= SIMILARITY * (len(one) + len(other) - both):
+                kept.append(i)
         yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The wanted lines of each text."""
+    """The wanted lines of each text, with the size of their sets."""
     for batch in batches:
         keys, found = [], []
         for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
             lines = text.split("\n")
             keys += [w["key"] for w in wanted]
             found += [lines[w["at"]].strip() for w in wanted]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.string())], ["key", "line"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(shingles(x)) for x in found], pa.int64()), pa.array(found, pa.string())], ["key", "size", "line"])
 
 
-def _verified(pairs: DataFrame, places: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose lines are similar. Texts are fetched for the lines in pairs only, from one place each."""
-    pairs = staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    spots = places.join(wanted, "key").groupBy("key").agg(F.min(F.struct("uid", "at")).alias("spot"))
+def _texts_of(keys: DataFrame, places: DataFrame, docs: DataFrame) -> DataFrame:
+    """key, size and line for the lines in candidates only, from one place each."""
+    spots = places.join(keys.distinct(), "key").groupBy("key").agg(F.min(F.struct("uid", "at")).alias("spot"))
     by_doc = spots.groupBy(F.col("spot.uid").alias("uid")).agg(F.collect_list(F.struct("key", F.col("spot.at").alias("at"))).alias("wanted"))
-    found = staged(docs.select("uid", F.col("row.text").cast("string").alias("text")).join(by_doc, "uid").select("text", "wanted").mapInArrow(_pick, "key long, line string"), "line-texts")
-    both = pairs.join(found.select(F.col("key").alias("a"), F.col("line").alias("text_a")), "a").join(
+    texts = docs.select("uid", F.col("row.text").cast("string").alias("text")).join(by_doc, "uid").select("text", "wanted")
+    return staged(texts.mapInArrow(_pick, "key long, size long, line string"), "line-texts")
+
+
+def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose lines are similar. Sets whose sizes differ too much are not even compared."""
+    pairs = staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
+    sizes = found.select("key", "size")
+    alike = pairs.join(sizes.select(F.col("key").alias("a"), F.col("size").alias("size_a")), "a").join(
+        sizes.select(F.col("key").alias("b"), F.col("size").alias("size_b")), "b").where(_fitting("size_a", "size_b")).select("a", "b")
+    both = alike.join(found.select(F.col("key").alias("a"), F.col("line").alias("text_a")), "a").join(
         found.select(F.col("key").alias("b"), F.col("line").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long")
 
 
+def _fitting(one: str, other: str) -> Column:
+    return F.least(one, other) >= SIMILARITY * F.greatest(one, other)
+
+
 def line_components(places: DataFrame, docs: DataFrame, buckets: int) -> DataFrame:
     """key and component of lines that have a similar line of another text."""
     packed = docs.select(F.col("row.text").cast("string").alias("text")).mapInArrow(_entries(buckets), "bucket long, entries binary")
     candidates = staged(packed.groupBy("bucket").applyInArrow(_candidates, "a long, b long, crowd long"), "line-candidates")
-    links = staged(_verified(candidates.where("a <> b").select("a", "b"), places, docs), "line-links")
-    found = staged(components(links, "line-components"), "line-first")
-    # Whoever of a large group did not join its first is compared with all members outside its own component.
-    roots = F.coalesce("component", "key")
-    crowds = staged(candidates.where("crowd >= 0").select("crowd", F.col("a").alias("lead"), F.col("b").alias("key")).join(
-        found.withColumnRenamed("node", "key"), "key", "left").select("crowd", "lead", "key", roots.alias("root")), "line-crowds")
-    leads = crowds.where("key = lead").select("crowd", F.col("root").alias("lead_root"))
-    apart = crowds.join(leads, "crowd").where("root <> lead_root").select("crowd", F.col("key").alias("a"), F.col("root").alias("root_a"))
-    others = crowds.select("crowd", F.col("key").alias("b"), F.col("root").alias("root_b"))
-    left = apart.join(others, "crowd").where("root_a <> root_b and a <> b").select("a", "b")
-    more = staged(_verified(left, places, docs), "line-links")
+    found = _texts_of(candidates.select(F.col("a").alias("key")).union(candidates.select("b")), places, docs)
+    links = staged(_verified(candidates.where("a <> b").select("a", "b"), found), "line-links")
+    firsts = staged(components(links, "line-components"), "line-first")
+    # Whoever of a large group did not join its main component is compared with all members outside its own.
+    members = candidates.where("crowd >= 0").select("crowd", F.col("a").alias("key")).join(found.select("key", "size"), "key")
+    crowds = staged(members.join(firsts.withColumnRenamed("node", "key"), "key", "left").select(
+        "crowd", "key", "size", F.coalesce("component", "key").alias("root")), "line-crowds")
+    main = crowds.groupBy("crowd", "root").count().groupBy("crowd").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+    apart = crowds.join(main, "crowd").where("root <> main").select("crowd", F.col("key").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("size_a"))
+    others = crowds.select("crowd", F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"))
+    left = apart.join(others, "crowd").where(F.col("root_a") != F.col("root_b")).where(_fitting("size_a", "size_b")).select("a", "b")
+    more = staged(_verified(left, found), "line-links")
     return components(links.union(more), "line-components").select(F.col("node").alias("key"), "component")
 
 
