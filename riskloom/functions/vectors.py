@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,11 @@ def _matrix(vectors: pa.ListArray) -> np.ndarray:
     return flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, 1)
 
 
+def _of_length(vectors: pa.ListArray, length: int) -> np.ndarray:
+    """Which vectors are there and have this length; others have no similarity."""
+    return pc.fill_null(pc.equal(pc.list_value_length(vectors), length), False).to_numpy(zero_copy_only=False)
+
+
 def _masked(score: np.ndarray, length: int, valid: np.ndarray) -> pa.Array:
     out = np.zeros(length)
     out[valid] = score
@@ -29,8 +35,8 @@ def cosine_to(query: Sequence[float]) -> Callable[[Column], Column]:
 
     @F.arrow_udf(T.DoubleType())
     def score(vectors: pa.Array) -> pa.Array:
-        valid = vectors.is_valid().to_numpy(zero_copy_only=False)
-        rows = _matrix(vectors.drop_null())
+        valid = _of_length(vectors, len(needle))
+        rows = _matrix(vectors.filter(pa.array(valid)))
         with np.errstate(invalid="ignore", divide="ignore"):
             values = rows @ needle / np.linalg.norm(rows, axis=1) if len(rows) else np.zeros(0)
         return _masked(values, len(vectors), valid)
@@ -43,12 +49,13 @@ def cosine(left: Column, right: Column) -> Column:
 
     @F.arrow_udf(T.DoubleType())
     def score(a: pa.Array, b: pa.Array) -> pa.Array:
-        valid = (a.is_valid().to_numpy(zero_copy_only=False) & b.is_valid().to_numpy(zero_copy_only=False))
-        keep = pa.array(valid)
-        x, y = _matrix(a.filter(keep)), _matrix(b.filter(keep))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            values = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
-        return _masked(values, len(a), valid)
+        values = np.full(len(a), np.nan)
+        for length in pc.unique(pc.list_value_length(a)).drop_null().to_pylist():
+            alike = _of_length(a, length) & _of_length(b, length)
+            x, y = (_matrix(v.filter(pa.array(alike))) for v in (a, b))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                values[alike] = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
+        return _masked(values, len(a), np.ones(len(a), bool))
 
     return score(left, right)
 
@@ -60,10 +67,10 @@ def cosine_to_many(queries: Sequence[Sequence[float]]) -> Callable[[Column], Col
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def score(vectors: pa.Array) -> pa.Array:
-        valid = vectors.is_valid().to_numpy(zero_copy_only=False)
+        valid = _of_length(vectors, needles.shape[1])
         values = np.full((len(vectors), len(needles)), np.nan)
         if valid.any():
-            rows = _matrix(vectors.drop_null())
+            rows = _matrix(vectors.filter(pa.array(valid)))
             with np.errstate(invalid="ignore", divide="ignore"):
                 values[valid] = rows @ needles.T / np.linalg.norm(rows, axis=1, keepdims=True)
         flat = values.ravel()

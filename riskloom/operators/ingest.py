@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import schemas
-from riskloom.functions.ordering import with_previous
+from riskloom.functions.ordering import with_previous, with_running_sums
 
 # Labels whose relationship references carry a business key; others match by label alone.
 KEYED_REFERENCES = ("Process", "FailureMode", "Requirement", "Audit", "ProcedureStep")
@@ -59,7 +59,7 @@ def _prop(name: str) -> Column:
 
 
 def _description() -> Column:
-    return F.substring(_prop("description"), 1, 50)
+    return _prop("description")
 
 
 def _fallback() -> Column:
@@ -173,48 +173,52 @@ def accepted(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 # --- resolution ------------------------------------------------------------------------------
 
-def resolve_entities(entities: DataFrame, existing: DataFrame) -> DataFrame:
+def resolve_entities(entities: DataFrame, existing: DataFrame, ingested: DataFrame | None = None) -> DataFrame:
     """Gives every candidate an entity id and an action: created, found_identical, created_version.
 
     ``existing``: stored versions as (id, entity_type, business_key, fingerprint[, is_latest]); without
-    the flag every row is the latest of its key. Within a batch each distinct content of a key is one
-    version, in order of first appearance; candidates with equal content share it and stored content
-    is found again, so ingesting a batch a second time changes nothing.
+    the flag every row is the latest of its key. Candidates of a key go in order of ``extracted_at``,
+    then document and ordinal. Each is compared with the version before it: with the latest stored one,
+    or with what the batch has made of it, so content A, then B, then A makes three versions.
+
+    A version's id follows from document and ordinal, so a candidate whose own version is stored already
+    makes none. ``ingested`` (document_id, ordinal, entity_id), the extraction records so far, says the
+    same of candidates that found their content: they keep the entity they have and make no version.
     """
     own_id = F.concat(F.lit("ent-"), F.substring(F.sha2(F.concat_ws(
         "|", "entity_type", "business_key", "document_id", F.col("ordinal").cast("string")), 256), 1, 24))
     candidates = entities.withColumn("business_key", business_key()).withColumns(
         {"fingerprint": content_fingerprint(), "own_id": own_id})
+    columns = candidates.columns
     versioned = F.col("entity_type").isin(*VERSIONED_LABELS)
-    contents = candidates.filter(versioned).groupBy("entity_type", "business_key", "fingerprint").agg(
-        F.min(F.struct("document_id", "ordinal", "own_id")).alias("first"))
-    contents = contents.select("entity_type", "business_key", "fingerprint", F.col("first.document_id").alias("first_doc"),
-                               F.col("first.ordinal").alias("first_ordinal"), F.col("first.own_id").alias("version_id"))
+    keys, order = ["entity_type", "business_key"], ["extracted_at", "document_id", "ordinal"]
+    known = candidates.filter(F.lit(False)).withColumn("entity_id", F.lit(None).cast("string"))
+    if ingested is not None:
+        seen = ["document_id", "ordinal"]
+        known = candidates.join(ingested.select(*seen, "entity_id"), seen).select(*columns, "entity_id")
+        candidates = candidates.join(ingested.select(*seen), seen, "left_anti").select(*columns)
     if "is_latest" not in existing.columns:
         existing = existing.withColumn("is_latest", F.lit(True))
-    stored = existing.groupBy("entity_type", "business_key", "fingerprint").agg(F.min("id").alias("stored_id"))
-    latest = existing.filter("is_latest").groupBy("entity_type", "business_key").agg(F.min("id").alias("latest_id"))
-    contents = contents.join(stored, ["entity_type", "business_key", "fingerprint"], "left").join(
-        latest, ["entity_type", "business_key"], "left")
-    fresh = with_previous(contents.filter("stored_id is null"), ["entity_type", "business_key"],
-                          ["first_doc", "first_ordinal"], ["version_id"])
-    versions = fresh.select(
-        "entity_type", "business_key", "fingerprint", "version_id", F.lit(True).alias("is_new"),
-        F.coalesce("prev_version_id", "latest_id").alias("supersedes_id")).unionByName(
-        contents.filter("stored_id is not null").select(
-            "entity_type", "business_key", "fingerprint", F.col("stored_id").alias("version_id"),
-            F.lit(False).alias("is_new"), F.lit(None).cast("string").alias("supersedes_id")))
-    resolved = candidates.filter(versioned).join(versions, ["entity_type", "business_key", "fingerprint"])
-    is_first = F.col("is_new") & (F.col("version_id") == F.col("own_id"))
-    created = resolved.withColumns({
-        "action": F.when(~is_first, "found_identical").when(F.col("supersedes_id").isNotNull(), "created_version").otherwise("created"),
-        "entity_id": F.col("version_id"),
-        "supersedes_id": F.when(is_first, F.col("supersedes_id")),
-    }).drop("is_new")
-    always = candidates.filter(~versioned).withColumns({
-        "version_id": F.col("own_id"), "supersedes_id": F.lit(None).cast("string"),
-        "action": F.lit("created"), "entity_id": F.col("own_id")})
-    return created.unionByName(always).drop("own_id", "version_id")
+    latest = existing.filter("is_latest").groupBy(*keys).agg(F.min(F.struct("id", "fingerprint")).alias("latest"))
+    stored = existing.select(F.col("id").alias("own_id"), F.lit(True).alias("is_stored")).distinct()
+    narrow = (candidates.filter(versioned).select(*keys, *order, "own_id", "fingerprint").join(latest, keys, "left")
+              .join(stored, "own_id", "left"))
+    before = with_previous(narrow, keys, order, ["fingerprint"])
+    opens = ~F.coalesce(F.col("prev_fingerprint"), F.col("latest.fingerprint"), F.lit("")).eqNullSafe(F.col("fingerprint"))
+    counted = with_running_sums(before.withColumn("opens", opens.cast("bigint")), keys, order, ["opens"])
+    # Version 0 is the latest stored one; version n is the n-th that the batch opens.
+    versions = counted.filter("opens = 1").select(*keys, F.col("sum_opens").alias("n"), F.col("own_id").alias("version_id"))
+    earlier = versions.select(*keys, (F.col("n") + 1).alias("n"), F.col("version_id").alias("earlier_id"))
+    placed = (counted.withColumn("n", F.col("sum_opens")).join(versions, [*keys, "n"], "left").join(earlier, [*keys, "n"], "left"))
+    is_new = (F.col("opens") == 1) & F.col("is_stored").isNull()
+    supersedes = F.when(is_new, F.coalesce("earlier_id", "latest.id"))
+    decided = placed.select("own_id", F.when(F.col("is_stored"), F.col("own_id")).otherwise(F.coalesce("version_id", "latest.id")).alias("entity_id"), supersedes.alias("supersedes_id"),
+                            F.when(~is_new, "found_identical").when(supersedes.isNotNull(), "created_version").otherwise("created").alias("action"))
+    created = candidates.filter(versioned).join(decided, "own_id").select(*columns, "action", "entity_id", "supersedes_id")
+    always = candidates.filter(~versioned).select(
+        *columns, F.lit("created").alias("action"), F.col("own_id").alias("entity_id"), F.lit(None).cast("string").alias("supersedes_id"))
+    repeated = known.select(*columns, F.lit("found_identical").alias("action"), "entity_id", F.lit(None).cast("string").alias("supersedes_id"))
+    return created.unionByName(always).unionByName(repeated).drop("own_id")
 
 
 def supersedes_edges(resolved: DataFrame) -> DataFrame:

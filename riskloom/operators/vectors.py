@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.filters import matches
@@ -18,6 +16,7 @@ from riskloom.operators.patterns import chunks_of, expand_relationships, reachab
 from riskloom.session import cut_lineage
 
 MAX_QUERIES = 1000
+SIGN_BITS = 16
 
 
 def vector_search(chunks: DataFrame, query: Sequence[float], k: int = 10,
@@ -61,20 +60,25 @@ def search_many(chunks: DataFrame, queries: Mapping[int, Sequence[float]], k: in
     return (scored.filter("score is not null").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k))
 
 
-def approximate_search(chunks: DataFrame, query: Sequence[float], k: int = 10, bucket_length: float = 1.0,
-                       tables: int = 4, seed: int = 17) -> DataFrame:
-    """Approximate top k: locality-sensitive hashing of unit vectors, ranked by exact distance.
+def sign_distance(query: Sequence[float], bits: int = SIGN_BITS) -> Column:
+    """In how many of ``bits`` bits an embedding's code differs from the query's; a bit is the sign of the difference of two coordinates."""
+    pairs = [(2 * b, 2 * b + 1) for b in range(min(bits, len(query) // 2))]
+    at = lambda i: F.get("embedding", F.lit(i))
+    return reduce(lambda x, y: x + y, [((at(i) > at(j)) != F.lit(query[i] > query[j])).cast("int") for i, j in pairs], F.lit(0))
 
-    Only chunks that share a bucket with the query are scored, so fewer than k may come back.
+
+def approximate_search(chunks: DataFrame, query: Sequence[float], k: int = 10, bits: int = SIGN_BITS) -> DataFrame:
+    """Approximate top k: only chunks whose sign code is near the query's are scored exactly.
+
+    The radius in code bits is the least that holds k chunks, so k rows come back whenever there are k embeddings of the
+    query's length.
     """
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = chunks.withColumn("unit", array_to_vector(F.transform("embedding", lambda x: x.cast("double") / norm)))
-    length = sum(float(x) ** 2 for x in query) ** 0.5
-    model = BucketedRandomProjectionLSH(
-        inputCol="unit", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed).fit(unit)
-    near = model.approxNearestNeighbors(unit, Vectors.dense([float(x) / length for x in query]), k, distCol="distance")
-    # On unit vectors the squared distance is 2 - 2 cos.
-    return near.withColumn("score", 1 - F.col("distance") * F.col("distance") / 2).drop("unit", "hashes", "distance")
+    usable = chunks.filter(F.size("embedding") == len(query)).withColumn("_code", sign_distance(query, bits))
+    sizes = usable.groupBy("_code").agg(F.count(F.lit(1)).alias("n"))  # bits + 1 rows at most
+    within = sizes.withColumn("within", F.sum("n").over(Window.orderBy("_code")))
+    radius = within.agg(F.min(F.when(F.col("within") >= k, F.col("_code")))).scalar()
+    near = usable.filter(F.col("_code") <= F.coalesce(radius, F.lit(bits)))
+    return vector_search(near, query, k).drop("_code")
 
 
 def count_by_filter(chunks: DataFrame, filters: Mapping[str, object] | None = None) -> DataFrame:

@@ -314,7 +314,7 @@ QUERIES: dict[str, Query] = {
     "v03_nearest_chunks": on_graph(lambda g: vec.nearest_chunks(
         g.chunks.select(F.col("id").alias("question_id"), "document_id", "embedding"), g.chunks, 3).select(
         "question_id", "chunk_id", F.round("score", 5).alias("score"), F.col("rank").cast("bigint").alias("rank"))),
-    "v04_approximate_search": on_graph(lambda g: vec.approximate_search(g.chunks, query_vector(g), 10).select("id", "score")),
+    "v04_approximate_search": on_graph(lambda g: vec.approximate_search(g.chunks, query_vector(g), 10).select("id", F.round("score", 5).alias("score"))),
     "v06_chunks_of_nodes": on_graph(lambda g: pt.chunks_of(g, fmea_documents(g).withColumnRenamed("document_id", "id")).select("id", "graph_node_id")),
     "v07_count_by_filter": on_graph(lambda g: vec.count_by_filter(g.chunks, {"is_oversized": True, "context": ["en", "de"]})),
     "v08_semantic_search": on_graph(lambda g: vec.semantic_search(g, query_vector(g), 5, depth=2).withColumn("score", F.round("score", 5))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from riskloom.plans.graph_sql import with_graph
 
 _VEC = "list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
+_SIGNS = " + ".join(f"CAST((c.embedding[{i}] > c.embedding[{i + 1}]) <> (q.embedding[{i}] > q.embedding[{i + 1}]) AS INT)" for i in range(1, 33, 2))
 _HITS = f"""SELECT c.id, c.document_id, c.semantic_type, c.context, c.tokens, round({_VEC}, 5) AS score, {_VEC} AS s
     FROM chunk c, (SELECT embedding FROM chunk WHERE id = 'chk-7') q"""
 _BOTH = """SELECT src AS id, dst AS neighbour_id, dst_label AS neighbour_type, rel_type, src, dst, 'out' AS direction FROM edge
@@ -58,25 +59,24 @@ _VERDICTS = """SELECT document_id, n IS NULL AS valid, coalesce(n, 0) AS error_c
       FROM (SELECT 0 AS stage, * FROM ent_errors UNION ALL SELECT 1, * FROM rel_errors) WHERE errors <> '' GROUP BY 1) USING (document_id)"""
 _HASH = "'ent-' || substr(sha256(entity_type || '|' || business_key || '|' || document_id || '|' || ordinal), 1, 24)"
 # Contents of a failure mode differ by description only (severity follows the user).
-_KEYED = f"""SELECT document_id, ordinal, entity_type, business_key, description, {_HASH} AS own_id FROM (
-      SELECT *, CASE entity_type WHEN 'FailureMode' THEN head_property WHEN 'Audit' THEN head_property ELSE description END AS business_key
-      FROM ent WHERE document_id IN (SELECT document_id FROM verdicts WHERE valid))"""
-_CONTENTS = """SELECT c.*, s.id AS stored_id, coalesce(s.description = c.description, false) AS known FROM (
-      SELECT entity_type, business_key, coalesce(description, '') AS description, min((document_id, ordinal)) AS first, arg_min(own_id, (document_id, ordinal)) AS version_id
-      FROM keyed WHERE entity_type IN ('FailureMode', 'Audit') GROUP BY 1, 2, 3) c
+_KEYED = f"""SELECT document_id, ordinal, entity_type, business_key, coalesce(description, '') AS content, {_HASH} AS own_id, ts FROM (
+      SELECT ent.*, ev.ts, CASE entity_type WHEN 'FailureMode' THEN head_property WHEN 'Audit' THEN head_property ELSE description END AS business_key
+      FROM ent JOIN ev USING (document_id) WHERE document_id IN (SELECT document_id FROM verdicts WHERE valid))"""
+# Each candidate against the one before it by time, the first against the stored version.
+_CONTENTS = """SELECT k.*, s.id AS stored_id,
+      coalesce(lag(content) OVER w, s.description, chr(1)) <> content AS opens FROM keyed k
     LEFT JOIN (SELECT 'fm-' || p_partkey AS id, 'FM-' || p_partkey AS code,
         ['error failure', 'click failure', 'view failure'][p_size % 3 + 1] AS description FROM part) s
-      ON c.entity_type = 'FailureMode' AND s.code = c.business_key"""
-_VERSIONS = """SELECT entity_type, business_key, description, version_id,
-      coalesce(lag(version_id) OVER (PARTITION BY entity_type, business_key ORDER BY first), stored_id) AS supersedes_id
-    FROM contents WHERE NOT known
-    UNION ALL SELECT entity_type, business_key, description, stored_id, NULL FROM contents WHERE known"""
+      ON k.entity_type = 'FailureMode' AND s.code = k.business_key
+    WHERE k.entity_type IN ('FailureMode', 'Audit') WINDOW w AS (PARTITION BY k.entity_type, k.business_key ORDER BY k.ts, k.document_id, k.ordinal)"""
+_VERSIONS = """SELECT *, coalesce(last_value(CASE WHEN opens THEN own_id END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING), stored_id) AS entity_id,
+      CASE WHEN opens THEN coalesce(last_value(CASE WHEN opens THEN own_id END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), stored_id) END AS supersedes_id
+    FROM contents WINDOW w AS (PARTITION BY entity_type, business_key ORDER BY ts, document_id, ordinal)"""
 _RESOLVED = """SELECT k.document_id, k.ordinal, k.entity_type, k.business_key,
-      CASE WHEN v.version_id IS NULL THEN 'created' WHEN v.version_id <> own_id THEN 'found_identical'
+      CASE WHEN v.own_id IS NULL THEN 'created' WHEN NOT v.opens THEN 'found_identical'
            WHEN v.supersedes_id IS NOT NULL THEN 'created_version' ELSE 'created' END AS action,
-      coalesce(v.version_id, own_id) AS entity_id, CASE WHEN v.version_id = own_id THEN v.supersedes_id END AS supersedes_id
-    FROM keyed k LEFT JOIN versions v ON v.entity_type = k.entity_type AND v.business_key = k.business_key
-      AND v.description = coalesce(k.description, '')"""
+      CASE WHEN v.own_id IS NULL THEN k.own_id ELSE v.entity_id END AS entity_id, v.supersedes_id
+    FROM keyed k LEFT JOIN versions v ON v.own_id = k.own_id"""
 _REFS = """SELECT document_id, entity_type || ':' || business_key AS ref, arg_max(entity_id, ordinal) AS entity_id, max(entity_type) AS entity_type
     FROM resolved GROUP BY 1, 2"""
 _LINKED = """SELECT r.document_id, a.entity_id AS src, b.entity_id AS dst, rel_type, CAST(0.9 AS DOUBLE) AS confidence FROM rel r
@@ -252,7 +252,12 @@ ORACLES: dict[str, str] = {
     "v03_nearest_chunks": with_graph(f"""
         SELECT question_id, chunk_id, round(s, 5) AS score, rank FROM (
           SELECT q.id AS question_id, c.id AS chunk_id, {_VEC} AS s, row_number() OVER (PARTITION BY q.id ORDER BY {_VEC} DESC, c.id) AS rank
-          FROM chunk q JOIN chunk c USING (document_id)) WHERE rank <= 3"""),
+          FROM chunk q JOIN chunk c USING (document_id) WHERE q.embedding IS NOT NULL AND c.embedding IS NOT NULL) WHERE rank <= 3"""),
+    "v04_approximate_search": with_graph("""
+        SELECT id, round(s, 5) AS score FROM coded
+        WHERE bits <= coalesce((SELECT min(bits) FROM (SELECT bits, sum(count(*)) OVER (ORDER BY bits) AS n FROM coded GROUP BY bits) WHERE n >= 10), 16)
+        ORDER BY s DESC, id LIMIT 10""",
+        coded=f"SELECT c.id, {_VEC} AS s, {_SIGNS} AS bits FROM chunk c, (SELECT embedding FROM chunk WHERE id = 'chk-7') q WHERE c.embedding IS NOT NULL"),
     "v06_chunks_of_nodes": with_graph("""
         SELECT id, document_id AS graph_node_id FROM chunk WHERE document_id IN (SELECT id FROM document WHERE document_type = 'fmea')"""),
     "v07_count_by_filter": with_graph("SELECT count(*) AS chunks FROM chunk WHERE is_oversized AND context IN ('en', 'de')"),

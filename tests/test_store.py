@@ -123,8 +123,8 @@ def test_ingestion_versions_and_is_idempotent(spark):
     good = ingest.accepted(entities, verdicts)
     none = spark.createDataFrame([], "id string, entity_type string, business_key string, fingerprint string")
     first = ingest.resolve_entities(good, none)
-    assert table(first.filter("entity_type = 'FailureMode'"), "document_id", "action") == {("d1", "created"), ("d2", "created_version"), ("d3", "found_identical")}
-    assert ingest.supersedes_edges(first).count() == 1
+    assert table(first.filter("entity_type = 'FailureMode'"), "document_id", "action") == {("d1", "created"), ("d2", "created_version"), ("d3", "created_version")}
+    assert ingest.supersedes_edges(first).count() == 2
     references = ingest.entity_references(first)
     linked = ingest.resolve_relationships(ingest.accepted(relationships, verdicts), references)
     assert [r.rel_type for r in linked.collect()] == ["IMPLIES"]
@@ -133,9 +133,23 @@ def test_ingestion_versions_and_is_idempotent(spark):
     again = ingest.resolve_entities(good.filter("document_id = 'd2'"), latest)
     assert [(r.action, r.entity_id) for r in again.collect()] == [("found_identical", latest.first().id)]
     kept = first.filter("action <> 'found_identical' and entity_type = 'FailureMode'").select(
-        F.col("entity_id").alias("id"), "entity_type", "business_key", "fingerprint", (F.col("document_id") == "d2").alias("is_latest"))
+        F.col("entity_id").alias("id"), "entity_type", "business_key", "fingerprint", (F.col("document_id") == "d3").alias("is_latest"))
     repeated = ingest.resolve_entities(good, kept).filter("entity_type = 'FailureMode'")
     assert {r.action for r in repeated.collect()} == {"found_identical"} and ingest.supersedes_edges(repeated).isEmpty()
+    assert table(repeated, "document_id", "entity_id") == table(first.filter("entity_type = 'FailureMode'"), "document_id", "entity_id")
+
+
+def test_known_extractions_open_no_version(spark):
+    raw = spark.createDataFrame([extraction(d, [("FailureMode", {"code": "A", "description": text}, 0.9)]) for d, text in (("d1", "one"), ("d2", "one"), ("d3", "two"))],
+                                "document_id string, model_used string, extracted_at timestamp_ntz, response string")
+    entities = ingest.parse_entities(raw)
+    none = spark.createDataFrame([], "id string, entity_type string, business_key string, fingerprint string")
+    first = ingest.resolve_entities(entities, none)
+    assert table(first, "document_id", "action") == {("d1", "created"), ("d2", "found_identical"), ("d3", "created_version")}
+    stored = first.filter("action <> 'found_identical'").select(
+        F.col("entity_id").alias("id"), "entity_type", "business_key", "fingerprint", (F.col("document_id") == "d3").alias("is_latest"))
+    again = ingest.resolve_entities(entities.filter("document_id = 'd2'"), stored, first.select("document_id", "ordinal", "entity_id"))
+    assert table(again, "document_id", "action", "entity_id") == {("d2", "found_identical", first.filter("document_id = 'd1'").first().entity_id)}
 
 
 def test_relationship_rules(spark):
