@@ -32,7 +32,7 @@ from riskloom.llm.common import bucketed, staged, table, text_buckets
 MATCH, GRAM = 50, 24
 GRAMS = MATCH - GRAM + 1
 #: Text of a shard, text that is hashed at once, text for each bucket of names, and spans of an anchor that one bucket sorts.
-SHARD_BYTES, SEGMENT, BUCKET_BYTES, CROWD = 2 << 20, 2 << 20, 16 << 20, 20_000
+SHARD_BYTES, SEGMENT, BUCKET_BYTES, CROWD = 2 << 20, 1 << 20, 16 << 20, 20_000
 
 U = np.uint64
 _BYTE = np.random.default_rng(50).integers(1, 1 << 63, 256, np.uint64) * U(2) + U(1)
@@ -85,7 +85,6 @@ class Shard:
         start = np.flatnonzero(change)
         count = np.diff(np.append(start, n))
         start, count = start[valid[start]], count[valid[start]]
-        self._wide = wide
         anchor = anchor[start]
         first, last = self._window(wide, start), self._window(wide, start + count - 1)
         # The first and the last window cover the span between them.
@@ -341,10 +340,13 @@ def judged_windows(runs: list[np.ndarray]) -> list[np.ndarray]:
     return np.split((least[inverse] < every["id"]).astype(np.uint8), np.cumsum([len(r) for r in runs])[:-1])
 
 
-#: Questions in order: how a shard asks, how a bucket reads its runs, how it answers, and after how many answers it is asked.
-QUESTIONS: list[tuple[str, np.dtype, Callable, int]] = [
-    ("question1", np.dtype("<u4"), shared_grams, 0), ("question2", _SPAN, judged_spans, 1),
-    ("question3", _TEXT, sorted_spans, 2), ("question4", _NAME, judged_windows, 2)]
+#: Rounds of questions: how a shard asks, how a bucket reads its runs, and how it answers. Questions of a round go out together.
+ROUNDS: list[list[tuple[str, np.dtype, Callable]]] = [
+    [("question1", np.dtype("<u4"), shared_grams)],
+    [("question2", _SPAN, judged_spans)],
+    [("question3", _TEXT, sorted_spans), ("question4", _NAME, judged_windows)],
+]
+ANSWERS = sum(map(len, ROUNDS))
 
 
 def _packed(shard_bytes: int):
@@ -375,14 +377,14 @@ def _packed(shard_bytes: int):
     return run
 
 
-def _asking(question: str, answers: int, buckets: int):
+def _asking(questions: list[str], answers: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for work, number in _works(batch, answers, buckets):
-                rows = list(getattr(work, question)())
+                rows = [(kind, *row) for kind, question in enumerate(questions) for row in getattr(work, question)()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
-                    ["shard", "bucket", "run"])
+                    [pa.array([number] * len(rows), pa.int64()), *[pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))]],
+                    ["shard", "kind", "bucket", "run"])
     return run
 
 
@@ -393,10 +395,12 @@ def _works(batch: pa.RecordBatch, answers: int, buckets: int) -> Iterator[tuple[
         yield Work(shard, said, buckets), batch.column("shard")[i].as_py()
 
 
-def _answering(kind: np.dtype, judge: Callable):
+def _answering(kinds: list[np.dtype], judges: list[Callable]):
     def run(part: pa.Table) -> pa.Table:
-        runs = [np.frombuffer(x, kind) for x in part.column("run").to_pylist()]
-        return pa.table([part.column("shard"), part.column("bucket"), pa.array([x.tobytes() for x in judge(runs)], pa.binary())], ["shard", "bucket", "answer"])
+        kind = part.column("kind")[0].as_py()
+        runs = [np.frombuffer(x, kinds[kind]) for x in part.column("run").to_pylist()]
+        answers = pa.array([x.tobytes() for x in judges[kind](runs)], pa.binary())
+        return pa.table([*(part.column(c) for c in ("shard", "kind", "bucket")), answers], ["shard", "kind", "bucket", "answer"])
     return run
 
 
@@ -414,16 +418,21 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     packed = docs.select(F.col("doc_id").cast("long"), text.alias("text")).mapInArrow(
         _packed(shard_bytes), "shard long, doc_ids array<bigint>, ids binary, ends binary, data binary")
     held = bucketed(packed, "shard", buckets, "substring_shards")
-    for k, (question, kind, judge, answers) in enumerate(QUESTIONS):
-        needed = held.select("shard", "ids", "ends", "data", *[f"answer{i}" for i in range(answers)])
-        asked = needed.mapInArrow(_asking(question, answers, buckets), "shard long, bucket long, run binary")
-        replies = staged(asked.groupBy("bucket").applyInArrow(_answering(kind, judge), "shard long, bucket long, answer binary"), question)
-        by_shard = replies.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("bucket", "answer"))).alias(f"answer{k}"))
+    known = 0
+    for questions in ROUNDS:
+        names, kinds, judges = (list(x) for x in zip(*questions, strict=True))
+        needed = held.select("shard", "ids", "ends", "data", *[f"answer{i}" for i in range(known)])
+        asked = needed.mapInArrow(_asking(names, known, buckets), "shard long, kind int, bucket long, run binary")
+        replies = staged(asked.groupBy("kind", "bucket").applyInArrow(
+            _answering(kinds, judges), "shard long, kind int, bucket long, answer binary"), names[0])
+        of = lambda kind: F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("bucket", "answer"))))
+        by_shard = replies.groupBy("shard").agg(*[of(i).alias(f"answer{known + i}") for i in range(len(names))])
         held = held.join(by_shard, "shard", "left")
+        known += len(names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (work, _) in enumerate(_works(batch, len(QUESTIONS), buckets)):
+            for i, (work, _) in enumerate(_works(batch, ANSWERS, buckets)):
                 gone, data = work.removed(), work.shard.data
                 ids, sizes, runs, kept, start = batch.column("doc_ids")[i].as_py(), [], [], [], 0
                 for end in work.shard.ends.tolist():
