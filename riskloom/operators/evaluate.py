@@ -161,73 +161,41 @@ def score_band(score: Column) -> Column:
     return F.when(score >= 0.8, "Excellent").when(score >= 0.6, "Good").otherwise("Needs Work")
 
 
-def _percent(score: Column) -> Column:
-    return F.concat(F.format_number(score * 100, 1), F.lit("%"))
-
-
-def _lines(*rules: tuple[Column, Column | str]) -> Column:
-    found = F.array(*[F.when(condition, F.lit(line) if isinstance(line, str) else line) for condition, line in rules])
-    return F.filter(found, lambda line: line.isNotNull())
+#: Rules on the figures of a run: rule, measure, least value, value it stays below (None: open), level.
+RUN_RULES = (
+    ("first_hit_strong", "first_hit", 0.8, None, "good"), ("first_hit_fair", "first_hit", 0.6, 0.8, "fair"),
+    ("first_hit_weak", "first_hit", None, 0.6, "poor"), ("tune_chunk_size", "first_hit", None, 0.7, "act"),
+    ("review_order", "mrr", None, 0.6, "act"), ("focused_chunks", "unity", 0.8, None, "good"),
+    ("mixed_chunks", "unity", None, 0.6, "poor"), ("split_topics", "unity", None, 0.7, "act"),
+    ("broken_boundaries", "clean", None, 0.7, "poor"), ("facts_cut", "preservation", None, 0.9, "poor"),
+    ("overall_strong", "overall", 0.8, None, "good"), ("overall_weak", "overall", None, 0.6, "poor"),
+)
+#: Rules on a comparison, by the size of a difference: rule, measure, value it must exceed, level.
+COMPARISON_RULES = (
+    ("retrieval_differs", "retrieval_delta", 0.05, "note"), ("form_differs", "intrinsic_delta", 0.05, "note"),
+    ("retrieval_decides", "retrieval_delta", 0.1, "act"),
+)
 
 
 def run_insights(runs: DataFrame) -> DataFrame:
-    """What the figures of a run mean: (document_id, chunker_type, kind, position, line)."""
-    hit, unity = F.col("hit_rate_1"), F.col("avg_concept_unity") / 5
-    clean, kept, overall = F.col("clean_boundary_rate"), F.col("preservation_score"), F.col("overall_score")
-    finds = F.concat(F.lit("Your chunking strategy finds the right information "), _percent(hit), F.lit(" of the time on the first try"))
-    lost = (F.col("total_facts") - F.col("facts_found")).cast("string")
-    insights = _lines(
-        (hit >= 0.8, F.concat(finds, F.lit("."))),
-        ((hit >= 0.6) & (hit < 0.8), F.concat(finds, F.lit(", with room for improvement."))),
-        (hit < 0.6, F.concat(F.lit("Your chunking strategy struggles to find the right information (only "), _percent(hit), F.lit(" first-try accuracy)."))),
-        (unity >= 0.8, F.concat(F.lit("Chunks are well-focused on single topics ("), _percent(unity), F.lit(" coherence)."))),
-        (unity < 0.6, F.concat(F.lit("Chunks mix multiple topics ("), _percent(unity), F.lit(" coherence), which may confuse retrieval."))),
-        (clean < 0.7, F.concat(F.lit("Many chunks break at unnatural boundaries ("), _percent(1 - clean), F.lit("), potentially splitting related content."))),
-        (kept < 0.9, F.concat(lost, F.lit(" key facts may be lost or fragmented across chunks."))),
-        (overall >= 0.8, "Overall, your chunking strategy performs well and should provide reliable search results."),
-        (overall < 0.6, "Overall performance is below optimal. Consider adjusting chunking parameters or strategy."),
-    )
-    advice = _lines(
-        (hit < 0.7, "Consider adjusting chunk size or overlap to improve first-result accuracy"),
-        (F.col("mrr") < 0.6, "Review chunk boundaries to ensure related content stays together"),
-        (unity < 0.7, "Chunks may be too large or mixing topics; try smaller, more focused chunks"),
-        (clean < 0.7, "Improve boundary detection to avoid splitting sentences or concepts"),
-        (kept < 0.9, "Some facts may be fragmented; review missing facts and adjust chunking strategy"),
-    )
-    fine = F.array(F.lit("Your chunking strategy is performing well. No immediate changes needed."))
-    return _report(runs, ["document_id", "chunker_type"], insight=insights,
-                   recommendation=F.when(F.size(advice) > 0, advice).otherwise(fine))
+    """Which rules of RUN_RULES a run meets: (document_id, chunker_type, rule, level, value, low, high)."""
+    measures = {"first_hit": F.col("hit_rate_1"), "mrr": F.col("mrr"), "unity": F.col("avg_concept_unity") / 5, "clean": F.col("clean_boundary_rate"),
+                "preservation": F.col("preservation_score"), "overall": F.col("overall_score")}
+    bound = lambda x: F.lit(x).cast("double")
+    met = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(level).alias("level"), measures[m].alias("value"), bound(low).alias("low"), bound(high).alias("high"))
+                    for rule, m, low, high, level in RUN_RULES])
+    return (runs.select("document_id", "chunker_type", F.explode(met).alias("r")).select("document_id", "chunker_type", "r.*")
+            .filter((F.col("low").isNull() | (F.col("value") >= F.col("low"))) & (F.col("high").isNull() | (F.col("value") < F.col("high")))))
 
 
 def comparison_insights(comparisons: DataFrame) -> DataFrame:
-    """The verdict of a comparison: (document_id, kind, position, line)."""
-    winner, retrieval, intrinsic = F.col("winner"), F.col("retrieval_delta"), F.col("intrinsic_delta")
-    points = F.format_number(F.abs(F.col("overall_delta") * 100), 1)
-    beats = lambda a, b: F.concat(F.lit(f"{a} chunking outperforms {b} by "), points, F.lit(" points overall."))
-    insights = _lines(
-        (winner == "tie", "Both chunking strategies perform similarly. Either approach should work well."),
-        (winner == "semantic", beats("Semantic", "Fixed-size")), (winner == "fixed", beats("Fixed-size", "Semantic")),
-        (retrieval > 0.05, F.concat(F.lit("Semantic chunking finds answers "), _percent(retrieval), F.lit(" more accurately."))),
-        (retrieval < -0.05, F.concat(F.lit("Fixed-size chunking finds answers "), _percent(-retrieval), F.lit(" more accurately."))),
-        (intrinsic > 0.05, F.concat(F.lit("Semantic chunks are better-formed ("), _percent(intrinsic), F.lit(" better coherence)."))),
-        (intrinsic < -0.05, F.concat(F.lit("Fixed-size chunks are better-formed ("), _percent(-intrinsic), F.lit(" better coherence)."))),
-    )
-    advice = _lines(
-        (winner == "semantic", "Use semantic chunking for this document type"),
-        (winner == "semantic", "Semantic chunking better preserves topic coherence and improves search accuracy"),
-        (winner == "fixed", "Fixed-size chunking may be simpler and sufficient for this document"),
-        (winner == "fixed", "Consider if the performance difference justifies the added complexity"),
-        (winner == "tie", "Both strategies work well; choose based on implementation complexity"),
-        (retrieval > 0.1, "Semantic chunking significantly improves search accuracy"),
-        (retrieval < -0.1, "Fixed-size chunking provides better search accuracy for this document"),
-    )
-    return _report(comparisons, ["document_id"], insight=insights, recommendation=advice)
-
-
-def _report(rows: DataFrame, keys: list[str], **sections: Column) -> DataFrame:
-    parts = [rows.select(*keys, F.lit(kind).alias("kind"), F.posexplode(lines).alias("position", "line"))
-             for kind, lines in sections.items()]
-    return reduce(DataFrame.unionByName, parts)
+    """The verdict of a comparison and what it rests on: (document_id, rule, level, favours, value, threshold)."""
+    favours = lambda delta: F.when(delta > 0, "semantic").otherwise("fixed")
+    row = lambda rule, level, side, value, threshold: F.struct(
+        F.lit(rule).alias("rule"), F.lit(level).alias("level"), side.alias("favours"), value.alias("value"), F.lit(threshold).alias("threshold"))
+    differing = [F.when(F.abs(F.col(m)) > least, row(rule, level, favours(F.col(m)), F.col(m), least)) for rule, m, least, level in COMPARISON_RULES]
+    met = F.array(row("winner", "verdict", F.col("winner"), F.col("overall_delta"), TIE), *differing)
+    return (comparisons.select("document_id", F.explode(met).alias("r")).filter("r is not null").select("document_id", "r.*"))
 
 
 def run_summaries(runs: DataFrame) -> DataFrame:

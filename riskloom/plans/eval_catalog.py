@@ -96,6 +96,16 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.with_overall_score(table)
 
 
+def summary_fields(summaries: DataFrame) -> DataFrame:
+    """The summaries with every field read back from the JSON."""
+    field = lambda path, kind: F.get_json_object("summary", f"$.{path}").cast(kind).alias(path.split(".")[-1])
+    return summaries.select(
+        "document_id", "chunker_type", *[F.round(field(f"metrics.{p}", "double"), 6).alias(p.split(".")[-1]) for p in (
+            "retrieval.hit_rate_1", "retrieval.hit_rate_3", "retrieval.hit_rate_5", "retrieval.mrr", "intrinsic.avg_concept_unity",
+            "intrinsic.clean_boundary_rate", "intrinsic.avg_standalone_score", "preservation", "overall")],
+        *[field(f"counts.{p}", "bigint") for p in ("questions", "chunks", "facts")])
+
+
 def question_vectors(graph: AuditGraph) -> dict[int, list[float]]:
     """Stored embeddings stand in for the twenty embedded questions."""
     ids = {f"chk-{row[0]}": row[0] for row in gt.GROUND_TRUTH}
@@ -148,10 +158,10 @@ QUERIES: dict[str, Query] = {
     "e07_missing_facts": lambda s, d: ev.missing_facts(findings(s, d)),
     "e08_overall_score": lambda s, d: runs(s, d).select("document_id", "chunker_type", "overall_score"),
     "e09_compare_runs": lambda s, d: ev.compare_runs(runs(s, d)),
-    "e10_run_insights": lambda s, d: ev.run_insights(runs(s, d)).withColumn("position", F.col("position").cast("bigint")),
-    "e10_comparison_insights": lambda s, d: ev.comparison_insights(ev.compare_runs(runs(s, d))).withColumn("position", F.col("position").cast("bigint")),
+    "e10_run_insights": lambda s, d: ev.run_insights(runs(s, d)).withColumn("value", F.round("value", 6)),
+    "e10_comparison_insights": lambda s, d: ev.comparison_insights(ev.compare_runs(runs(s, d))),
     "e10_score_bands": lambda s, d: runs(s, d).groupBy(ev.score_band(F.col("overall_score")).alias("band")).agg(F.count(F.lit(1)).alias("runs")),
-    "e11_run_summaries": lambda s, d: ev.run_summaries(runs(s, d)),
+    "e11_run_summaries": lambda s, d: summary_fields(ev.run_summaries(runs(s, d))),
     "e12_entity_scores": on_graph(entity_scores),
     "e13_keyword_coverage": on_graph(coverage_scores),
     "e14_category_means": on_graph(summary),

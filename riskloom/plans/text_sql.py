@@ -360,22 +360,27 @@ ORACLES: dict[str, str] = {
     "e09_compare_runs": _RUNS + f" {_COMPARE}",
     "e10_score_bands": _RUNS + """ SELECT CASE WHEN overall_score >= 0.8 THEN 'Excellent' WHEN overall_score >= 0.6 THEN 'Good' ELSE 'Needs Work' END AS band,
         count(*) AS runs FROM runs GROUP BY 1""",
-    "e10_comparison_insights": _RUNS + f""", cmp AS ({_COMPARE}), listed AS (
-        SELECT document_id, 'insight' AS kind, list_filter([
-          CASE winner WHEN 'tie' THEN 'Both chunking strategies perform similarly. Either approach should work well.'
-            WHEN 'semantic' THEN 'Semantic chunking outperforms Fixed-size by ' || printf('%.1f', abs(overall_delta * 100)) || ' points overall.'
-            ELSE 'Fixed-size chunking outperforms Semantic by ' || printf('%.1f', abs(overall_delta * 100)) || ' points overall.' END,
-          CASE WHEN abs(retrieval_delta) > 0.05 THEN CASE WHEN retrieval_delta > 0 THEN 'Semantic' ELSE 'Fixed-size' END
-            || ' chunking finds answers ' || printf('%.1f', abs(retrieval_delta) * 100) || '% more accurately.' END,
-          CASE WHEN abs(intrinsic_delta) > 0.05 THEN CASE WHEN intrinsic_delta > 0 THEN 'Semantic' ELSE 'Fixed-size' END
-            || ' chunks are better-formed (' || printf('%.1f', abs(intrinsic_delta) * 100) || '% better coherence).' END], lambda x: x IS NOT NULL) AS ls FROM cmp
-        UNION ALL SELECT document_id, 'recommendation', list_filter(list_concat(
-          CASE winner WHEN 'semantic' THEN ['Use semantic chunking for this document type', 'Semantic chunking better preserves topic coherence and improves search accuracy']
-            WHEN 'fixed' THEN ['Fixed-size chunking may be simpler and sufficient for this document', 'Consider if the performance difference justifies the added complexity']
-            ELSE ['Both strategies work well; choose based on implementation complexity'] END,
-          [CASE WHEN retrieval_delta > 0.1 THEN 'Semantic chunking significantly improves search accuracy'
-            WHEN retrieval_delta < -0.1 THEN 'Fixed-size chunking provides better search accuracy for this document' END]), lambda x: x IS NOT NULL) FROM cmp)
-        SELECT document_id, kind, generate_subscripts(ls, 1) - 1 AS position, unnest(ls) AS line FROM listed""",
+    "e10_run_insights": _RUNS + """, measured AS (
+        UNPIVOT (SELECT document_id, chunker_type, h1 AS first_hit, mrr, unity / 5 AS unity, clean, kept AS preservation, overall_score AS overall FROM runs)
+        ON first_hit, mrr, unity, clean, preservation, overall INTO NAME measure VALUE value),
+      rules(rule, measure, low, high, level) AS (VALUES
+        ('first_hit_strong', 'first_hit', 0.8, NULL, 'good'), ('first_hit_fair', 'first_hit', 0.6, 0.8, 'fair'), ('first_hit_weak', 'first_hit', NULL, 0.6, 'poor'),
+        ('tune_chunk_size', 'first_hit', NULL, 0.7, 'act'), ('review_order', 'mrr', NULL, 0.6, 'act'), ('focused_chunks', 'unity', 0.8, NULL, 'good'),
+        ('mixed_chunks', 'unity', NULL, 0.6, 'poor'), ('split_topics', 'unity', NULL, 0.7, 'act'), ('broken_boundaries', 'clean', NULL, 0.7, 'poor'),
+        ('facts_cut', 'preservation', NULL, 0.9, 'poor'), ('overall_strong', 'overall', 0.8, NULL, 'good'), ('overall_weak', 'overall', NULL, 0.6, 'poor'))
+      SELECT document_id, chunker_type, rule, level, round(value, 6) AS value, low::DOUBLE AS low, high::DOUBLE AS high
+      FROM measured JOIN rules USING (measure) WHERE (low IS NULL OR value >= low::DOUBLE) AND (high IS NULL OR value < high::DOUBLE)""",
+    "e10_comparison_insights": _RUNS + f""", cmp AS ({_COMPARE})
+      SELECT document_id, 'winner' AS rule, 'verdict' AS level, winner AS favours, overall_delta AS value, 0.02::DOUBLE AS threshold FROM cmp
+      UNION ALL SELECT document_id, 'retrieval_differs', 'note', CASE WHEN retrieval_delta > 0 THEN 'semantic' ELSE 'fixed' END, retrieval_delta, 0.05::DOUBLE
+        FROM cmp WHERE abs(retrieval_delta) > 0.05::DOUBLE
+      UNION ALL SELECT document_id, 'form_differs', 'note', CASE WHEN intrinsic_delta > 0 THEN 'semantic' ELSE 'fixed' END, intrinsic_delta, 0.05::DOUBLE
+        FROM cmp WHERE abs(intrinsic_delta) > 0.05::DOUBLE
+      UNION ALL SELECT document_id, 'retrieval_decides', 'act', CASE WHEN retrieval_delta > 0 THEN 'semantic' ELSE 'fixed' END, retrieval_delta, 0.1::DOUBLE
+        FROM cmp WHERE abs(retrieval_delta) > 0.1::DOUBLE""",
+    "e11_run_summaries": _RUNS + """ SELECT document_id, chunker_type, h1 AS hit_rate_1, round(h3, 6) AS hit_rate_3, 1.0::DOUBLE AS hit_rate_5, round(mrr, 6) AS mrr,
+        unity AS avg_concept_unity, round(clean, 6) AS clean_boundary_rate, alone AS avg_standalone_score, kept AS preservation, round(overall_score, 6) AS overall,
+        20::BIGINT AS questions, 8::BIGINT AS chunks, 4::BIGINT AS facts FROM runs""",
     "e12_entity_scores": with_graph("SELECT * FROM entity_result", **_TRUTH),
     "e13_keyword_coverage": with_graph("SELECT * FROM coverage_result", **_TRUTH),
     "e14_category_means": with_graph("""
