@@ -16,7 +16,7 @@ from riskloom.operators.segment import segment_documents
 MAX_TOKENS, OVERLAP_TOKENS = 8192, 100
 FIXED_TOKENS, FIXED_OVERLAP = 512, 50
 CHARS_PER_TOKEN = 4
-MAX_SPLIT_DEPTH = 4
+TEXT_LEVELS = 4
 
 # --- fixed values: inspection vocabularies and patterns --------------------------------------------
 SAFETY_KEYWORDS = (
@@ -89,21 +89,25 @@ def _piece(text: Column, depth: Column, start: Column, end: Column, oversized: b
 
 
 def _character_windows(text: Column, context: Column, depth: Column, limit: int, overlap: int) -> Column:
-    """Windows of 4 x ``limit`` characters that step back by the overlap; they stop at the end of the text."""
-    width, step = CHARS_PER_TOKEN * limit, max(CHARS_PER_TOKEN * (limit - overlap), 1)
+    """Windows of 4 x ``limit`` characters with their context, which step back by the overlap and stop at the end of the text."""
+    width = F.greatest(F.lit(CHARS_PER_TOKEN * limit) - F.length(context), F.lit(CHARS_PER_TOKEN))
+    step = F.greatest(width - CHARS_PER_TOKEN * overlap, F.lit(1))
     windows = F.greatest(F.ceil((F.length(text) - width) / step), F.lit(0)).cast("int")
     starts = F.transform(F.sequence(F.lit(0), windows), lambda k: k * step)
     return F.transform(starts, lambda s: _piece(
-        F.concat(context, text.substr(s + 1, F.lit(width))), depth + 1, s, F.least(s + width, F.length(text)), True, F.lit(True)))
+        F.concat(context, text.substr(s + 1, width)), depth + 1, s, F.least(s + width, F.length(text)), True, F.lit(True)))
 
 
 def split_segments(segments: DataFrame, key: str = "document_id", max_tokens: int = MAX_TOKENS,
                    overlap_tokens: int = OVERLAP_TOKENS, counter: TokenCounter = estimate_tokens) -> DataFrame:
     """Chunks of at most ``max_tokens``: segments that fit stay whole, others are packed from sentences,
-    else lines, else cut by characters; pieces still too long are split again.
+    else lines, else cut by characters; pieces still too long are split again, and after TEXT_LEVELS levels
+    cut by characters. No chunk exceeds the limit with its context and overlap, as long as the context leaves
+    room for a token and a token has at most CHARS_PER_TOKEN characters.
 
     Each level of splitting is one explode over the pieces of the level before, so nothing is shuffled
-    until pieces are numbered within their segment. ``chunk_index`` is segment x 1000 + piece.
+    until pieces are numbered within their segment. ``chunk_index`` holds the segment in its upper and the
+    piece in its lower 32 bits, so it is unique in the document.
     """
     keep = [c for c in segments.columns if c != "text"]
     context = F.concat(F.lit("["), F.coalesce("context", F.lit("")), F.lit("]\n"))
@@ -112,7 +116,7 @@ def split_segments(segments: DataFrame, key: str = "document_id", max_tokens: in
     rows = segments.filter(strip(F.coalesce("text", F.lit(""))) != "").select(
         *keep, F.array().cast("array<int>").alias("path"),
         _piece(F.col("text"), F.lit(0), F.lit(0), F.length("text"), False, fits).alias("piece"))
-    for level in range(MAX_SPLIT_DEPTH):
+    for _ in range(TEXT_LEVELS):
         sentences = F.split(text, SENTENCE_END)
         rows = with_evaluated(rows, by_sentence=F.size(sentences) > 1)
         # Settled pieces have nothing to pack.
@@ -122,18 +126,19 @@ def split_segments(segments: DataFrame, key: str = "document_id", max_tokens: in
         runs = F.transform(_packed_texts(F.col("parts"), F.col("starts")), lambda run: F.when(
             F.col("by_sentence"), F.array_join(run, " ")).otherwise(F.array_join(run, "\n")))
         rows = with_evaluated(rows, packed=_led_by_overlap(runs, overlap_tokens, counter))
-        last = level == MAX_SPLIT_DEPTH - 1
         def split_piece(part: Column) -> Column:
             return let(F.concat(context, part), lambda body: _piece(
-                body, depth + 1, F.lit(0), F.length(body), True, F.lit(True) if last else counter(body) <= max_tokens))
+                body, depth + 1, F.lit(0), F.length(body), True, counter(body) <= max_tokens))
         by_text = F.transform("packed", split_piece)
         by_chars = _character_windows(text, context, depth, max_tokens, overlap_tokens)
         pieces = F.when(F.col("piece.settled"), F.array("piece")).when(F.size("packed") > 1, by_text).otherwise(by_chars)
         rows = rows.select(*keep, "path", F.posexplode(pieces).alias("at", "piece")).select(
             *keep, F.concat("path", F.array("at")).alias("path"), "piece")
+    pieces = F.when(F.col("piece.settled"), F.array("piece")).otherwise(_character_windows(text, context, depth, max_tokens, overlap_tokens))
+    rows = rows.select(*keep, "path", F.posexplode(pieces).alias("at", "piece")).select(*keep, F.concat("path", F.array("at")).alias("path"), "piece")
     nth = F.row_number().over(Window.partitionBy(key, "segment_index").orderBy("path")) - 1
     return rows.select(*keep, "piece.*", "path").withColumns({
-        "chunk_index": (F.col("segment_index") * 1000 + nth).cast("int"),
+        "chunk_index": F.shiftleft(F.col("segment_index").cast("bigint"), 32) + nth,
         "tokens": counter(F.col("text")).cast("int")}).drop("path", "settled")
 
 

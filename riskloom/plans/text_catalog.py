@@ -86,12 +86,22 @@ def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.chunk_documents(typed_texts(spark, sf_dir), max_tokens=SPLIT_TOKENS, overlap_tokens=SPLIT_OVERLAP)
 
 
-def whole_text_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+def whole_text_pieces(spark: SparkSession, sf_dir: str, overlap: int = SPLIT_OVERLAP) -> DataFrame:
     """Whole documents as one segment each, split to size."""
     docs = read_texts(spark, sf_dir).select(
         F.col("doc_id").cast("string").alias("document_id"), F.lit(0).alias("segment_index"), "text",
         F.lit("generic").alias("document_type"), F.lit("text").alias("semantic_type"), F.col("source").alias("context"))
-    return ch.split_segments(docs, max_tokens=SPLIT_TOKENS, overlap_tokens=SPLIT_OVERLAP)
+    return ch.split_segments(docs, max_tokens=SPLIT_TOKENS, overlap_tokens=overlap)
+
+
+def rebuilt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pieces without overlap keep of a document: its text but for white space, its limit, one id per piece."""
+    pieces = whole_text_pieces(spark, sf_dir, overlap=0)
+    bare = F.regexp_replace(F.regexp_replace("text", r"^(\[src[0-9]+\](\n|$))+", ""), r"\s+", "")
+    in_order = F.array_sort(F.collect_list(F.struct("chunk_index", bare.alias("bare"))))
+    return pieces.groupBy("document_id").agg(
+        F.sha2(F.array_join(F.transform(in_order, lambda p: p["bare"]), ""), 256).alias("bare_sha256"),
+        (F.max("tokens") <= SPLIT_TOKENS).alias("within_limit"), (F.count_distinct("chunk_index") == F.count(F.lit(1))).alias("distinct_ids"))
 
 
 def chunk_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +129,7 @@ QUERIES: dict[str, Query] = {
         {c: F.col(c).cast("bigint") for c in ("first_position", "page")}),
     "t09_segment_fps": lambda s, d: rows(sg.segment_fps(marked_texts(s, d, "fps"))),
     "t12_split_segments": lambda s, d: chunk_rows(whole_text_pieces(s, d)),
+    "t12_rebuilt_texts": rebuilt_texts,
     "t15_fixed_size_chunks": lambda s, d: ch.fixed_size_chunks(read_texts(s, d).select("doc_id", "text")).select(
         "doc_id", "text", *[F.col(c).cast("bigint").alias(c) for c in
                             ("chunk_index", "tokens", "line_start", "line_end")]),

@@ -317,6 +317,8 @@ ORACLES: dict[str, str] = {
     "t07_segment_alert": _ALERT,
     "t08_segment_elements": _ELEMENTS,
     "t09_segment_fps": _FPS,
+    "t12_rebuilt_texts": r"""SELECT doc_id::VARCHAR AS document_id, sha256(regexp_replace(text, '\s+', '', 'g')) AS bare_sha256, true AS within_limit, true AS distinct_ids
+        FROM documents WHERE trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> ''""",
     "t15_fixed_size_chunks": _FIXED,
     "t16_element_types": f"""
         WITH parts AS (SELECT doc_id, i AS position, line, {_strip('line')} AS t FROM ({_lines_cte(_FPS_TEXT)}))

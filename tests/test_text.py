@@ -39,19 +39,25 @@ def brute_pack(text, limit, overlap):
     return out
 
 
+def brute_windows(text, context, limit, overlap, depth):
+    width = 4 * limit - len(f"[{context}]\n")
+    starts = [0]
+    while starts[-1] + width < len(text):
+        starts.append(starts[-1] + width - 4 * overlap)
+    return [(f"[{context}]\n{text[s:s + width]}", depth + 1) for s in starts]
+
+
 def brute_split(text, context, limit, overlap, depth=0):
     parts = brute_pack(text, limit, overlap)
     if len(parts) == 1:
-        step, width = 4 * (limit - overlap), 4 * limit
-        starts = [0]
-        while starts[-1] + width < len(text):
-            starts.append(starts[-1] + step)
-        return [(f"[{context}]\n{text[s:s + width]}", depth + 1) for s in starts]
+        return brute_windows(text, context, limit, overlap, depth)
     out = []
     for part in parts:
         body = f"[{context}]\n{part}"
-        if count(body) <= limit or depth + 1 == ch.MAX_SPLIT_DEPTH:
+        if count(body) <= limit:
             out.append((body, depth + 1))
+        elif depth + 1 == ch.TEXT_LEVELS:
+            out += brute_windows(body, context, limit, overlap, depth + 1)
         else:
             out += brute_split(body, context, limit, overlap, depth + 1)
     return out
@@ -68,7 +74,7 @@ def test_split_matches_brute_force(spark, limit, overlap):
     got = {}
     for r in ch.split_segments(segments, max_tokens=limit, overlap_tokens=overlap).orderBy("document_id", "chunk_index").collect():
         got.setdefault(r.document_id, []).append((r.text, r.split_depth))
-        assert r.tokens == count(r.text) and r.is_oversized == (r.split_depth > 0)
+        assert r.tokens == count(r.text) <= limit and r.is_oversized == (r.split_depth > 0)
     for i, text in enumerate(texts):
         want = [(text, 0)] if count(text) <= limit else brute_split(text, "ctx", limit, overlap)
         assert got[str(i)] == want, i
