@@ -228,7 +228,7 @@ def workbook_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.workbook_rows(workbook_texts(spark, sf_dir)).select(
         "doc_id", "sheet", F.col("row").cast("bigint").alias("row"), F.size("cells").cast("bigint").alias("cells"),
-        F.element_at("cells", 1).alias("first"), F.element_at("cells", 2).alias("second"), F.element_at("cells", -1).alias("last"))
+        F.array_join("cells", "|").alias("content"))
 
 
 PATHS = {

@@ -161,7 +161,7 @@ ORACLES: dict[str, str] = {
     "s04_storage_name": with_graph("""
         SELECT id, '1704067200000_' || substr(sha256(id), 1, 8) || '_' || regexp_replace(file_name, '[^A-Za-z0-9._-]', '_', 'g') AS storage_name FROM document"""),
     "s05_workbook_rows": f"""WITH lines AS ({_SHEET_LINES}), parsed AS ({_CELLS})
-        SELECT doc_id, sheet, CAST(row AS BIGINT) AS row, len(cells) AS cells, cells[1] AS first, cells[2] AS second, cells[-1] AS last FROM parsed""",
+        SELECT doc_id, sheet, CAST(row AS BIGINT) AS row, len(cells) AS cells, array_to_string(cells, '|') AS content FROM parsed""",
     "s06_entities": _ingest("SELECT * FROM ent"),
     "s06_relationships": _ingest("SELECT * FROM rel"),
     "s07_created_records": _ingest("""

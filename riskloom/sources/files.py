@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.functions.text import let
+
 SUPPORTED_EXTENSIONS = (".pdf", ".xlsx", ".xls", ".txt", ".csv")
 SHEET_MARKER = r"--- Sheet: (.*?) ---"
 
@@ -43,10 +45,20 @@ def storage_name(name: Column, content: Column, stored_at: Column) -> Column:
 
 # --- workbook text ---------------------------------------------------------------
 
+_INSIDE = "\uffff"  # stands for a comma inside quotes; not a character of any text
+
+
 def csv_cells(line: Column) -> Column:
-    """Cells of one CSV line; commas inside double quotes do not split, quotes are dropped."""
-    cells = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    return F.transform(cells, lambda c: F.trim(F.replace(c, F.lit('"'), F.lit(""))))
+    """Cells of one CSV line; a comma splits if an even number of double quotes follows it, quotes are dropped.
+
+    One pass: what stands between quotes keeps its commas under another character until the split is done.
+    """
+    def protected(parts: Column) -> Column:
+        outside = lambda p, i: F.when(F.pmod(F.size(parts) - 1 - i, F.lit(2)) == 0, p).otherwise(F.replace(p, F.lit(","), F.lit(_INSIDE)))
+        return F.array_join(F.transform(parts, outside), "")
+
+    cells = F.split(let(F.split(line, '"'), protected), ",")
+    return F.transform(cells, lambda c: F.trim(F.replace(c, F.lit(_INSIDE), F.lit(","))))
 
 
 def workbook_rows(documents: DataFrame, text: str = "text") -> DataFrame:

@@ -41,3 +41,15 @@ def test_locate_lines(spark):
     df = spark.createDataFrame([("a\nbb\ncc\ndd", "bb\ncc"), ("a", "z")], "t string, p string")
     got = [r[0] for r in df.select(locate_lines(F.col("t"), F.col("p"))).collect()]
     assert (got[0].line_start, got[0].line_end, got[1]) == (2, 3, None)
+
+
+def test_csv_cells_equal_the_lookahead_definition(spark):
+    import random
+    import re
+    from pyspark.sql import functions as F
+    from riskloom.sources.files import csv_cells
+    pick = random.Random(3)
+    lines = ["", ",", '"a,b",c', 'a "b" ,"c,', '"' * 5 + ","] + ["".join(pick.choices('ab,," ', k=pick.randrange(20))) for _ in range(200)]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").select("line", csv_cells(F.col("line")).alias("cells")).collect()
+    for r in rows:
+        assert r.cells == [c.replace('"', "").strip(" ") for c in re.split(r',(?=(?:[^"]*"[^"]*")*[^"]*$)', r.line)], r.line
