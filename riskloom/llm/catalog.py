@@ -17,6 +17,8 @@ QUERIES = {
     "op10_hilbert_shards": hilbert.op10_hilbert_shards,
 }
 ORACLES = {
+    "op1_suffix_dedup": substrings.ORACLE,
     "op4_exact_topk": topk.ORACLE,
+    "op5_chat_round_trip": chat.ORACLE,
     "op9_decontamination": decontaminate.ORACLE,
 }

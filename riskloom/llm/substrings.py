@@ -453,3 +453,19 @@ def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     out = deduplicate(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT r, doc_id, pos, substr(h, 2 * pos + 1, 2 * (256 + 49)) AS part FROM (SELECT *, unnest(range(0::BIGINT, (length(h) // 2 - 49)::BIGINT, 256::BIGINT)) AS pos FROM d WHERE length(h) >= 100)),
+w AS (SELECT r, doc_id, pos + j AS i, substr(part, 2 * j + 1, 100) AS win FROM (SELECT *, unnest(range(0, (length(part) // 2 - 49)::BIGINT)) AS j FROM p)),
+m AS (SELECT win, min(doc_id) AS first FROM w GROUP BY win),
+g AS (SELECT w.r, w.i FROM w JOIN m USING (win) WHERE m.first < w.doc_id),
+n AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM g)),
+s AS (SELECT r, min(i) AS a, max(i) + 50 AS b FROM n GROUP BY r, run),
+k AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM s),
+t AS (SELECT d.r, string_agg(substr(h, (2 * before + 1)::BIGINT, (2 * (a - before))::BIGINT), '' ORDER BY a) || substr(any_value(h), (2 * max(b) + 1)::BIGINT) AS kept, count(*) AS n_spans, sum(b - a) AS n_removed
+      FROM k JOIN d USING (r) GROUP BY d.r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN t USING (r)
+"""
