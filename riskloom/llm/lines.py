@@ -232,7 +232,13 @@ def line_components(places: DataFrame, docs: DataFrame, buckets: int) -> DataFra
     others = crowds.select("crowd", F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"))
     left = apart.join(others, "crowd").where(F.col("root_a") != F.col("root_b")).where(_fitting("size_a", "size_b")).select("a", "b")
     more = staged(_verified(left, found), "line-links")
-    return components(links.union(more), "line-components").select(F.col("node").alias("key"), "component")
+    # The late links join components, not lines.
+    first = firsts.select(F.col("node").alias("key"), "component")
+    root_of = lambda df, c: df.join(first.select(F.col("key").alias(c), "component"), c, "left").withColumn(c, F.coalesce("component", c)).drop("component")
+    joined = staged(components(root_of(root_of(more, "a"), "b"), "line-components"), "line-joined")
+    moved = first.join(joined.select(F.col("node").alias("component"), F.col("component").alias("later")), "component", "left").select("key", F.coalesce("later", "component").alias("component"))
+    alone = joined.select(F.col("node").alias("key"), "component").join(first.select("key"), "key", "left_anti")
+    return moved.union(alone)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
