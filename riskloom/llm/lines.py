@@ -24,8 +24,8 @@ BANDS, ROWS = 16, 5
 BINS = BANDS * ROWS
 #: Lines of a band's group that are paired with each other; in larger groups all are paired with LEADS of them first.
 PAIRED, LEADS = 6, 4
-#: Sets of shingles that a task keeps at hand.
-KEPT_SETS = 256
+#: Sets of shingles that a task keeps at hand, and lines of a block when large groups are compared.
+KEPT_SETS, TILE_LINES = 256, 2000
 #: Text of a bucket, and lines whose band entries a task gathers before it hands them on.
 BUCKET_BYTES, FLUSH_LINES = 16 << 20, 100_000
 
@@ -216,6 +216,45 @@ def _fitting(one: str, other: str) -> Column:
     return F.least(one, other) >= SIMILARITY * F.greatest(one, other)
 
 
+def _late_links(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """Similar pairs (a, b) of a group ``main`` in which a lies outside the main component and b in another one than a.
+
+    Members and outsiders are cut into blocks of TILE_LINES, and each pair of blocks is one task's work.
+    """
+    outside = F.col("root") != F.col("main")
+    sizes = groups.groupBy("main").agg(F.ceil(F.count("*") / TILE_LINES).cast("int").alias("n_blocks"),
+                                       F.ceil(F.count(F.when(outside, 1)) / TILE_LINES).cast("int").alias("n_outer")).where("n_outer > 0")
+    sized = groups.join(sizes, "main")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    share = lambda seed, n: F.pmod(F.xxhash64("key", F.lit(seed)), F.col(n)).cast("int")
+    inner = sized.select("main", "key", "root", F.lit(False).alias("outer"), share(1, "n_blocks").alias("block"), each("n_outer").alias("outer_block"))
+    outer = sized.where(outside).select("main", "key", "root", F.lit(True).alias("outer"), each("n_blocks").alias("block"), share(2, "n_outer").alias("outer_block"))
+    tiles = inner.union(outer).join(found.select("key", "line"), "key")
+    return tiles.groupBy("main", "block", "outer_block").applyInArrow(_tile, "a long, b long")
+
+
+def _tile(part: pa.Table) -> pa.Table:
+    """Exact similarities of the outsiders of a tile with its members, counted over the members that share each shingle."""
+    keys, roots, outer = (np.array(part.column(c).to_pylist()) for c in ("key", "root", "outer"))
+    numbers: dict[str, int] = {}
+    sets = [np.array([numbers.setdefault(x, len(numbers)) for x in shingles(line)], np.int64) for line in part.column("line").to_pylist()]
+    size = np.array([len(x) for x in sets], np.int64)
+    inner = np.flatnonzero(~outer)
+    tokens = np.concatenate([sets[i] for i in inner] or [np.zeros(0, np.int64)])
+    order = np.argsort(tokens, kind="stable")
+    owner = np.repeat(np.arange(len(inner)), size[inner])[order]
+    first = np.searchsorted(tokens[order], np.arange(len(numbers) + 1))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in np.flatnonzero(outer).tolist():
+        low, count = first[sets[i]], first[sets[i] + 1] - first[sets[i]]
+        at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+        both = np.bincount(owner[at], minlength=len(inner))
+        near = (both >= SIMILARITY * (size[i] + size[inner] - both)) & (roots[inner] != roots[i])
+        b.append(keys[inner[near]])
+        a.append(np.full(int(near.sum()), keys[i]))
+    return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], ["a", "b"])
+
+
 def line_components(places: DataFrame, docs: DataFrame, buckets: int) -> DataFrame:
     """key and component of lines that have a similar line of another text."""
     packed = docs.select(F.col("row.text").cast("string").alias("text")).mapInArrow(_entries(buckets), "bucket long, entries binary")
@@ -224,14 +263,11 @@ def line_components(places: DataFrame, docs: DataFrame, buckets: int) -> DataFra
     links = staged(_verified(candidates.where("a <> b").select("a", "b"), found), "line-links")
     firsts = staged(components(links, "line-components"), "line-first")
     # Whoever of a large group did not join its main component is compared with all members outside its own.
-    members = candidates.where("crowd >= 0").select("crowd", F.col("a").alias("key")).join(found.select("key", "size"), "key")
-    crowds = staged(members.join(firsts.withColumnRenamed("node", "key"), "key", "left").select(
-        "crowd", "key", "size", F.coalesce("component", "key").alias("root")), "line-crowds")
+    members = candidates.where("crowd >= 0").select("crowd", F.col("a").alias("key"))
+    crowds = members.join(firsts.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("component", "key"))
+    crowds = staged(crowds.select("crowd", "key", "root"), "line-crowds")
     main = crowds.groupBy("crowd", "root").count().groupBy("crowd").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    apart = crowds.join(main, "crowd").where("root <> main").select("crowd", F.col("key").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("size_a"))
-    others = crowds.select("crowd", F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"))
-    left = apart.join(others, "crowd").where(F.col("root_a") != F.col("root_b")).where(_fitting("size_a", "size_b")).select("a", "b")
-    more = staged(_verified(left, found), "line-links")
+    more = staged(_late_links(crowds.join(main, "crowd").select("main", "key", "root").distinct(), found), "line-links")
     # The late links join components, not lines.
     first = firsts.select(F.col("node").alias("key"), "component")
     root_of = lambda df, c: df.join(first.select(F.col("key").alias(c), "component"), c, "left").withColumn(c, F.coalesce("component", c)).drop("component")

@@ -61,6 +61,8 @@ def test_odd_rows_and_large_groups(spark, docs_of, monkeypatch):
 def test_members_that_fail_the_first_of_a_large_group_are_still_linked(spark, docs_of, monkeypatch):
     """A chain: neighbours are similar, its ends are not, and all share every band."""
     monkeypatch.setattr(lines, "PAIRED", 2)
+    monkeypatch.setattr(lines, "LEADS", 1)
+    monkeypatch.setattr(lines, "TILE_LINES", 3)
     monkeypatch.setattr(lines, "band_hashes", lambda rows: np.full((len(rows), lines.BANDS), 7, np.uint64))
     words = [f"word{i:03d}" for i in range(100)]
     rows = [(i, " ".join(words[i * 5:i * 5 + 60])) for i in range(8)] + [(20, "something else altogether, which stays")]
