@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -88,11 +88,11 @@ class AuditGraph:
         chosen = rel_types or tuple(self._edges)
         return reduce(DataFrame.unionByName, [self.edge(rel) for rel in chosen])
 
-    def entities(self) -> DataFrame:
-        """Every node as (id, type, created_at)."""
+    def entities(self, labels: Sequence[str] | None = None) -> DataFrame:
+        """Every node as (id, type, created_at); of the given labels only, if there are any."""
         return reduce(DataFrame.unionByName, [
             self.node(label).select("id", F.lit(label).alias("type"), "created_at")
-            for label in self._nodes
+            for label in (labels or self._nodes)
         ])
 
     @property

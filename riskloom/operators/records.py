@@ -61,16 +61,17 @@ def detach(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 # --- relationships ------------------------------------------------------------------
 
-def create_relationships(graph: AuditGraph, candidates: DataFrame) -> DataFrame:
+def create_relationships(graph: AuditGraph, candidates: DataFrame, src_labels: Sequence[str] | None = None,
+                         dst_labels: Sequence[str] | None = None) -> DataFrame:
     """Candidates whose two ends exist, with end labels; the others are dropped.
 
-    ``candidates``: src, dst, rel_type, confidence and, for extracted ones, extraction_id.
+    ``candidates``: src, dst, rel_type, confidence and, for extracted ones, extraction_id. With the labels that
+    the ends may have, only those tables are read.
     """
-    known = graph.entities().select("id", "type")
-    end = lambda key, label: known.select(F.col("id").alias(key), F.col("type").alias(label))
+    end = lambda key, label, labels: graph.entities(labels).select(F.col("id").alias(key), F.col("type").alias(label))
     if "extraction_id" not in candidates.columns:
         candidates = candidates.withColumn("extraction_id", F.lit(None).cast("string"))
-    return (candidates.join(end("src", "src_label"), "src").join(end("dst", "dst_label"), "dst")
+    return (candidates.join(end("src", "src_label", src_labels), "src").join(end("dst", "dst_label", dst_labels), "dst")
             .select("src", "dst", "rel_type", "src_label", "dst_label", "confidence", "extraction_id",
                     F.lit("SUGGESTED").alias("status")))
 

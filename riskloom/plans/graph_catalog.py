@@ -45,7 +45,7 @@ def relationship_candidates(graph: AuditGraph) -> DataFrame:
         "source_document_id", "page_number", F.col("entity_id").alias("dst"), F.col("id").alias("extraction_id"), "confidence")
     controls = ext.filter("entity_type = 'Control'").select(
         "source_document_id", "page_number",
-        F.when(F.col("confidence") < 0.7, F.lit("ctl-gone")).otherwise(F.col("entity_id")).alias("src"))
+        F.when(F.col("confidence") < 0.7, F.concat(F.lit("gone-"), "id")).otherwise(F.col("entity_id")).alias("src"))
     return controls.join(risks, ["source_document_id", "page_number"]).select(
         "src", "dst", F.lit("MITIGATES").alias("rel_type"), "confidence", "extraction_id")
 
@@ -269,10 +269,10 @@ QUERIES: dict[str, Query] = {
     "s08_entity_with_provenance": on_graph(line_range_text),
     "s09_update_entities": on_graph(updated_failure_modes),
     "s10_delete_entities": on_graph(remaining_after_delete),
-    "s11_create_relationships": on_graph(lambda g: rec.create_relationships(g, relationship_candidates(g)).select(
+    "s11_create_relationships": on_graph(lambda g: rec.create_relationships(g, relationship_candidates(g), ["Control"], ["Risk"]).select(
         "src", "dst", "rel_type", "src_label", "dst_label", "confidence", "extraction_id")),
     "s12_create_simple_relationships": on_graph(lambda g: rec.create_relationships(
-        g, relationship_candidates(g).drop("extraction_id")).groupBy("rel_type", "src_label", "dst_label").agg(
+        g, relationship_candidates(g).drop("extraction_id"), ["Control"], ["Risk"]).groupBy("rel_type", "src_label", "dst_label").agg(
         F.count(F.lit(1)).alias("edges"))),
     "s13_get_relationships": on_graph(lambda g: rec.get_relationships(g, critical_risks(g)).select(
         "id", "src", "dst", "rel_type", "direction")),
