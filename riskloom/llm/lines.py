@@ -133,8 +133,12 @@ def _entries(buckets: int):
 
 def _candidates(part: pa.Table) -> pa.Table:
     """Groups of a bucket: pairs (a, b), and for groups of more than PAIRED lines also their members (a, a) with the group."""
-    entries = np.unique(np.concatenate([np.frombuffer(x, _ENTRY) for x in part.column("entries").to_pylist()]))
+    entries = np.concatenate([np.frombuffer(x, _ENTRY) for x in part.column("entries").to_pylist()])
     rest, key = entries["rest"], entries["key"]
+    order = np.lexsort((key, rest))
+    rest, key = rest[order], key[order]
+    fresh = np.r_[True, (rest[1:] != rest[:-1]) | (key[1:] != key[:-1])]
+    rest, key = rest[fresh], key[fresh]
     first = np.flatnonzero(np.r_[True, rest[1:] != rest[:-1]])
     size = np.diff(np.r_[first, len(rest)])
     a, b, groups = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
