@@ -199,7 +199,7 @@ def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _texts_of(keys: DataFrame, places: DataFrame, docs: DataFrame) -> DataFrame:
     """key, size and line for the lines in candidates only, from one place each."""
-    spots = places.join(keys.distinct(), "key").groupBy("key").agg(F.min(F.struct("uid", "at")).alias("spot"))
+    spots = places.groupBy("key").agg(F.min(F.struct("uid", "at")).alias("spot")).join(keys.distinct(), "key", "left_semi")
     by_doc = spots.groupBy(F.col("spot.uid").alias("uid")).agg(F.collect_list(F.struct("key", F.col("spot.at").alias("at"))).alias("wanted"))
     texts = docs.select("uid", F.col("row.text").cast("string").alias("text")).join(by_doc, "uid").select("text", "wanted")
     return staged(texts.mapInArrow(_pick, "key long, size long, line string"), "line-texts")
