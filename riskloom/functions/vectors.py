@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -78,3 +79,26 @@ def cosine_to_many(queries: Sequence[Sequence[float]]) -> Callable[[Column], Col
             pa.array(np.arange(len(vectors) + 1) * len(needles), pa.int32()), pa.array(flat, mask=np.isnan(flat)))
 
     return score
+
+
+@lru_cache(maxsize=8)
+def _planes(bits: int, length: int) -> np.ndarray:
+    """Normals of ``bits`` planes, the same in every process (the stream of RandomState is frozen)."""
+    return np.random.RandomState(42).standard_normal((bits, length))
+
+
+def sign_distance(query: Sequence[float], bits: int) -> Callable[[Column], Column]:
+    """On how many of ``bits`` planes an embedding lies on another side than the query; null for vectors of another length."""
+    needle = np.asarray(query, dtype=np.float64)
+
+    @F.arrow_udf(T.IntegerType())
+    def differing(vectors: pa.Array) -> pa.Array:
+        valid = _of_length(vectors, len(needle))
+        rows, planes = _matrix(vectors.filter(pa.array(valid))), _planes(bits, len(needle)).T
+        code, found = needle @ planes > 0, np.zeros(len(vectors), np.int32)
+        if len(rows):
+            parts = [rows[at:at + 4096] for at in range(0, len(rows), 4096)]
+            found[valid] = np.concatenate([((part @ planes > 0) != code).sum(1) for part in parts])
+        return pa.array(found, mask=~valid)
+
+    return differing

@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.filters import matches
 from riskloom.functions.rounding import round_half_up
-from riskloom.functions.vectors import cosine, cosine_to, cosine_to_many
+from riskloom.functions.vectors import cosine, cosine_to, cosine_to_many, sign_distance
 from riskloom.graph import AuditGraph
 from riskloom.operators.patterns import chunks_of, expand_relationships, reachable
 from riskloom.session import cut_lineage
 
 MAX_QUERIES = 1000
-SIGN_BITS = 16
+#: Code bits of approximate search; the candidates scored exactly: a share of the table, and so many times k at least.
+SIGN_BITS, CANDIDATE_SHARE, CANDIDATES = 512, 0.1, 20
 
 
 def vector_search(chunks: DataFrame, query: Sequence[float], k: int = 10,
@@ -60,23 +60,19 @@ def search_many(chunks: DataFrame, queries: Mapping[int, Sequence[float]], k: in
     return (scored.filter("score is not null").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k))
 
 
-def sign_distance(query: Sequence[float], bits: int = SIGN_BITS) -> Column:
-    """In how many of ``bits`` bits an embedding's code differs from the query's; a bit is the sign of the difference of two coordinates."""
-    pairs = [(2 * b, 2 * b + 1) for b in range(min(bits, len(query) // 2))]
-    at = lambda i: F.get("embedding", F.lit(i))
-    return reduce(lambda x, y: x + y, [((at(i) > at(j)) != F.lit(query[i] > query[j])).cast("int") for i, j in pairs], F.lit(0))
-
-
-def approximate_search(chunks: DataFrame, query: Sequence[float], k: int = 10, bits: int = SIGN_BITS) -> DataFrame:
+def approximate_search(chunks: DataFrame, query: Sequence[float], k: int = 10, bits: int = SIGN_BITS,
+                       share: float = CANDIDATE_SHARE) -> DataFrame:
     """Approximate top k: only chunks whose sign code is near the query's are scored exactly.
 
-    The radius in code bits is the least that holds k chunks, so k rows come back whenever there are k embeddings of the
-    query's length.
+    A bit is the side of one of ``bits`` fixed planes through zero, so codes see all coordinates. The radius in code bits is the
+    least that holds ``share`` of the usable chunks and CANDIDATES * k at least (all, where there are fewer), so candidates grow
+    with the table and k rows come back whenever there are k embeddings of the query's length.
     """
-    usable = chunks.filter(F.size("embedding") == len(query)).withColumn("_code", sign_distance(query, bits))
+    usable = chunks.withColumn("_code", sign_distance(query, bits)(F.col("embedding"))).filter("_code is not null")
     sizes = usable.groupBy("_code").agg(F.count(F.lit(1)).alias("n"))  # bits + 1 rows at most
     within = sizes.withColumn("within", F.sum("n").over(Window.orderBy("_code")))
-    radius = within.agg(F.min(F.when(F.col("within") >= k, F.col("_code")))).scalar()
+    wanted = sizes.agg(F.greatest(F.ceil(F.sum("n") * share), F.lit(CANDIDATES * k))).scalar()
+    radius = within.agg(F.min(F.when(F.col("within") >= wanted, F.col("_code")))).scalar()
     near = usable.filter(F.col("_code") <= F.coalesce(radius, F.lit(bits)))
     return vector_search(near, query, k).drop("_code")
 
