@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import components, prepare, staged, table, texts
+from riskloom.llm.common import components, staged, table, texts
 
 WORDS, SEED = 3, 42
 DISTANCE, SEGMENTS = 2, 7
@@ -124,9 +124,3 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 def op6_simhash_components(spark, sf_dir: str) -> DataFrame:
     found = component_ids(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays."""
-    prepare(spark)
-    return deduplicated(docs)
