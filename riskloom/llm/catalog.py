@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.llm import bpe, chat, decontaminate, hilbert, html, lines, quality, simhash, substrings, topk
+from riskloom.llm import bpe, chat, decontaminate, hilbert, html, lines, middle, quality, runs, simhash, substrings, topk, urls
 
 QUERIES = {
     "op1_suffix_dedup": substrings.op1_suffix_dedup,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_hilbert_shards": hilbert.op10_hilbert_shards,
+    "op11_fill_in_middle": middle.op11_fill_in_middle,
+    "op12_periodic_runs": runs.op12_periodic_runs,
+    "op13_url_filter": urls.op13_url_filter,
 }
 ORACLES = {
     "op1_suffix_dedup": substrings.ORACLE,
     "op4_exact_topk": topk.ORACLE,
     "op5_chat_round_trip": chat.ORACLE,
     "op9_decontamination": decontaminate.ORACLE,
+    "op11_fill_in_middle": middle.ORACLE,
+    "op13_url_filter": urls.ORACLE,
 }
