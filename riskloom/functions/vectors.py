@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,8 @@ def _masked(score: np.ndarray, length: int, valid: np.ndarray) -> pa.Array:
 def cosine_to(query: Sequence[float]) -> Callable[[Column], Column]:
     """Similarity of an embedding column to one query vector."""
     needle = np.asarray(query, dtype=np.float64)
-    needle = needle / np.linalg.norm(needle)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        needle = needle / np.linalg.norm(needle)
 
     @F.arrow_udf(T.DoubleType())
     def score(vectors: pa.Array) -> pa.Array:
@@ -81,24 +81,32 @@ def cosine_to_many(queries: Sequence[Sequence[float]]) -> Callable[[Column], Col
     return score
 
 
-@lru_cache(maxsize=8)
-def _planes(bits: int, length: int) -> np.ndarray:
-    """Normals of ``bits`` planes, the same in every process (the stream of RandomState is frozen)."""
-    return np.random.RandomState(42).standard_normal((bits, length))
+@F.arrow_udf(T.IntegerType())
+def usable_length(vectors: pa.Array) -> pa.Array:
+    """Length of an embedding that has a direction; null if it is missing, zero, or holds null or non-finite components."""
+    found = np.zeros(len(vectors), np.int32)
+    for length in pc.unique(pc.list_value_length(vectors)).drop_null().to_pylist():
+        alike = _of_length(vectors, length)
+        norms = np.linalg.norm(_matrix(vectors.filter(pa.array(alike))), axis=1) if length else np.zeros(alike.sum())
+        found[alike] = np.where(np.isfinite(norms) & (norms > 0), length, 0)
+    return pa.array(found, mask=found == 0)
 
 
-def sign_distance(query: Sequence[float], bits: int) -> Callable[[Column], Column]:
-    """On how many of ``bits`` planes an embedding lies on another side than the query; null for vectors of another length."""
-    needle = np.asarray(query, dtype=np.float64)
+def nearest_cell(centroids: np.ndarray) -> Callable[[Column], Column]:
+    """Number of the unit centroid nearest to an embedding (the lowest of equals), -1 for those without a direction or of another length."""
 
     @F.arrow_udf(T.IntegerType())
-    def differing(vectors: pa.Array) -> pa.Array:
-        valid = _of_length(vectors, len(needle))
-        rows, planes = _matrix(vectors.filter(pa.array(valid))), _planes(bits, len(needle)).T
-        code, found = needle @ planes > 0, np.zeros(len(vectors), np.int32)
-        if len(rows):
-            parts = [rows[at:at + 4096] for at in range(0, len(rows), 4096)]
-            found[valid] = np.concatenate([((part @ planes > 0) != code).sum(1) for part in parts])
-        return pa.array(found, mask=~valid)
-
-    return differing
+    def cell(vectors: pa.Array) -> pa.Array:
+        valid = _of_length(vectors, centroids.shape[1])
+        rows = _matrix(vectors.filter(pa.array(valid)))
+        best = np.full(len(rows), -1, np.int32)
+        norms = np.linalg.norm(rows, axis=1)
+        directed = np.flatnonzero(np.isfinite(norms) & (norms > 0))
+        for at in range(0, len(directed), 4096):
+            part = directed[at:at + 4096]
+            best[part] = (rows[part] / norms[part, None] @ centroids.T).argmax(1)
+        found = np.full(len(vectors), -1, np.int32)
+        found[valid] = best
+        return pa.array(found)
+
+    return cell

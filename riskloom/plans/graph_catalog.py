@@ -12,9 +12,10 @@ from riskloom.operators import classify as cl
 from riskloom.operators import ingest as ing
 from riskloom.operators import patterns as pt
 from riskloom.operators import records as rec
+from riskloom.operators import vector_index as vix
 from riskloom.operators import vectors as vec
 from riskloom.plans.analytics_catalog import Query, on_graph
-from riskloom.session import cut_lineage
+from riskloom.session import cut_lineage, shared_path
 from riskloom.sources import files
 from riskloom.sources.event_extractions import event_extractions, stored_failure_modes
 from riskloom.sources.star_schema import load_graph, read_table, read_texts
@@ -34,6 +35,11 @@ def query_vector(graph: AuditGraph) -> list[float]:
     return list(graph.chunks.filter(F.col("id") == QUERY_CHUNK).select("embedding").first()[0])
 
 
+def vector_index(graph: AuditGraph) -> vix.VectorIndex:
+    """All chunks in an index of their own in the shared folder."""
+    return vix.build(graph.chunks.select("id", "embedding"), shared_path(graph.spark, "vector-index"))
+
+
 def line_range_text(graph: AuditGraph) -> DataFrame:
     return rec.entity_with_provenance(graph, graph.node("Risk"))
 
@@ -314,7 +320,8 @@ QUERIES: dict[str, Query] = {
     "v03_nearest_chunks": on_graph(lambda g: vec.nearest_chunks(
         g.chunks.select(F.col("id").alias("question_id"), "document_id", "embedding"), g.chunks, 3).select(
         "question_id", "chunk_id", F.round("score", 5).alias("score"), F.col("rank").cast("bigint").alias("rank"))),
-    "v04_approximate_search": on_graph(lambda g: vec.approximate_search(g.chunks, query_vector(g), 10).select("id", F.round("score", 5).alias("score"))),
+    "v04_approximate_search": on_graph(lambda g: vix.search(vector_index(g), query_vector(g), 10, share=0.5).select("id", F.round("score", 5).alias("score"))),
+    "v04_index_cells": on_graph(lambda g: vector_index(g).vectors.select("id", F.col("cell").cast("bigint").alias("cell"))),
     "v06_chunks_of_nodes": on_graph(lambda g: pt.chunks_of(g, fmea_documents(g).withColumnRenamed("document_id", "id")).select("id", "graph_node_id")),
     "v07_count_by_filter": on_graph(lambda g: vec.count_by_filter(g.chunks, {"is_oversized": True, "context": ["en", "de"]})),
     "v08_semantic_search": on_graph(lambda g: vec.semantic_search(g, query_vector(g), 5, depth=2).withColumn("score", F.round("score", 5))

@@ -5,11 +5,32 @@ from __future__ import annotations
 from riskloom.plans.graph_sql import with_graph
 
 _VEC = "list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
-_SIGNS = " + ".join(f"CAST((c.embedding[{i}] > c.embedding[{i + 1}]) <> (q.embedding[{i}] > q.embedding[{i + 1}]) AS INT)" for i in range(1, 33, 2))
 _HITS = f"""SELECT c.id, c.document_id, c.semantic_type, c.context, c.tokens, round({_VEC}, 5) AS score, {_VEC} AS s
     FROM chunk c, (SELECT embedding FROM chunk WHERE id = 'chk-7') q"""
 _BOTH = """SELECT src AS id, dst AS neighbour_id, dst_label AS neighbour_type, rel_type, src, dst, 'out' AS direction FROM edge
     UNION ALL SELECT dst, src, src_label, rel_type, src, dst, 'in' FROM edge"""
+def _inverted_file(rounds: int = 4) -> dict[str, str]:
+    """Cells of all embeddings: k-means on the sample in ``rounds`` steps, each a pair of tables, then ``placed``."""
+    def nearest(rows: str, cells: str) -> str:
+        return f"""SELECT id, u, cell FROM (SELECT r.id, r.u, c.cell,
+            row_number() OVER (PARTITION BY r.id ORDER BY list_dot_product(r.u, c.c) DESC, c.cell) AS place FROM {rows} r, {cells} c) WHERE place = 1"""
+
+    length = "list_transform(e, lambda x: x / sqrt(list_dot_product(e, e)))"
+    ctes = {
+        "unit": f"SELECT id, {length} AS u FROM (SELECT id, CAST(embedding AS DOUBLE[]) AS e FROM chunk WHERE embedding IS NOT NULL)",
+        "drawn": "SELECT id, u, row_number() OVER (ORDER BY md5(id), id) AS n FROM unit QUALIFY n <= 16384",
+        "fitted0": "SELECT n - 1 AS cell, u AS c FROM drawn WHERE n <= least(4096, ceil(4 * sqrt((SELECT count(*) FROM unit))))",
+    }
+    for r in range(rounds):
+        last = r == rounds - 1
+        ctes[f"near{r}"] = nearest("drawn", f"fitted{r}")
+        ctes["fitted" if last else f"fitted{r + 1}"] = f"""
+            SELECT f.cell, coalesce(m.c, f.c) AS c FROM fitted{r} f LEFT JOIN (
+              SELECT cell, {length} AS c FROM (SELECT cell, list(v ORDER BY i) AS e FROM (
+                SELECT cell, i, sum(u[i]) AS v FROM near{r}, generate_series(1, len(u)) AS g(i) GROUP BY cell, i) GROUP BY cell)) m USING (cell)"""
+    return ctes | {"placed": nearest("unit", "fitted")}
+
+
 _CANDIDATES = """
     SELECT c.entity_id AS src, r.entity_id AS dst, r.id AS extraction_id, r.confidence FROM extraction c
     JOIN extraction r ON r.source_document_id = c.source_document_id AND r.page_number = c.page_number
@@ -254,10 +275,14 @@ ORACLES: dict[str, str] = {
           SELECT q.id AS question_id, c.id AS chunk_id, {_VEC} AS s, row_number() OVER (PARTITION BY q.id ORDER BY {_VEC} DESC, c.id) AS rank
           FROM chunk q JOIN chunk c USING (document_id) WHERE q.embedding IS NOT NULL AND c.embedding IS NOT NULL) WHERE rank <= 3"""),
     "v04_approximate_search": with_graph("""
-        SELECT id, round(s, 5) AS score FROM coded
-        WHERE bits <= coalesce((SELECT min(bits) FROM (SELECT bits, sum(count(*)) OVER (ORDER BY bits) AS n FROM coded GROUP BY bits) WHERE n >= 10), 16)
-        ORDER BY s DESC, id LIMIT 10""",
-        coded=f"SELECT c.id, {_VEC} AS s, {_SIGNS} AS bits FROM chunk c, (SELECT embedding FROM chunk WHERE id = 'chk-7') q WHERE c.embedding IS NOT NULL"),
+        SELECT c.id, round(list_dot_product(c.u, q.u), 5) AS score FROM placed c, (SELECT u FROM unit WHERE id = 'chk-7') q
+        WHERE cell IN (SELECT cell FROM probed WHERE before < greatest(0.5 * (SELECT count(*) FROM unit), 200))
+        ORDER BY list_dot_product(c.u, q.u) DESC, c.id LIMIT 10""", **_inverted_file(),
+        probed="""SELECT cell, sum(size) OVER (ORDER BY near DESC, cell) - size AS before
+          FROM (SELECT f.cell, list_dot_product(f.c, q.u) AS near, (SELECT count(*) FROM placed p WHERE p.cell = f.cell) AS size
+                FROM fitted f, (SELECT u FROM unit WHERE id = 'chk-7') q)"""),
+    "v04_index_cells": with_graph("""
+        SELECT c.id, CAST(coalesce(p.cell, -1) AS BIGINT) AS cell FROM chunk c LEFT JOIN placed p USING (id)""", **_inverted_file()),
     "v06_chunks_of_nodes": with_graph("""
         SELECT id, document_id AS graph_node_id FROM chunk WHERE document_id IN (SELECT id FROM document WHERE document_type = 'fmea')"""),
     "v07_count_by_filter": with_graph("SELECT count(*) AS chunks FROM chunk WHERE is_oversized AND context IN ('en', 'de')"),
