@@ -13,10 +13,9 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 from pathlib import Path
 
-import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -28,8 +27,32 @@ from riskloom.llm.common import prepare, table, texts
 
 #: Bytes of a rank file that may be broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Entries of each of a worker's two tables (matches, prefixes), and the longest match that enters them.
-CACHE_ENTRIES, CACHE_BYTES = 200_000, 64
+#: Matches that a worker keeps the ids of (and as many pairs of tokens), and the longest match that is kept.
+CACHE_ENTRIES, KEPT_BYTES = 500_000, 64
+
+
+class _Bounded(dict):
+    """A table that begins with some entries; ``room`` leaves the newer half of the others once they are ``most``."""
+
+    def __init__(self, most: int, begun: dict | None = None) -> None:
+        super().__init__(begun or {})
+        self.most, self.begun = most, len(self)
+
+    def room(self) -> None:
+        if len(self) - self.begun >= self.most:
+            for key in list(islice(self, self.begun, len(self) - self.most // 2)):
+                del self[key]
+
+
+class _Fit(_Bounded):
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        super().__init__(CACHE_ENTRIES)
+        self.vocabulary = vocabulary
+
+    def __missing__(self, pair: int) -> bool:
+        self.room()
+        known = self[pair] = self.vocabulary.fits(pair >> 32, pair & 0xFFFFFFFF)
+        return known
 
 
 class Vocabulary:
@@ -38,13 +61,19 @@ class Vocabulary:
     def __init__(self, rank_file: bytes) -> None:
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
         self.tokens = {i: b for b, i in self.ranks.items()}
-        #: Finds all tokens that end at a position, longest first.
-        self.ends = ahocorasick.Automaton()
+        #: Trie of the tokens from their last byte to their first: the next node by node << 8 | byte, and each node's token or -1.
+        self.step, self.token_at = {}, [-1]
         for b, i in self.ranks.items():
-            self.ends.add_word(b.decode("latin-1"), (len(b), i))
-        self.ends.make_automaton()
+            node = 0
+            for byte in reversed(b):
+                node = self.step.setdefault(node << 8 | byte, len(self.token_at))
+                if node == len(self.token_at):
+                    self.token_at.append(-1)
+            self.token_at[node] = i
         self.longest = max(map(len, self.ranks), default=1)
-        self._fit: dict[tuple[int, int], bool] = {}
+        self.lengths = {i: len(b) for i, b in self.tokens.items()}
+        #: What ``fits`` says, by left << 32 | right.
+        self.fit = _Fit(self)
         self._halves: dict[int, tuple[int, int] | None] = {}
 
     def merged(self, data: bytes, until: int = 1) -> list[int]:
@@ -75,12 +104,7 @@ class Vocabulary:
         Merges are undone from the latest to the earliest, next to the border only. The two may stand side by side unless, at
         some moment, the parts at the border would have merged before the next merge of either side.
         """
-        known = self._fit.get((left, right))
-        if known is None:
-            if len(self._fit) > 500_000:
-                self._fit.clear()
-            known = self._fit[left, right] = self.reachable(right) and (left < 0 or self._stay_apart(left, right))
-        return known
+        return self.reachable(right) and (left < 0 or self._stay_apart(left, right))
 
     def _stay_apart(self, left: int, right: int) -> bool:
         tokens, ranks, never = self.tokens, self.ranks, 1 << 60
@@ -106,73 +130,99 @@ class PrefixEncoder:
         self.append(data)
 
     def append(self, data: bytes) -> None:
-        first, last, fits = len(self.data), self.last, self.vocabulary.fits
+        first = len(self.data)
         self.data += data
-        at = max(0, first - self.vocabulary.longest)  # no token that ends in the new part begins earlier
-        for end, (n, token) in self.vocabulary.ends.iter(self.data[at:].decode("latin-1")):
-            end += at + 1
-            if end == len(last) and fits(last[end - n], token):
-                last.append(token)
-        if len(last) <= len(self.data):
-            raise ValueError("the vocabulary lacks a single byte")
+        whole, last, fit = self.data, self.last, self.vocabulary.fit
+        step, token_at, lengths = self.vocabulary.step, self.vocabulary.token_at, self.vocabulary.lengths
+        for end in range(first + 1, len(whole) + 1):
+            node, at, ending = 0, end, []  # tokens that end here, shortest first
+            while at:
+                at -= 1
+                node = step.get(node << 8 | whole[at])
+                if node is None:
+                    break
+                if token_at[node] >= 0:
+                    ending.append(token_at[node])
+            while ending:
+                token = ending.pop()
+                if fit[last[end - lengths[token]] << 32 | token]:
+                    last.append(token)
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a single byte")
+
+    def cut(self, end: int) -> None:
+        """Back to the first ``end`` bytes."""
+        del self.data[end:], self.last[end + 1:]
 
     def replace(self, start: int, stop: int, data: bytes) -> None:
-        """Re-encodes after an edit; prefixes before ``start`` keep their tokens."""
-        tail = bytes(self.data[stop:])
-        del self.data[start:], self.last[start + 1:]
-        self.append(data + tail)
+        """Re-encodes after an edit. Prefixes before ``start`` keep their tokens, and behind the edit the old ones come back.
+
+        A prefix's last token follows from those of as many prefixes before it as the longest token has bytes. Once so many in
+        a row are what they were, so are all that follow.
+        """
+        reach, old, tail = self.vocabulary.longest, self.last[stop:], bytes(self.data[stop:])
+        self.cut(start)
+        self.append(data)
+        for at in range(0, len(tail), reach):
+            self.append(tail[at:at + reach])
+            done = at + reach
+            if done < len(tail) and self.last[-reach:] == old[done - reach + 1:done + 1]:
+                self.data += tail[done:]
+                self.last += old[done + 1:]
+                break
 
     def tokens(self, end: int | None = None) -> list[int]:
-        """Ids of the first ``end`` bytes (all, if none is given)."""
-        out, at = [], len(self.data) if end is None else end
+        """Ids of the first ``end`` bytes (all, if none is given): from the end, each last token tells the prefix before it."""
+        out, at, last, lengths = [], len(self.data) if end is None else end, self.last, self.vocabulary.lengths
         while at:
-            out.append(self.last[at])
-            at -= len(self.vocabulary.tokens[self.last[at]])
+            token = last[at]
+            out.append(token)
+            at -= lengths[token]
         return out[::-1]
 
 
-class _Pieces(dict):
-    """Ids of a match of the pattern, by its text. Matches that begin alike share the table of their prefixes."""
-
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        self.vocabulary = vocabulary
-        self.prefixes: dict[bytes, tuple[int, ...]] = {b"": ()}
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode()
-        if len(data) > CACHE_BYTES:
-            return tuple(PrefixEncoder(self.vocabulary, data).tokens())
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        if len(self.prefixes) >= CACHE_ENTRIES:
-            self.prefixes = {b"": ()}
-        ids = self[piece] = self._extend(data)
-        return ids
-
-    def _extend(self, data: bytes) -> tuple[int, ...]:
-        prefixes, fits = self.prefixes, self.vocabulary.fits
-        known = len(data)
-        while data[:known] not in prefixes:
-            known -= 1
-        known += 1  # the first end that is open
-        for end, (n, token) in self.vocabulary.ends.iter(data.decode("latin-1")):
-            if end + 1 == known:
-                before = prefixes[data[:known - n]]
-                if fits(before[-1] if before else -1, token):
-                    prefixes[data[:known]] = (*before, token)
-                    known += 1
-        return prefixes[data]
-
-
 class Codec:
-    """Splits a text by the pattern, encodes each match on its own, and decodes ids."""
+    """Splits texts by the pattern, encodes each match on its own, and decodes ids.
+
+    ``pieces`` holds the ids of matches by their text; those that are a token as a whole are there from the start. The others of
+    a batch are encoded in order, so that each takes over the table of the prefix it shares with the one before.
+    """
 
     def __init__(self, rank_file: bytes, pattern: str) -> None:
-        self.pieces, self.split = _Pieces(Vocabulary(rank_file)), regex.compile(pattern).findall
-        self.bytes_of = self.pieces.vocabulary.tokens.__getitem__
+        self.vocabulary, self.split = Vocabulary(rank_file), regex.compile(pattern).findall
+        self.bytes_of = self.vocabulary.tokens.__getitem__
+        whole = {}
+        for token, data in self.vocabulary.tokens.items():
+            try:
+                whole[data.decode()] = (token,)
+            except UnicodeDecodeError:  # part of a character, so no match by itself
+                continue
+        self.pieces = _Bounded(CACHE_ENTRIES, whole)
+
+    def encode_all(self, batch: list[str]) -> list[list[int]]:
+        split, pieces, long = [self.split(text) for text in batch], self.pieces, []
+        pieces.room()
+        encoder = PrefixEncoder(self.vocabulary)
+        for data in sorted(p.encode() for p in set(chain.from_iterable(split)).difference(pieces)):
+            before, same = encoder.data, 0
+            for a, b in zip(before, data):
+                if a != b:
+                    break
+                same += 1
+            encoder.cut(same)
+            encoder.append(data[same:])
+            piece = data.decode()
+            pieces[piece] = tuple(encoder.tokens())
+            if len(data) > KEPT_BYTES:
+                long.append(piece)
+        ids = [list(chain.from_iterable(map(pieces.__getitem__, found))) for found in split]
+        for piece in long:
+            del pieces[piece]
+        return ids
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of, ids))
@@ -202,7 +252,7 @@ def encode(docs: DataFrame, vocabulary_path: str | None = None, pattern: str = p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern)
         for batch in batches:
-            ids = [codec.encode(t) for t in texts(batch.column("text"))]
+            ids = codec.encode_all(texts(batch.column("text")))
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
             yield pa.RecordBatch.from_arrays(

@@ -31,7 +31,7 @@ def test_matches_the_library_on_odd_and_random_texts(library):
 
 
 def test_appends_and_edits_equal_a_fresh_encoding():
-    v, pick = bpe.Codec(RANKS, public_tokenizers.PATTERN).pieces.vocabulary, random.Random(6)
+    v, pick = bpe.Vocabulary(RANKS), random.Random(6)
     for _ in range(60):
         data = bytes(pick.choices(b"abcdehtion tsr", k=40))
         grown = bpe.PrefixEncoder(v, data[:13])
@@ -41,6 +41,25 @@ def test_appends_and_edits_equal_a_fresh_encoding():
         assert grown.tokens() == v.merged(data[:10] + b"zing" + data[15:])
 
 
+def test_an_edit_in_a_long_text_leaves_what_follows():
+    v, pick = bpe.Vocabulary(RANKS), random.Random(7)
+    data = bytes(pick.choices(b"abcdehtion tsr", k=6 * v.longest + 50))
+    for start, stop, new in ((3, 9, b"xyz"), (100, 100, b" more of it"), (40, 90, b""), (len(data) - 5, len(data), b"end"), (0, len(data), b"")):
+        edited = bpe.PrefixEncoder(v, data)
+        edited.replace(start, stop, new)
+        fresh = bpe.PrefixEncoder(v, data[:start] + new + data[stop:])
+        assert (edited.data, edited.last) == (fresh.data, fresh.last)
+
+
+def test_tables_of_matches_stay_bounded(library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 20)
+    codec, pick = bpe.Codec(RANKS, public_tokenizers.PATTERN), random.Random(8)
+    for _ in range(60):
+        texts = [" ".join("".join(pick.choices("abcdexyz", k=9)) for _ in range(7)) for _ in range(3)]
+        assert codec.encode_all(texts) == [library.encode_ordinary(t) for t in texts]
+        assert len(codec.pieces) - codec.pieces.begun <= 20 + 21 and len(codec.vocabulary.fit) <= 20
+
+
 def test_operator(spark, docs_of, library):
     rows = list(enumerate(ODD)) + [(3, "x"), (3, "x"), (None, "no id")]
     got = bpe.digests(bpe.encode(docs_of(rows))).collect()
