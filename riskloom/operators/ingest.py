@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import schemas
-from riskloom.functions.ordering import with_previous, with_running_sums
+from riskloom.functions.ordering import in_blocks, with_previous, with_running_sums
+from riskloom.graph import AuditGraph
+from riskloom.operators.records import delete_entities, detach
 
 # Labels whose relationship references carry a business key; others match by label alone.
 KEYED_REFERENCES = ("Process", "FailureMode", "Requirement", "Audit", "ProcedureStep")
@@ -48,7 +50,8 @@ def parse_relationships(raw: DataFrame) -> DataFrame:
     return rows.select(*keep, F.posexplode("r.relationships").alias("ordinal", "e")).select(
         *keep, "ordinal", F.col("e.from").alias("from_ref"), F.col("e.to").alias("to_ref"),
         F.col("e.type").alias("rel_type"), F.col("e.confidence").alias("confidence"),
-        F.col("e.properties").alias("properties"), F.col("e.sourceReference.section").alias("section"))
+        F.col("e.properties").alias("properties"), F.col("e.sourceReference.section").alias("section"),
+        F.col("e.sourceReference.pageNumber").alias("page_number"), F.col("e.sourceReference.lineRange").alias("line_range"))
 
 
 # --- keys --------------------------------------------------------------------------------
@@ -203,9 +206,9 @@ def resolve_entities(entities: DataFrame, existing: DataFrame, ingested: DataFra
     stored = existing.select(F.col("id").alias("own_id"), F.lit(True).alias("is_stored")).distinct()
     narrow = (candidates.filter(versioned).select(*keys, *order, "own_id", "fingerprint").join(latest, keys, "left")
               .join(stored, "own_id", "left"))
-    before = with_previous(narrow, keys, order, ["fingerprint"])
+    before = with_previous(in_blocks(narrow, keys, order), keys, order, ["fingerprint"])
     opens = ~F.coalesce(F.col("prev_fingerprint"), F.col("latest.fingerprint"), F.lit("")).eqNullSafe(F.col("fingerprint"))
-    counted = with_running_sums(before.withColumn("opens", opens.cast("bigint")), keys, order, ["opens"])
+    counted = with_running_sums(before.withColumn("opens", opens.cast("bigint")), keys, order, ["opens"]).drop("_block")
     # Version 0 is the latest stored one; version n is the n-th that the batch opens.
     versions = counted.filter("opens = 1").select(*keys, F.col("sum_opens").alias("n"), F.col("own_id").alias("version_id"))
     earlier = versions.select(*keys, (F.col("n") + 1).alias("n"), F.col("version_id").alias("earlier_id"))
@@ -242,14 +245,19 @@ def entity_references(resolved: DataFrame) -> DataFrame:
 
 
 def resolve_relationships(relationships: DataFrame, references: DataFrame) -> DataFrame:
-    """Relationships between entity ids; unresolved or unknown ones and document references drop out."""
-    refs = references.select("document_id", "ref", "entity_id")
-    end = lambda side, alias: refs.select("document_id", F.col("ref").alias(f"{side}_ref"), F.col("entity_id").alias(alias))
+    """Relationships between entity ids; unresolved or unknown ones and document references drop out.
+
+    Properties and the whole source reference stay with the edge.
+    """
+    refs = references.select("document_id", "ref", "entity_id", "entity_type")
+    end = lambda side, alias: refs.select("document_id", F.col("ref").alias(f"{side}_ref"), F.col("entity_id").alias(alias),
+                                          F.col("entity_type").alias(f"{alias}_label"))
     return (
         relationships.filter(~_is_document("from_ref") & ~_is_document("to_ref")
                              & F.col("rel_type").isin(*schemas.RELATIONSHIP_TYPES))
         .join(end("from", "src"), ["document_id", "from_ref"]).join(end("to", "dst"), ["document_id", "to_ref"])
-        .select("document_id", "src", "dst", "rel_type", "confidence", "section"))
+        .select("document_id", "src", "dst", "rel_type", "confidence", "section", "ordinal", "src_label", "dst_label",
+                "properties", "page_number", "line_range", *[c for c in ("model_used", "extracted_at") if c in relationships.columns]))
 
 
 def implicit_edges(references: DataFrame) -> DataFrame:
@@ -298,6 +306,12 @@ def extraction_log(raw: DataFrame, entities: DataFrame, relationships: DataFrame
         F.when(F.col("valid"), "success").otherwise("failed").alias("status"), F.col("first_error").alias("error_message"))
 
 
+def purge(graph: AuditGraph, as_of: str, older_than_hours: int = 24) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The graph without documents that failed long ago: documents, edges, and the number of documents deleted."""
+    gone = purge_failed(graph.node("Document"), as_of, older_than_hours)
+    return (delete_entities(graph.node("Document"), gone), detach(graph.edges(), gone), gone.agg(F.count(F.lit(1)).alias("purged")))
+
+
 def purge_failed(documents: DataFrame, as_of: str, older_than_hours: int = 24) -> DataFrame:
     """Failed documents created more than ``older_than_hours`` before ``as_of``, to be deleted."""
     cutoff = F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(older_than_hours))

@@ -50,8 +50,8 @@ def entities_by_ids(graph: AuditGraph, ids: DataFrame | Sequence[str]) -> DataFr
     return graph.entities().filter(F.col("id").isin(list(ids))).select("id", "type")
 
 
-def hops(graph: AuditGraph, rel_types: Sequence[str] = (), direction: str = "both") -> DataFrame:
-    """Edges seen from a node: (id, neighbour_id, neighbour_type, rel_type, src, dst, direction).
+def hops(graph: AuditGraph, rel_types: Sequence[str] = (), direction: str = "both", also: Sequence[str] = ()) -> DataFrame:
+    """Edges seen from a node: (id, neighbour_id, neighbour_type, rel_type, src, dst, direction) and ``also`` columns of the edge.
 
     Both directions come from one scan of the edges.
     """
@@ -62,14 +62,14 @@ def hops(graph: AuditGraph, rel_types: Sequence[str] = (), direction: str = "bot
                        F.lit("in").alias("direction")),
     }
     chosen = list(views.values()) if direction == "both" else [views[direction]]
-    return graph.edges(*rel_types).select("src", "dst", "rel_type", F.inline(F.array(*chosen))).select(
-        "id", "neighbour_id", "neighbour_type", "rel_type", "src", "dst", "direction")
+    return graph.edges(*rel_types).select("src", "dst", "rel_type", *also, F.inline(F.array(*chosen))).select(
+        "id", "neighbour_id", "neighbour_type", "rel_type", "src", "dst", "direction", *also)
 
 
 def expand_relationships(graph: AuditGraph, seeds: DataFrame, rel_types: Sequence[str] = (),
-                         direction: str = "both") -> DataFrame:
+                         direction: str = "both", also: Sequence[str] = ()) -> DataFrame:
     """The hops that start at one of the seed ids."""
-    return hops(graph, rel_types, direction).join(seeds.select("id").distinct(), "id", "left_semi")
+    return hops(graph, rel_types, direction, also).join(seeds.select("id").distinct(), "id", "left_semi")
 
 
 def expanded_entities(expansion: DataFrame) -> DataFrame:

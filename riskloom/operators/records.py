@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.graph import AuditGraph
@@ -61,6 +61,19 @@ def detach(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 # --- relationships ------------------------------------------------------------------
 
+def relationship_records(relationships: DataFrame) -> DataFrame:
+    """Extraction rows of extracted relationships: one for each, tied to no entity."""
+    none = F.lit(None).cast("string")
+    return relationships.select(
+        relationship_extraction_id().alias("id"), none.alias("entity_id"), none.alias("entity_type"),
+        F.col("document_id").alias("source_document_id"), F.col("model_used").alias("extracted_by"), "extracted_at", "confidence",
+        "section", "page_number", F.element_at("line_range", 1).alias("line_range_start"), F.element_at("line_range", 2).alias("line_range_end"))
+
+
+def relationship_extraction_id() -> Column:
+    return F.concat(F.lit("ext-"), F.substring(F.sha2(F.concat_ws("|", F.lit("relationship"), "document_id", F.col("ordinal").cast("string")), 256), 1, 24))
+
+
 def create_relationships(graph: AuditGraph, candidates: DataFrame, src_labels: Sequence[str] | None = None,
                          dst_labels: Sequence[str] | None = None) -> DataFrame:
     """Candidates whose two ends exist, with end labels; the others are dropped.
@@ -78,10 +91,9 @@ def create_relationships(graph: AuditGraph, candidates: DataFrame, src_labels: S
 
 def get_relationships(graph: AuditGraph, ids: DataFrame, direction: str = "both", rel_types: Sequence[str] = ()) -> DataFrame:
     """Edges of the given nodes with true ends, direction, and source section of extracted edges."""
-    touching = expand_relationships(graph, ids, rel_types, direction).select("id", "src", "dst", "rel_type", "direction")
-    sources = graph.edges(*rel_types).filter("extraction_id is not null").select("src", "dst", "rel_type", "extraction_id")
+    touching = expand_relationships(graph, ids, rel_types, direction, ["extraction_id"])
     sections = graph.extractions.select(F.col("id").alias("extraction_id"), "section", "page_number")
-    return touching.join(sources.join(sections, "extraction_id"), ["src", "dst", "rel_type"], "left").select(
+    return touching.join(sections, "extraction_id", "left").select(
         "id", "src", "dst", "rel_type", "direction", "section", "page_number")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.graph import AuditGraph
 from riskloom.operators import classify as cl
+from riskloom.operators import graph_store as gs
 from riskloom.operators import ingest as ing
 from riskloom.operators import patterns as pt
 from riskloom.operators import records as rec
@@ -20,7 +21,7 @@ from riskloom.sources import files
 from riskloom.sources.event_extractions import event_extractions, stored_failure_modes
 from riskloom.sources.star_schema import load_graph, read_table, read_texts
 
-AS_OF = "2000-01-01"
+AS_OF, PURGE_AS_OF = "2000-01-01", "2040-01-01"
 QUERY_CHUNK = "chk-7"
 NAMES = ("fmea sheet", "HIRA plan", "Safety ST 4", "incident alert", "notes")
 PHRASES = ("", " A Failure mode.", " Lição aprendida.", " Risk assessment", " Normas de operações", " IPAR", " hazard identification risk assessment")
@@ -182,6 +183,30 @@ def version_edges(run: Ingestion) -> DataFrame:
     return ing.supersedes_edges(run.resolved()).select("src", "dst", "rel_type")
 
 
+def graph_of_one_batch(spark: SparkSession, sf_dir: str) -> AuditGraph:
+    store = gs.GraphStore(spark, shared_path(spark, "graph"))
+    store.ingest("all", event_extractions(spark, sf_dir))
+    return store.graph()
+
+
+def graph_of_batches(spark: SparkSession, sf_dir: str) -> AuditGraph:
+    """All event extractions in two batches by time, the second of them twice and once more under another id."""
+    raw = cut_lineage(event_extractions(spark, sf_dir))
+    middle = raw.agg(F.timestamp_micros(F.avg(F.unix_micros(F.col("extracted_at").cast("timestamp"))).cast("bigint")).cast("timestamp_ntz")).scalar()
+    store = gs.GraphStore(spark, shared_path(spark, "graph"))
+    store.ingest("early", raw.filter(F.col("extracted_at") <= middle))
+    for batch_id in ("late", "late", "late again"):
+        store.ingest(batch_id, raw.filter(F.col("extracted_at") > middle))
+    return store.graph()
+
+
+def purge_counts(graph: AuditGraph) -> DataFrame:
+    documents, edges, purged = ing.purge(graph, PURGE_AS_OF)
+    count = lambda df, what: df.agg(F.lit(what).alias("what"), F.count(F.lit(1)).alias("rows"))
+    return purged.select(F.lit("purged").alias("what"), F.col("purged").alias("rows")).unionByName(
+        count(documents, "documents")).unionByName(edges.groupBy(F.col("rel_type").alias("what")).agg(F.count(F.lit(1)).alias("rows")))
+
+
 def log_rows(run: Ingestion) -> DataFrame:
     return ing.extraction_log(run.raw, run.parsed_entities, run.parsed_relationships, run.verdicts).drop("tokens_used", "timestamp")
 
@@ -348,6 +373,10 @@ QUERIES: dict[str, Query] = {
     "i14_ingestion_counts": on_ingestion(lambda r: ing.ingestion_counts(*r.links())),
     "i15_document_status": on_ingestion(lambda r: ing.document_status(r.raw, r.verdicts)),
     "i16_loadable_chunks": on_graph(lambda g: ing.loadable_chunks(g.chunks).select("id", F.length("chunk_text").cast("bigint").alias("chars"))),
+    "i11_committed_graph": lambda s, d: gs.graph_rows(graph_of_batches(s, d)),
+    "s13_relationship_sources": lambda s, d: (lambda g: rec.get_relationships(g, g.node("Risk").filter("level = 'CRITICAL'").select("id")).withColumn(
+        "page_number", F.col("page_number").cast("bigint")))(graph_of_one_batch(s, d)),
+    "i18_purge": on_graph(purge_counts),
     "i18_purge_failed": on_graph(lambda g: ing.purge_failed(g.node("Document"), AS_OF)),
     "i20_rpn": on_graph(lambda g: ing.with_rpn(g.node("FailureMode")).select("id", F.col("rpn").cast("bigint").alias("rpn"), "risk_level")),
 }

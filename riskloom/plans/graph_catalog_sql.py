@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from riskloom.plans.graph_sql import with_graph
 
 _VEC = "list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
@@ -110,8 +112,27 @@ _STAGES = {"ev": _E, "ent": _ENT, "rel": _REL, "ent_errors": _ENT_ERRORS, "rel_e
            "linked": _LINKED, "implicit": _IMPLICIT}
 
 
-def _ingest(sql: str) -> str:
-    return "WITH " + ", ".join(f"{name} AS ({body})" for name, body in _STAGES.items()) + sql
+# Into an empty store: no version is there before the first.
+_STORED = {
+    "contents": re.sub(r"s\.id AS stored_id", "CAST(NULL AS VARCHAR) AS stored_id", re.sub(r"LEFT JOIN \(SELECT 'fm-'.*?business_key\n", "", _CONTENTS, flags=re.S)
+                       .replace("s.description, ", "")),
+    "entity_record": """SELECT 'ext-' || substr(sha256(r.entity_id || '|' || r.document_id || '|' || r.ordinal), 1, 24) AS id, r.entity_id, r.entity_type,
+        r.document_id, model, e.section, page_number FROM resolved r JOIN ent e USING (document_id, ordinal) JOIN ev USING (document_id)""",
+    "link": """SELECT r.document_id, r.ordinal, a.entity_id AS src, b.entity_id AS dst, a.entity_type AS src_label, b.entity_type AS dst_label, rel_type, kind, model,
+        r.section, event_id % 9 + 1 AS page_number, 'ext-' || substr(sha256('relationship|' || r.document_id || '|' || r.ordinal), 1, 24) AS extraction_id
+      FROM rel r JOIN ev USING (document_id) JOIN refs a ON a.document_id = r.document_id AND a.ref = r.from_ref
+      JOIN refs b ON b.document_id = r.document_id AND b.ref = r.to_ref WHERE rel_type IN ('IMPLIES', 'MITIGATES')""",
+    "stored_edge": """
+        SELECT src, rel_type, dst, src_label, dst_label, 'SUGGESTED' AS status, extraction_id, 'seen=' || kind AS props, section, page_number FROM link
+        UNION ALL SELECT DISTINCT src, rel_type, dst, CASE rel_type WHEN 'USES' THEN 'Audit' ELSE 'Document' END,
+          CASE rel_type WHEN 'USES' THEN 'Document' ELSE 'FailureMode' END, 'CONFIRMED', NULL, NULL, NULL, NULL FROM implicit
+        UNION ALL SELECT entity_id, 'SUPERSEDES', supersedes_id, entity_type, entity_type, 'CONFIRMED', NULL, 'reason=Property changes detected', NULL, NULL
+          FROM resolved WHERE supersedes_id IS NOT NULL""",
+}
+
+
+def _ingest(sql: str, stored: bool = False) -> str:
+    return "WITH " + ", ".join(f"{name} AS ({body})" for name, body in (_STAGES | (_STORED if stored else {})).items()) + sql
 
 
 _FILES = """SELECT doc_id, lang, source, sha256(text) AS content_hash,
@@ -332,6 +353,20 @@ ORACLES: dict[str, str] = {
     "i15_document_status": _ingest("""
         SELECT document_id, CASE WHEN valid THEN 'PROCESSED' ELSE 'FAILED' END AS status, first_error AS error FROM verdicts"""),
     "i16_loadable_chunks": with_graph("SELECT id, length(chunk_text) AS chars FROM chunk WHERE regexp_replace(chunk_text, '\\s+', '', 'g') <> ''"),
+    "i11_committed_graph": _ingest("""
+        SELECT 'node' AS part, document_id AS id, 'Document' AS type, NULL AS other_id, CASE WHEN valid THEN 'PROCESSED' ELSE 'FAILED' END AS detail FROM verdicts
+        UNION ALL SELECT 'node', entity_id, entity_type, NULL, head_property FROM resolved JOIN ent USING (document_id, ordinal, entity_type) WHERE action <> 'found_identical'
+        UNION ALL SELECT 'edge', src, rel_type, dst, concat_ws('|', src_label, dst_label, status, extraction_id, props) FROM stored_edge
+        UNION ALL SELECT 'extraction', id, entity_type, document_id, concat_ws('|', entity_id, model, section, page_number, page_number, page_number + 3) FROM entity_record
+        UNION ALL SELECT 'extraction', extraction_id, NULL, document_id, concat_ws('|', model, section, page_number, page_number, page_number + 3) FROM link""", True),
+    "s13_relationship_sources": _ingest("""
+        , wanted AS (SELECT entity_id AS id FROM resolved JOIN ent USING (document_id, ordinal) WHERE resolved.entity_type = 'Risk' AND head_property = 'CRITICAL')
+        SELECT src AS id, src, dst, rel_type, 'out' AS direction, section, page_number FROM stored_edge WHERE src IN (SELECT id FROM wanted)
+        UNION ALL SELECT dst, src, dst, rel_type, 'in', section, page_number FROM stored_edge WHERE dst IN (SELECT id FROM wanted)""", True),
+    "i18_purge": with_graph("""
+        SELECT 'purged' AS what, count(*) AS rows FROM gone UNION ALL SELECT 'documents', count(*) FROM document WHERE id NOT IN (SELECT id FROM gone)
+        UNION ALL SELECT rel_type, count(*) FROM edge WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone) GROUP BY 1""",
+        gone="SELECT id FROM document WHERE status = 'FAILED' AND created_at < TIMESTAMP '2040-01-01' - INTERVAL 24 HOUR"),
     "i18_purge_failed": with_graph("SELECT id FROM document WHERE status = 'FAILED' AND created_at < TIMESTAMP '2000-01-01' - INTERVAL 24 HOUR"),
     "i20_rpn": with_graph("""
         SELECT id, CAST(r AS BIGINT) AS rpn, CASE WHEN r > 200 THEN 'CRITICAL' WHEN r >= 100 THEN 'HIGH' WHEN r >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level

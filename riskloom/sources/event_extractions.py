@@ -34,7 +34,7 @@ def event_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def relationship(start: Column, end: Column, rel_type: Column) -> Column:
         return F.struct(start.alias("from"), end.alias("to"), rel_type.alias("type"), F.lit(0.9).alias("confidence"),
-                        source.alias("sourceReference"))
+                        F.create_map(F.lit("seen"), kind).alias("properties"), source.alias("sourceReference"))
 
     entities = F.array(
         entity(F.lit("FailureMode"), F.when(value < 2, 0.65).otherwise(0.9), code=code,
