@@ -24,8 +24,8 @@ BANDS, ROWS = 16, 5
 BINS = BANDS * ROWS
 #: Lines of a band's group that are paired with each other; in larger groups all are paired with LEADS of them first.
 PAIRED, LEADS = 6, 4
-#: Sets of shingles that a task keeps at hand, and lines of a block when large groups are compared.
-KEPT_SETS, TILE_LINES = 256, 2000
+#: Lines of a block when large groups are compared.
+TILE_LINES = 2000
 #: Text of a bucket, and lines whose band entries a task gathers before it hands them on.
 BUCKET_BYTES, FLUSH_LINES = 16 << 20, 100_000
 
@@ -51,12 +51,8 @@ def shingles(line: str) -> set[str]:
     return {line[i:i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
-_PROBES = np.random.default_rng(17).permuted(np.tile(np.arange(BINS), (BINS, 1)), axis=1)
-
-
-def signatures(lines: list[str]) -> np.ndarray:
-    """A row of BINS minima per line. Each shingle falls into one bin; an empty bin takes the value of another one, tried in
-    an order of its own, so that equal sets keep equal rows and the rows of similar sets agree as often as the sets do."""
+def _hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each shingle of each line, repeats included; the number of its line, and how many each line has."""
     stripped = [x.strip() for x in lines]
     lengths = np.array([len(x) for x in stripped], np.int64)
     padded = np.maximum(lengths, SHINGLE)  # a shorter line is one shingle
@@ -73,7 +69,29 @@ def signatures(lines: list[str]) -> np.ndarray:
     starts = np.cumsum(padded) - padded
     owner = np.repeat(np.arange(len(lines)), counts)
     at = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
-    hashes = _mix(doubled[at])
+    return doubled[at], owner, counts
+
+
+def shingle_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of shingles as sorted numbers, one line's after the other's, and where each set ends.
+
+    A number is the line's place above as many bits of a shingle's hash as are left, 54 for a batch of 1,000 lines.
+    """
+    hashes, owner, _ = _hashed(lines)
+    bits = max(1, (len(lines) - 1).bit_length())
+    numbers = np.sort(owner.astype(np.uint64) << np.uint64(64 - bits) | _mix(hashes) >> np.uint64(bits))
+    numbers = numbers[np.r_[True, numbers[1:] != numbers[:-1]]]
+    return numbers, np.searchsorted(numbers >> np.uint64(64 - bits), np.arange(len(lines)), "right")
+
+
+_PROBES = np.random.default_rng(17).permuted(np.tile(np.arange(BINS), (BINS, 1)), axis=1)
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """A row of BINS minima per line. Each shingle falls into one bin; an empty bin takes the value of another one, tried in
+    an order of its own, so that equal sets keep equal rows and the rows of similar sets agree as often as the sets do."""
+    hashes, owner, _ = _hashed(lines)
+    hashes = _mix(hashes)
     slot = (hashes >> np.uint64(40)).astype(np.int64) % BINS
     out = np.full(len(lines) * BINS, _EMPTY)
     np.minimum.at(out, owner * BINS + slot, hashes)
@@ -165,25 +183,36 @@ def _candidates(part: pa.Table) -> pa.Table:
     return pa.table([pa.array(x, pa.int64()) for x in columns], ["a", "b", "crowd"])
 
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sets: dict[int, set[str]] = {}
+def similar(lines: list[str], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the pairs (x[i], y[i]) of these lines reach SIMILARITY, by their whole sets."""
+    numbers, ends = shingle_sets(lines)
+    begins = np.r_[0, ends[:-1]]
+    size = ends - begins
+    own = np.uint64((1 << 64 - max(1, (len(lines) - 1).bit_length())) - 1)
+    top = np.uint64(64 - max(1, (len(x) - 1).bit_length()))
+    low = np.uint64(max(0, (len(x) - 1).bit_length() - max(1, (len(lines) - 1).bit_length())))  # bits of hash that pairs leave
+
+    def by_pair(line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        count = size[line]
+        pair = np.repeat(np.arange(len(line)), count)
+        at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begins[line], count)
+        return pair.astype(np.uint64) << top | (numbers[at] & own) >> low, pair
+
+    (one, _), (other, pair) = by_pair(x), by_pair(y)
+    place = np.minimum(np.searchsorted(one, other), len(one) - 1)
+    both = np.bincount(pair[one[place] == other], minlength=len(x))
+    return both >= SIMILARITY * (size[x] + size[y] - both)
 
-    def of(key: int, line: str) -> set[str]:
-        found = sets.get(key)
-        if found is None:
-            if len(sets) >= KEPT_SETS:
-                sets.clear()
-            found = sets[key] = shingles(line)
-        return found
 
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kept = []
-        for i, (x, y, text_x, text_y) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True)):
-            one, other = of(x, text_x), of(y, text_y)
-            both = len(one & other)
-            if both >= SIMILARITY * (len(one) + len(other) - both):
-                kept.append(i)
-        yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+        if not len(batch):
+            continue
+        keys = np.concatenate([batch.column(c).to_numpy() for c in ("a", "b")])
+        _, first, line = np.unique(keys, return_index=True, return_inverse=True)
+        texts = pa.concat_arrays([batch.column("text_a"), batch.column("text_b")]).take(pa.array(first)).to_pylist()
+        kept = similar(texts, line[:len(batch)], line[len(batch):])
+        yield batch.select(["a", "b"]).filter(pa.array(kept))
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +223,9 @@ def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = text.split("\n")
             keys += [w["key"] for w in wanted]
             found += [lines[w["at"]].strip() for w in wanted]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(shingles(x)) for x in found], pa.int64()), pa.array(found, pa.string())], ["key", "size", "line"])
+        sizes = [np.diff(np.r_[0, shingle_sets(found[i:i + 1000])[1]]) for i in range(0, len(found), 1000)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.int64()), pa.array(np.concatenate(sizes or [np.zeros(0)]), pa.int64()), pa.array(found, pa.string())], ["key", "size", "line"])
 
 
 def _texts_of(keys: DataFrame, places: DataFrame, docs: DataFrame) -> DataFrame:
@@ -271,9 +302,12 @@ def line_components(places: DataFrame, docs: DataFrame, buckets: int) -> DataFra
     crowds = members.join(firsts.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("component", "key"))
     crowds = staged(crowds.select("crowd", "key", "root"), "line-crowds")
     main = crowds.groupBy("crowd", "root").count().groupBy("crowd").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    more = staged(_late_links(crowds.join(main, "crowd").select("main", "key", "root").distinct(), found), "line-links")
-    # The late links join components, not lines.
+    groups = crowds.join(main, "crowd").select("main", "key", "root").distinct()
     first = firsts.select(F.col("node").alias("key"), "component")
+    if groups.where("root <> main").isEmpty():
+        return first
+    more = staged(_late_links(groups, found), "line-links")
+    # The late links join components, not lines.
     root_of = lambda df, c: df.join(first.select(F.col("key").alias(c), "component"), c, "left").withColumn(c, F.coalesce("component", c)).drop("component")
     joined = staged(components(root_of(root_of(more, "a"), "b"), "line-components"), "line-joined")
     moved = first.join(joined.select(F.col("node").alias("component"), F.col("component").alias("later")), "component", "left").select("key", F.coalesce("later", "component").alias("component"))
@@ -305,7 +339,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     found = line_components(places, held, buckets)
     rooted = staged(places.join(found, "key", "left").select("uid", "no_id", "doc_id", "at", F.coalesce("component", "key").alias("root")), "line-rooted")
     rank = F.struct("no_id", "doc_id", "uid", "at")
-    firsts = rooted.groupBy("root").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first.uid", "first.at")
+    # Written, so that the join has two plain exchanges and the places of a very frequent line are split among tasks.
+    firsts = staged(rooted.groupBy("root").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first.uid", "first.at"), "line-firsts")
     repeated = rooted.alias("l").join(firsts.alias("f"), F.col("l.root") == F.col("f.root")).where("l.uid <> f.uid or l.at <> f.at")
     removed = repeated.select("l.uid", "l.at").groupBy("uid").agg(F.sort_array(F.collect_list("at")).alias("removed"))
     joined = held.join(removed, "uid", "left").select("row", "removed")

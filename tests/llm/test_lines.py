@@ -80,6 +80,20 @@ def test_signatures_estimate_similarity():
     assert (rows[2] == rows[3]).all() and not (rows[2] == rows[4]).any() and (rows[0] == rows[5]).all()
 
 
+def test_sets_of_numbers_compare_like_sets_of_shingles():
+    assert lines.SHINGLE == 6 and lines.shingles(" abcdefgh ") == {"abcdef", "bcdefg", "cdefgh"}
+    pick = random.Random(3)
+    for n in (1, 2, 3, 40):
+        texts = ["".join(pick.choices("ab é", k=pick.choice([0, 1, 5, 6, 7, 40, 300]))) for _ in range(n)]
+        texts += [t[:-1] + "b" for t in texts] + [t * 2 for t in texts]
+        numbers, ends = lines.shingle_sets(texts)
+        sets = [lines.shingles(t) for t in texts]
+        assert np.diff(np.r_[0, ends]).tolist() == [len(x) for x in sets] and len(numbers) == ends[-1]
+        x, y = (np.array([pick.randrange(len(texts)) for _ in range(500)]) for _ in range(2))
+        want = [len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in zip(x, y)]
+        assert lines.similar(texts, x, y).tolist() == want and any(want)
+
+
 def test_query_equals_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     out = lines.deduplicate(spark.read.parquet(f"{SF}/documents.parquet"))
