@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.functions.intervals import overlapping
 from riskloom.functions.rounding import ratio, round_half_up
 from riskloom.graph import AuditGraph
 from riskloom.operators.patterns import related_ids
@@ -43,6 +44,29 @@ def relevance(results: DataFrame, questions: DataFrame) -> DataFrame:
     return results.join(ranges, "question_id").withColumn("relevant", F.coalesce(overlaps, F.lit(False)))
 
 
+def relevant_chunks(chunks: DataFrame, questions: DataFrame, width: int = 64) -> DataFrame:
+    """(question_id, chunk_id): all chunks of a question's document, retrieved or not, whose lines meet its source lines."""
+    ranges = questions.select("question_id", "document_id", "source_line_start", "source_line_end")
+    found = overlapping(chunks.select("document_id", "chunk_id", "line_start", "line_end"), ranges, ["document_id"],
+                        ("line_start", "line_end"), ("source_line_start", "source_line_end"), width)
+    return found.select("question_id", "chunk_id")
+
+
+def retrieve_by_words(chunks: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
+    """The k chunks of a question's document that share most distinct words with its facts, and their rank.
+
+    ``chunks``: document_id, chunk_id, text and any other columns. All chunks of a document compete; a chunk that shares no
+    word is not retrieved, ties go to the lower chunk_id. Words meet by (document, word), texts join the k winners only.
+    """
+    facts = questions.select("question_id", "document_id", F.explode("expected_facts").alias("fact")).select(
+        "question_id", "document_id", F.explode(_words(F.col("fact"))).alias("word")).distinct()
+    found = chunks.select("document_id", "chunk_id", F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
+    shared = facts.join(found, ["document_id", "word"]).groupBy("question_id", "document_id", "chunk_id").agg(F.count(F.lit(1)).alias("shared"))
+    best = Window.partitionBy("question_id").orderBy(F.desc("shared"), "chunk_id")
+    ranked = shared.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return ranked.join(chunks, ["document_id", "chunk_id"])
+
+
 def first_relevant(results: DataFrame, questions: DataFrame) -> DataFrame:
     """(question_id, rank of the first relevant chunk or null, hit) for every question."""
     ranks = (relevance(results, questions).filter("relevant").groupBy("question_id")

@@ -79,8 +79,8 @@ def expanded_entities(expansion: DataFrame) -> DataFrame:
 
 def reachable(graph: AuditGraph, seeds: DataFrame, depth: int = 1, rel_types: Sequence[str] = ()) -> DataFrame:
     """(seed_id, id, type, depth): entities within ``depth`` hops of each seed, at their least depth."""
-    if not 0 <= depth <= 3:
-        raise ValueError("depth must be between 0 and 3")
+    if depth < 0:
+        raise ValueError("depth must not be negative")
     seeds = seeds.select(F.col("id").alias("seed_id")).distinct()
     found = seeds.select("seed_id", F.col("seed_id").alias("id"), F.lit(None).cast("string").alias("type"),
                          F.lit(0).alias("depth"))
@@ -167,24 +167,36 @@ def all_edges(graph: AuditGraph, rel_type: str) -> DataFrame:
     return graph.edge(rel_type).select("src", "dst", "src_label", "dst_label")
 
 
-def match_path(graph: AuditGraph, path: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """(start_id, end_id) pairs connected by a chain of (from label, relationship, to label) steps.
+def path_steps(graph: AuditGraph, path: Sequence[tuple[str, str, str]]) -> list[DataFrame]:
+    """The (src, dst) pairs of each step of a path, without those from which its end cannot be reached.
 
-    A step matches an edge in either direction, as long as the labels fit. Pairs are made
-    distinct after every step, so a chain never carries more rows than it has pairs.
+    A step matches an edge in either direction, as long as the labels fit. From the last step back, each is reduced to the
+    pairs that end where the next one begins.
     """
-    pairs = None
-    for source, rel_type, target in path:
+    steps: list[DataFrame] = []
+    for source, rel_type, target in reversed(path):
         edges = all_edges(graph, rel_type)
         forward = edges.filter((F.col("src_label") == source) & (F.col("dst_label") == target)).select("src", "dst")
         backward = edges.filter((F.col("dst_label") == source) & (F.col("src_label") == target)).select(
             F.col("dst").alias("src"), F.col("src").alias("dst"))
         step = forward.unionByName(backward)
-        if pairs is None:
-            pairs = step.select(F.col("src").alias("start_id"), F.col("dst").alias("end_id")).distinct()
-        else:
-            pairs = (pairs.join(step.withColumnRenamed("src", "end_id"), "end_id")
-                     .select("start_id", F.col("dst").alias("end_id")).distinct())
+        if steps:
+            step = step.join(steps[0].select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        steps.insert(0, step)
+    return steps
+
+
+def match_path(graph: AuditGraph, path: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """(start_id, end_id) pairs connected by a chain of (from label, relationship, to label) steps.
+
+    Pairs are made distinct after every step and each reaches the end of the path, so the chain never carries a row that
+    leads nowhere, nor more rows than it has pairs.
+    """
+    first, *rest = path_steps(graph, path)
+    pairs = first.select(F.col("src").alias("start_id"), F.col("dst").alias("end_id")).distinct()
+    for step in rest:
+        pairs = (pairs.join(step.withColumnRenamed("src", "end_id"), "end_id")
+                 .select("start_id", F.col("dst").alias("end_id")).distinct())
     return pairs
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.graph import AuditGraph
@@ -22,7 +22,7 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One question per document about two of its lines; some are deliberately invalid."""
+    """One question per document about two of its lines, with all its sentences as facts; some are deliberately invalid."""
     doc = F.col("doc_id")
     types = F.array(F.lit("factoid"), F.lit("contextual"), F.lit("multi-span"), F.lit("riddle"))
     return read_texts(spark, sf_dir).select(
@@ -30,16 +30,27 @@ def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(doc % 11 == 5, " short? ").otherwise(F.concat(F.lit("What does it say in document "), doc)).alias("question"),
         F.element_at(types, (doc % 4 + 1).cast("int")).alias("type"),
         (doc % 5 + 1).cast("int").alias("source_line_start"), (doc % 5 + 2).cast("int").alias("source_line_end"),
-        F.when(doc % 7 == 6, F.array().cast("array<string>")).otherwise(F.slice(F.split("text", r"[.\n]"), 1, 2)).alias("expected_facts"))
+        F.when(doc % 7 == 6, F.array().cast("array<string>")).otherwise(
+            F.filter(F.split("text", r"[.\n]"), lambda x: F.trim(x) != "")).alias("expected_facts"))
 
 
-def retrieved(spark: SparkSession, sf_dir: str, chunker: str = "semantic") -> DataFrame:
-    """Document lines as retrieved chunks: 'fixed' ranks from the top, 'semantic' around one line."""
-    centre = F.lit(0) if chunker == "fixed" else F.col("doc_id") % 7
-    order = Window.partitionBy("doc_id").orderBy(F.abs(F.col("at") - centre), "at")
-    ranked = document_lines(spark, sf_dir).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= TOP_K)
-    return ranked.select(F.col("doc_id").alias("question_id"), "rank", "text",
-                         (F.col("at") + 1).alias("line_start"), (F.col("at") + 1).alias("line_end"))
+def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document as a chunk."""
+    line = (F.col("at") + 1).alias
+    return document_lines(spark, sf_dir).select(
+        F.col("doc_id").alias("document_id"), F.col("at").alias("chunk_id"), "text", line("line_start"), line("line_end"))
+
+
+def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all lines of its document, those that share most words with a question's facts."""
+    return ev.retrieve_by_words(line_chunks(spark, sf_dir), golden(spark, sf_dir), TOP_K)
+
+
+def overlapping_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of ten lines, eight apart, over all documents, that meet their document's source lines."""
+    windows = document_lines(spark, sf_dir).filter("at % 8 = 0").select(
+        F.col("doc_id").alias("document_id"), F.floor(F.col("at") / 8).alias("chunk_id"), (F.col("at") + 1).alias("line_start"), (F.col("at") + 10).alias("line_end"))
+    return ev.relevant_chunks(windows, golden(spark, sf_dir), width=16)
 
 
 def question_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +78,8 @@ def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every second line of a document is a fact to be kept."""
-    return document_lines(spark, sf_dir).filter("at % 2 = 1").select(
+    """Every line of a document is a fact to be kept."""
+    return document_lines(spark, sf_dir).select(
         F.col("doc_id").alias("document_id"), F.col("at").cast("bigint").alias("fact_id"), F.col("text").alias("fact"))
 
 
@@ -148,6 +159,7 @@ QUERIES: dict[str, Query] = {
         "question_id", "type", F.size("expected_facts").cast("bigint").alias("facts")),
     "e02_relevance": lambda s, d: ev.relevance(retrieved(s, d), golden(s, d)).select(
         "question_id", F.col("rank").cast("bigint").alias("rank"), "relevant"),
+    "j08_range_overlaps": overlapping_windows,
     "e03_first_relevant": lambda s, d: ev.first_relevant(retrieved(s, d), golden(s, d)),
     "e04_token_overlap": lambda s, d: _rounded(ev.token_overlap(retrieved(s, d), golden(s, d))),
     "e05_question_scores": question_scores,

@@ -228,9 +228,12 @@ _OUTLINE = f"""
 _GOLDEN = """SELECT doc_id AS question_id, CASE WHEN doc_id % 11 = 5 THEN ' short? ' ELSE 'What does it say in document ' || doc_id END AS question,
       ['factoid','contextual','multi-span','riddle'][CAST(doc_id % 4 + 1 AS INT)] AS type, doc_id % 5 + 1 AS a, doc_id % 5 + 2 AS z,
       len(string_split(text, chr(10))) AS line_count,
-      CASE WHEN doc_id % 7 = 6 THEN [] ELSE string_split_regex(text, '[.\\n]')[1:2] END AS facts FROM documents"""
-_RETRIEVED = """SELECT doc_id AS question_id, i + 1 AS line_no, line AS text, rank FROM (
-      SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY abs(i - doc_id % 7), i) AS rank FROM lines) WHERE rank <= 5"""
+      CASE WHEN doc_id % 7 = 6 THEN [] ELSE list_filter(string_split_regex(text, '[.\\n]'), lambda x: trim(x) <> '') END AS facts FROM documents"""
+_WORDS = "list_distinct(list_filter(string_split_regex(lower({0}), '\\s+'), lambda w: length(w) > 2))"
+_RETRIEVED = f"""SELECT question_id, line_no, text, rank FROM (
+      SELECT question_id, i + 1 AS line_no, line AS text, row_number() OVER (PARTITION BY question_id ORDER BY shared DESC, i) AS rank FROM (
+        SELECT g.question_id, l.i, l.line, len(list_intersect(g.words, {_WORDS.format('l.line')})) AS shared FROM lines l
+        JOIN (SELECT question_id, {_WORDS.format("array_to_string(facts, ' ')")} AS words FROM golden) g ON g.question_id = l.doc_id) WHERE shared > 0) WHERE rank <= 5"""
 _FIRST = """SELECT q.question_id, min(rank) AS first_rank, min(rank) IS NOT NULL AS hit FROM golden q
     LEFT JOIN got r ON r.question_id = q.question_id AND r.line_no BETWEEN q.a AND q.z GROUP BY 1"""
 _IOU = """SELECT question_id, CASE WHEN len(f) = 0 THEN 0.0 ELSE round(len(list_intersect(f, g)) / len(list_distinct(list_concat(f, g))), 6) END AS token_iou
@@ -250,10 +253,10 @@ def _retrieval(sql: str) -> str:
 _FINDINGS = f"""
     WITH lines AS ({_lines_cte('SELECT doc_id, text FROM documents')}),
     facts AS (SELECT doc_id AS document_id, i AS fact_id, line AS fact,
-        list_distinct(list_filter(string_split_regex(lower(line), '\\s+'), lambda w: length(w) > 2)) AS ws FROM lines WHERE i % 2 = 1),
+        list_distinct(list_filter(string_split_regex(lower(line), '\\s+'), lambda w: length(w) > 2)) AS ws FROM lines),
     kept AS (SELECT doc_id AS document_id, list_distinct(string_split_regex(lower(string_agg(line, ' ')), '\\s+')) AS present
       FROM lines WHERE line NOT LIKE 'E%' GROUP BY 1),
-    findings AS (SELECT document_id, fact_id, fact, len(ws) > 0 AND len(list_filter(ws, lambda w: NOT list_contains(present, w))) = 0 AS found
+    findings AS (SELECT document_id, fact_id, fact, len(ws) > 0 AND len(list_filter(ws, lambda w: NOT list_contains(coalesce(present, []), w))) = 0 AS found
       FROM facts LEFT JOIN kept USING (document_id))"""
 _RUNS = """WITH runs AS (SELECT *, floor((0.5 * (h1 * 0.3 + h3 * 0.3 + mrr * 0.4)
         + 0.3 * (unity / 5 * 0.4 + clean * 0.3 + alone / 5 * 0.3) + 0.2 * kept) * 1000 + 0.5) / 1000 AS overall_score
@@ -345,6 +348,8 @@ ORACLES: dict[str, str] = {
         WHERE length(trim(question)) >= 10 AND type <> 'riddle' AND z <= line_count AND len(facts) > 0"""),
     "e02_relevance": _retrieval("""
         SELECT r.question_id, rank, line_no BETWEEN a AND z AS relevant FROM got r JOIN golden USING (question_id)"""),
+    "j08_range_overlaps": _retrieval("""SELECT g.question_id, CAST(l.i // 8 AS BIGINT) AS chunk_id FROM golden g JOIN lines l ON l.doc_id = g.question_id
+        WHERE l.i % 8 = 0 AND l.i + 1 <= g.z AND g.a <= l.i + 10"""),
     "e03_first_relevant": _retrieval("SELECT * FROM first_hits"),
     "e04_token_overlap": _retrieval("SELECT * FROM ious"),
     "e05_question_scores": _retrieval("SELECT * FROM scores"),
