@@ -44,27 +44,35 @@ def _matrix(data: bytes, dim: int) -> np.ndarray:
     return np.frombuffer(data, np.float64).reshape(-1, dim)
 
 
-def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id and cells, floor(scale * x) of each component as packed doubles. Rows with a null id, a null or empty vector,
-    or a null or non-finite component take no part."""
+def usable(vectors: DataFrame) -> DataFrame:
+    """vec_id and cells, the components as packed doubles. Rows with a null id, a null or empty vector, or a null or
+    non-finite component take no part."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = [np.floor(scale * np.array(v, np.float64)).tobytes() for v in batch.column("v").to_pylist()]
+            cells = [np.array(v, np.float64).tobytes() for v in batch.column("v").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(cells, pa.binary())], ["vec_id", "cells"])
 
     v = F.col("v")
     plain = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
-    usable = plain.where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size("v") > 0) & F.forall(
+    held = plain.where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size("v") > 0) & F.forall(
         v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    return usable.mapInArrow(run, "vec_id long, cells binary")
+    return held.mapInArrow(run, "vec_id long, cells binary")
 
 
-def _scores(queries: np.ndarray, shard: np.ndarray) -> np.ndarray:
-    """Exact integer products: by doubles while every sum stays below 2**53, else by Python's integers, held to 64 bits."""
-    bound = np.abs(queries).max(initial=0) * np.abs(shard).max(initial=0) * queries.shape[1]
+def _whole(x: float, scale: int) -> int:
+    """floor(scale * x) exactly; a double from 2**53 on is whole, so it is multiplied as an integer and cannot overflow."""
+    return int(x) * scale if abs(x) >= 2.0 ** 53 else math.floor(scale * x)
+
+
+def _scores(queries: np.ndarray, shard: np.ndarray, scale: int) -> np.ndarray:
+    """Exact integer products of floor(scale * x): by doubles while every sum stays below 2**53, else by Python's integers. A
+    score beyond 64 bits counts as the nearest that fits."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        q, s = np.floor(scale * queries), np.floor(scale * shard)
+        bound = np.abs(q).max(initial=0) * np.abs(s).max(initial=0) * queries.shape[1]
     if bound < 2.0 ** 53:
-        return (queries @ shard.T).astype(np.int64)
-    whole = lambda m: np.array([[int(x) for x in row] for row in m], object).reshape(m.shape)
+        return (q @ s.T).astype(np.int64)
+    whole = lambda m: np.array([[_whole(x, scale) for x in row] for row in m.tolist()], object).reshape(m.shape)
     exact = whole(queries) @ whole(shard).T
     return np.clip(exact, -(2 ** 63) + 1, 2 ** 63 - 1).astype(np.int64)
 
@@ -85,10 +93,10 @@ def search(vectors: DataFrame, k: int = K, every: int = 20, scale: int = SCALE)
     """Each query's k highest scores: query_id, rank (from 1), vec_id, score.
 
     Queries are the rows whose id is divisible by ``every``; candidates are all rows of the same length but the query's own
-    row. Ties go to the smaller vec_id. A repeated id is another row: it is a candidate of its twin, and each row with the
+    row. Scores are held to 64 bits, ties go to the smaller vec_id. A repeated id is another row: it is a candidate of its twin, and each row with the
     id of a query is a query. Fewer candidates give shorter lists; an empty table gives none. Other columns are not read.
     """
-    rows = quantised(vectors, scale)
+    rows = usable(vectors)
     n = rows.count()
     shards = max(1, math.ceil(n / SHARD_ROWS))
     listed = lambda names: ", ".join(f"{c} array<bigint>" for c in names)
@@ -123,7 +131,7 @@ def search(vectors: DataFrame, k: int = K, every: int = 20, scale: int = SCALE)
                 ids = np.array(ids, np.int64)
                 order = np.argsort(ids, kind="stable")
                 own_block, own_at, query_id = (np.array(x, np.int64) for x in (own_block, own_at, query_id))
-                scores = _scores(_matrix(query_cells, dim), _matrix(cells, dim)[order])
+                scores = _scores(_matrix(query_cells, dim), _matrix(cells, dim)[order], scale)
                 here = own_block == shard
                 scores[np.flatnonzero(here), np.argsort(order)[own_at[here]]] = np.iinfo(np.int64).min
                 q, c = _best(scores, k)

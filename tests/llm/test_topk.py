@@ -31,6 +31,20 @@ def test_odd_rows(spark, monkeypatch):
     assert topk.search(df.limit(0)).count() == 0
 
 
+def test_components_near_the_end_of_the_doubles(spark):
+    """Products beyond 64 bits count as the nearest that fits; sums that fit are exact, however large their terms."""
+    rows = [(0, [1e308, 1.0]), (20, [1.0, 0.0]), (1, [1e308, 1e308]), (2, [-1.7e308, 0.0]), (3, [0.5, 7.0]), (4, [2.0 ** 1000, -(2.0 ** 1000)]), (40, [2.0 ** 900, 2.0 ** 900])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    held = Counter()
+    exact = [(i, [int(x) * 64 if abs(x) >= 2.0 ** 53 else math.floor(64 * x) for x in v]) for i, v in rows]
+    for i, q in exact:
+        if i % 20 == 0:
+            clipped = sorted((-max(-(2 ** 63) + 1, min(2 ** 63 - 1, sum(a * b for a, b in zip(q, v)))), j) for j, v in exact if j != i)[:5]
+            held.update((i, r, j, -s) for r, (s, j) in enumerate(clipped, 1))
+    assert Counter(map(tuple, topk.search(df, 5).collect())) == held
+    assert held[(40, 5, 4, 0)] or any(k[0] == 40 and k[2:] == (4, 0) for k in held)
+
+
 def test_query_matches_sql(spark):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
