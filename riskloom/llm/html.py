@@ -6,13 +6,14 @@ close in the DOM are joined by smoothness edges. The minimum cut labels all bloc
 
 The classifier is a logistic regression over text and layout features, trained on blocks whose place in the page states
 what they are (inside <article> or <main>; inside <nav>, <footer>, <aside>, <form>, or a container named as one). Such a
-statement is also an edge that no smoothness outweighs; the other blocks go by features and neighbours.
+statement adds to the capacity of a block's terminal edge, by elements more than by names, but within the size of what the
+classifier may say, so that text and neighbours can outweigh it; blocks without one go by features and neighbours alone.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from html import unescape
 
@@ -26,8 +27,9 @@ from riskloom.llm.common import table
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
-                   "small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object canvas".split())
+                   "small span strike strong sub sup time tt u var wbr math svg object noscript canvas".split())
+FOREIGN = frozenset("math svg".split())
+RAW = frozenset("script style template textarea iframe".split())
 BOILERPLATE = frozenset("head title nav header footer aside form button select option dialog menu figure-menu".split())
 CONTENT = frozenset("article main".split())
 # Words in class, id and role names that state what a container holds.
@@ -37,10 +39,14 @@ BOILERPLATE_NAMES = frozenset(
     "recommended share sharing social newsletter subscribe signup login search comment comments reply replies respond disqus "
     "discussion contentinfo complementary toolbar pagination pager copyright".split())
 CONTENT_NAMES = frozenset("article main post entry story articlebody postcontent entrycontent maincontent".split())
+# Words that may stand beside one of these in a name and say nothing.
+NEUTRAL_NAMES = frozenset("site page top bottom left right global box bar block list area section container wrapper inner outer unit slot".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-#: Pages the classifier is fitted on at most, and the share of evidence that no smoothness outweighs.
-FIT_PAGES, CERTAIN = 2000, 1000.0
+#: Pages the classifier is fitted on at most.
+FIT_PAGES = 2000
+#: What an element and what a name adds to a terminal edge, and the most that the classifier does.
+BY_ELEMENT, BY_NAME, MOST_ODDS = 8.0, 6.0, 8.0
 #: Capacity between neighbours in page order, and more for each neighbour under the same parent.
 ADJACENT, SIBLING = 0.6, 0.8
 
@@ -52,28 +58,42 @@ _CUT_OFF = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?\Z")
 class Block:
     __slots__ = ("text", "tag", "parent", "depth", "linked", "evidence")
 
-    def __init__(self, text: str, tag: str, parent: int, depth: int, linked: int, evidence: int) -> None:
+    def __init__(self, text: str, tag: str, parent: int, depth: int, linked: int, evidence: float) -> None:
         self.text, self.tag, self.parent, self.depth, self.linked, self.evidence = text, tag, parent, depth, linked, evidence
 
 
-def _states(tag: str, attributes: str, outer: int) -> int:
-    """1: holds content, -1: holds boilerplate, 0: says nothing. Boilerplate holds no content, an article may hold boilerplate."""
-    if outer < 0 or tag in BOILERPLATE or tag in RAW:
-        return -1
-    names: set[str] = set()
-    if attributes:
-        for found in _NAMES.finditer(attributes):
-            value = (found[1] or found[2] or found[3] or "").lower()
-            names.update(re.split(r"[\s_-]+", value), value.replace("-", "").replace("_", "").split())
-    if names & BOILERPLATE_NAMES and tag not in CONTENT and tag not in ("body", "html"):
-        return -1
-    return 1 if tag in CONTENT or names & CONTENT_NAMES else outer
+def _named(attributes: str) -> int:
+    """What the names of a container state: -1 boilerplate, 1 content, 0 nothing. A name of several words counts if all do."""
+    found = 0
+    for attribute in _NAMES.finditer(attributes):
+        for name in (attribute[1] or attribute[2] or attribute[3] or "").lower().split():
+            words = set(re.split(r"[_-]+", name)) - NEUTRAL_NAMES - {""}
+            joined = name.replace("-", "").replace("_", "")
+            if joined in BOILERPLATE_NAMES or words and words <= BOILERPLATE_NAMES:
+                return -1
+            if joined in CONTENT_NAMES or words and words <= CONTENT_NAMES:
+                found = 1
+    return found
+
+
+def _states(tag: str, attributes: str, outer: float) -> float:
+    """What a block in this element may be, above zero content: the innermost statement. Elements of boilerplate hold no
+    content; an article in a container that is only named as boilerplate is content."""
+    if tag in BOILERPLATE or outer <= -BY_ELEMENT:
+        return -BY_ELEMENT
+    if tag in CONTENT:
+        return BY_ELEMENT
+    named = _named(attributes) if attributes and tag not in ("body", "html") else 0
+    if not named or named > 0 and outer:
+        return outer
+    return named * BY_NAME
 
 
 def blocks(html: str) -> list[Block]:
     """Blocks of a page in order. Markup that is cut off at the end of the page is no text."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # name, what it states, number
+    stack: list[tuple[str, float, int]] = [("", 0, 0)]  # name, what it states, number
+    opened: Counter[str] = Counter()  # names in the stack
     parts: list[str] = []
     linked, in_link, number, at = 0, 0, 0, 0
 
@@ -87,21 +107,26 @@ def blocks(html: str) -> list[Block]:
                     depth -= 1
                 name, _, own = stack[depth - 1]
                 up = stack[depth - 2][2] if depth > 1 else own
-                heading = name in HEADINGS and any(s[0] == "header" for s in stack) and any(s[0] in CONTENT for s in stack)
+                heading = name in HEADINGS and opened["header"] and any(opened[x] for x in CONTENT)
                 # The headline of an article may stand in the article's own header.
-                states = 1 if heading and not any(s[1] < 0 and s[0] != "header" for s in stack[:_first_header(stack)]) else stack[-1][1]
+                states = BY_ELEMENT if heading and not any(s[1] < 0 for s in stack[:_first_header(stack)]) else stack[-1][1]
                 out.append(Block(text, name, up, depth, min(linked, len(text)), states))
             parts.clear()
         linked = 0
 
     def text_to(end: int) -> None:
         nonlocal linked
-        if end > at and stack[-1][0] not in RAW:
+        if end > at:
             data = unescape(html[at:end])
             parts.append(data)
             if in_link:
                 linked += len(data)
 
+    def close(depth: int) -> None:
+        for entry in stack[depth:]:
+            opened[entry[0]] -= 1
+        del stack[depth:]
+
     while True:
         token = _TOKEN.search(html, at)
         if token is None:
@@ -113,27 +138,29 @@ def blocks(html: str) -> list[Block]:
         name = (token[2] or "").lower()
         if not name:
             continue
+        foreign = any(opened[x] for x in FOREIGN)
+        inline = name in INLINE or foreign
         if token[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            if name not in INLINE:
+            depth = next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name) if opened[name] else 0
+            if not inline:
                 flush()
-            elif depth and any(s[0] not in INLINE for s in stack[depth:]):
+            elif depth and not foreign and any(s[0] not in INLINE for s in stack[depth:]):
                 continue  # an inline end tag does not close a block
             if name == "a":
                 in_link = 0
             if depth:
-                del stack[depth:]
+                close(depth)
             continue
         if name == "br":
             parts.append(" ")
             continue
-        if name not in INLINE:
+        if not inline:
             flush()
             if name in ("li", "p", "option", "tr", "td", "th", "dt", "dd") or any(s[0] == "p" for s in stack[-4:]):
                 closes = {"li": ("li",), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}.get(name, ("p",))
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] in closes:
-                        del stack[i:]
+                        close(i)
                         break
                     if stack[i][0] not in INLINE and stack[i][0] != "p":
                         break
@@ -141,12 +168,13 @@ def blocks(html: str) -> list[Block]:
             continue
         if name == "a":
             in_link = 1
-        number += 1
-        stack.append((name, _states(name, token[3], stack[-1][1]), number))
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(html, at)
-            at = close.end() if close else len(html)
-            stack.pop()
+            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(html, at)
+            at = end.end() if end else len(html)
+            continue
+        number += 1
+        stack.append((name, stack[-1][1] if foreign else _states(name, token[3], stack[-1][1]), number))
+        opened[name] += 1
     flush()
     return out
 
@@ -233,8 +261,13 @@ def main_text(html: str | None, weights: np.ndarray) -> str:
     found = blocks(html or "")
     if not found:
         return ""
-    odds = np.clip(features(found) @ weights, -8, 8)
-    cut = Cut([float(o) + CERTAIN * b.evidence for o, b in zip(odds, found, strict=True)])
+    return "\n".join(b.text for b, content in zip(found, labels(found, weights), strict=True) if content)
+
+
+def labels(found: list[Block], weights: np.ndarray) -> list[bool]:
+    """Which blocks of a page are content: the source side of its minimum cut."""
+    odds = np.clip(features(found) @ weights, -MOST_ODDS, MOST_ODDS)
+    cut = Cut([float(o) + b.evidence for o, b in zip(odds, found, strict=True)])
     last: dict[int, int] = {}
     for i, b in enumerate(found):
         if i:
@@ -242,7 +275,7 @@ def main_text(html: str | None, weights: np.ndarray) -> str:
         if b.parent in last and last[b.parent] >= 0:
             cut.join(last[b.parent], i, SIBLING)
         last[b.parent] = i
-    return "\n".join(b.text for b, content in zip(found, cut.source_side(), strict=True) if content)
+    return cut.source_side()
 
 
 def fit(pages: DataFrame, most: int = FIT_PAGES) -> np.ndarray:
@@ -252,7 +285,7 @@ def fit(pages: DataFrame, most: int = FIT_PAGES) -> np.ndarray:
             for html in batch.column("html").to_pylist():
                 found = blocks(html)
                 y = np.array([b.evidence for b in found])
-                yield pa.RecordBatch.from_arrays([pa.array([features(found)[y != 0].tobytes()], pa.binary()), pa.array([((y[y != 0] + 1) / 2).tobytes()], pa.binary())], ["x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array([features(found)[y != 0].tobytes()], pa.binary()), pa.array([(y[y != 0] > 0).astype(np.float64).tobytes()], pa.binary())], ["x", "y"])
 
     given = pages.select(F.col("html").cast("string")).where("html is not null")
     bound = int((1 << 40) * min(1.0, most / max(given.count(), 1)))

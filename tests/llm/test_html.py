@@ -45,6 +45,57 @@ def test_without_statements_features_and_neighbours_decide(spark):
     assert html.main_text(page, weights) == "\n".join([prose.strip()] * 4)
 
 
+PROSE = "The quick brown fox jumps over the lazy dog, and then it rests for a while. " * 3
+
+
+def test_wrapper_names_do_not_decide(spark):
+    weights = html.fit(spark.read.parquet(f"{SF}/pages.parquet"))
+    text = "\n".join([PROSE.strip()] * 3)
+    paragraphs = f"<p>{PROSE}</p>" * 3
+    for page in (f"<div class='layout has-sidebar'><article>{paragraphs}</article></div>", f"<div id='search-results-page'><main>{paragraphs}</main></div>",
+                 f"<div class='sidebar'><article>{paragraphs}</article></div>", f"<div class='related-work'>{paragraphs}</div>",
+                 f"<article><section class='related-work'>{paragraphs}</section></article>", f"<article><section id='search-algorithms'>{paragraphs}</section></article>"):
+        assert html.main_text(page, weights) == text
+    for page in (f"<aside><article>{paragraphs}</article></aside>", f"<article>{paragraphs}<div class='site-footer'><a href=x>Terms</a></div><div class='nav-bar'><a href=y>Home</a></div></article>"):
+        assert html.main_text(page, weights) == ("" if page.startswith("<aside") else text)
+
+
+def test_pages_without_any_statement_come_out_alike(spark):
+    """The given pages with every container made a nameless one: classifier and cut find what the statements say."""
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect() if r.html]
+    weights = html.fit(spark.read.parquet(f"{SF}/pages.parquet"))
+    bare = lambda h: re.sub(r"<(/?)(?:nav|header|footer|aside|form|article|main|section)\b[^>]*>", r"<\1div>", re.sub(r"\b(class|id|role)=\S+?(?=[ >])", "", h))
+    same = 0
+    for page in pages:
+        assert not any(b.evidence > 0 for b in html.blocks(bare(page)))
+        same += html.main_text(page, weights) == html.main_text(bare(page), weights)
+    assert same >= 0.9 * len(pages)
+
+
+def test_statements_are_finite():
+    """Strong odds of the text and its neighbours outweigh the name of a container."""
+    found = html.blocks(f"<article>{f'<p>{PROSE}</p>' * 2}<div class='widget'><p>{PROSE}</p></div></article>")
+    weights = np.zeros(9)
+    weights[0] = html.MOST_ODDS
+    assert [b.evidence for b in found] == [html.BY_ELEMENT] * 2 + [-html.BY_NAME] and all(html.labels(found, weights))
+    assert html.labels(found, np.zeros(9)) == [True, True, False]
+
+
+def test_other_elements_keep_their_text_in_line():
+    page = "<article><p>Let <math><mi>x</mi>=<mi>y</mi></math> hold.<p>A <object>plain <svg><text>drawing</text></svg></object> here<noscript><p>Shown</p></noscript><script>no</script><style>no</style></article>"
+    assert html.main_text(page, np.zeros(9)) == "Let x=y hold.\nA plain drawing here\nShown"
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+    seconds = []
+    for n in (4_000, 16_000):
+        started = time.process_time()
+        assert html.blocks("<div>x" * n + "</b></section>" * n + "</div>" * n)
+        seconds.append(time.process_time() - started)
+    assert seconds[1] < 9 * seconds[0] + 1
+
+
 def test_query_against_the_template(spark):
     """The given pages have one <article>; its blocks are all of the main text."""
     pages = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
