@@ -35,6 +35,8 @@ class AuditGraph:
         self._edges = dict(edges)
         self._extractions = extractions
         self._chunks = chunks
+        #: A stored adjacency (``riskloom.operators.adjacency``) that expansions go over, if there is one.
+        self.adjacency = None
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> AuditGraph:

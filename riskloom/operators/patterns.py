@@ -69,6 +69,9 @@ def hops(graph: AuditGraph, rel_types: Sequence[str] = (), direction: str = "bot
 def expand_relationships(graph: AuditGraph, seeds: DataFrame, rel_types: Sequence[str] = (),
                          direction: str = "both", also: Sequence[str] = ()) -> DataFrame:
     """The hops that start at one of the seed ids."""
+    if graph.adjacency is not None:
+        return graph.adjacency.walk(seeds.select("id").distinct(), rel_types, direction).select(
+            "id", "neighbour_id", "neighbour_type", "rel_type", "src", "dst", "direction", *also)
     return hops(graph, rel_types, direction, also).join(seeds.select("id").distinct(), "id", "left_semi")
 
 
@@ -86,10 +89,11 @@ def reachable(graph: AuditGraph, seeds: DataFrame, depth: int = 1, rel_types: Se
                          F.lit(0).alias("depth"))
     frontier = found
     for step in range(1, depth + 1):
-        onward = hops(graph, rel_types).select("id", "neighbour_id", "neighbour_type")
+        at = frontier.select("seed_id", "id")
+        onward = (graph.adjacency.walk(at, rel_types) if graph.adjacency is not None
+                  else at.join(hops(graph, rel_types).select("id", "neighbour_id", "neighbour_type"), "id"))
         frontier = (
-            frontier.select("seed_id", "id").join(onward, "id")
-            .select("seed_id", F.col("neighbour_id").alias("id"), F.col("neighbour_type").alias("type")).distinct()
+            onward.select("seed_id", F.col("neighbour_id").alias("id"), F.col("neighbour_type").alias("type")).distinct()
             .join(found.select("seed_id", "id"), ["seed_id", "id"], "left_anti")
             .withColumn("depth", F.lit(step)))
         if step < depth:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.graph import AuditGraph
+from riskloom.operators import adjacency as adj
 from riskloom.operators import classify as cl
 from riskloom.operators import graph_store as gs
 from riskloom.operators import ingest as ing
@@ -41,6 +42,12 @@ def vector_index(graph: AuditGraph) -> vix.VectorIndex:
     return vix.build(graph.chunks.select("id", "embedding"), shared_path(graph.spark, "vector-index"))
 
 
+def with_adjacency(graph: AuditGraph) -> AuditGraph:
+    """The graph with its edges stored by both ends in the shared folder."""
+    graph.adjacency = adj.store(graph, shared_path(graph.spark, "adjacency"))
+    return graph
+
+
 def line_range_text(graph: AuditGraph) -> DataFrame:
     return rec.entity_with_provenance(graph, graph.node("Risk"))
 
@@ -322,6 +329,8 @@ QUERIES: dict[str, Query] = {
     "g02_entities_by_ids": on_graph(lambda g: pt.entities_by_ids(g, g.edge("IMPLIES").select(F.col("dst").alias("id")))),
     "g03_expand": on_graph(lambda g: pt.expand_relationships(g, critical_risks(g)).select(
         "id", "neighbour_id", "neighbour_type", "rel_type", "direction")),
+    "g03_expand_stored": on_graph(lambda g: pt.reachable(with_adjacency(g), critical_risks(g), depth=2).select(
+        "seed_id", "id", "type", F.col("depth").cast("bigint").alias("depth"))),
     "g03_expanded_entities": on_graph(lambda g: pt.expanded_entities(pt.expand_relationships(g, critical_risks(g), ("MITIGATES",)))),
     "g04_graph_pattern": on_graph(lambda g: pt.graph_pattern(
         g, "Document", {"document_type": "ipar"},

@@ -267,6 +267,12 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'relationship', src, 'USES', dst, 'in' FROM uses WHERE dst IN (SELECT id FROM ipar)
         UNION ALL SELECT 'chunk', document_id, NULL, id, coalesce(context, '') FROM chunk WHERE document_id IN (SELECT id FROM ipar)""",
         ipar="SELECT id FROM document WHERE document_type = 'ipar'"),
+    "g03_expand_stored": with_graph("""
+        SELECT seed AS seed_id, r.id, e.type, min(depth) AS depth FROM (SELECT * FROM one UNION ALL SELECT * FROM two) r JOIN entity e ON e.id = r.id
+        WHERE r.id <> seed GROUP BY 1, 2, 3""",
+        hop="SELECT src AS a, dst AS b FROM edge UNION ALL SELECT dst, src FROM edge",
+        one="SELECT DISTINCT r.id AS seed, b AS id, CAST(1 AS BIGINT) AS depth FROM risk r JOIN hop ON a = r.id WHERE level = 'CRITICAL'",
+        two="SELECT DISTINCT one.seed, b AS id, CAST(2 AS BIGINT) AS depth FROM one JOIN hop ON a = one.id"),
     "g05_filters": with_graph("""
         SELECT id, description, CAST(severity AS BIGINT) AS severity, CAST(rpn AS BIGINT) AS rpn FROM failure_mode
         WHERE rpn > 100 AND rpn <= 300 AND description ILIKE '%widget%' AND severity IN (5, 6, 7, 8)"""),
