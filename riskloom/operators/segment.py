@@ -9,7 +9,7 @@ documents in parallel, and the text is read whole. All segmenters return the sam
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,7 +23,6 @@ from riskloom.functions.text import (
 from riskloom.sources.files import workbook_rows
 
 MIN_BLOCK_LINES = 3
-MIN_SEGMENT_TOKENS = 20
 
 # --- fixed values: keyword lists and patterns of the document types -----------------------
 IPAR_HAZARDS = (
@@ -80,16 +79,34 @@ def _exploded(documents: DataFrame, text: str, segments: str, scratch: list[str]
     return documents.select(*keep, F.posexplode(segments).alias("segment_index", "s")).select(*keep, "segment_index", "s.*")
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Least sizes of what becomes a segment; shorter text is left out. By default none is: all text that is not blank stays."""
+
+    paragraph_chars: int = 1
+    block_chars: int = 1
+    header_chars: int = 1
+    section_chars: int = 1
+    tokens: int = 0
+    front_matter: bool = True
+
+
+KEEP_ALL = Limits()
+#: The limits of the reference, which also leave out what stands before a procedure's or a generic text's first title.
+STRICT = Limits(paragraph_chars=20, block_chars=51, header_chars=51, section_chars=51, tokens=20, front_matter=False)
+STRICT_ALERT = replace(STRICT, header_chars=31, section_chars=31)
+
+
 def _paragraphs(content: Column) -> Column:
     return F.split(content, r"\n\n+")
 
 
 # --- generic ------------------------------------------------------------------------------------
 
-def _paragraph_segments(content: Column, heading: Column) -> Column:
-    """Paragraphs of at least 20 characters that are not headings, with their line range in ``content``."""
+def _paragraph_segments(content: Column, heading: Column, limits: Limits) -> Column:
+    """Paragraphs that are not headings, with their line range in ``content``."""
     kept = F.filter(F.transform(_paragraphs(content), strip), lambda p: (
-        (F.length(p) >= 20) & ~F.rlike(p, F.lit(r"^#{1,6}\s+")) & ~F.rlike(p, F.lit(r"\n[=\-]{3,}$"))))
+        (F.length(p) >= limits.paragraph_chars) & ~F.rlike(p, F.lit(r"^#{1,6}\s+")) & ~F.rlike(p, F.lit(r"\n[=\-]{3,}$"))))
     def segment(paragraph: Column) -> Column:
         return let(line_of(content, F.position(paragraph, content) - 1), lambda line: _segment(
             paragraph, "paragraph", F.concat(F.lit("Section: "), heading), heading,
@@ -97,19 +114,22 @@ def _paragraph_segments(content: Column, heading: Column) -> Column:
     return F.transform(kept, segment)
 
 
-def segment_generic(documents: DataFrame, text: str = "text") -> DataFrame:
+def segment_generic(documents: DataFrame, text: str = "text", limits: Limits = KEEP_ALL) -> DataFrame:
     """Sections by Markdown or underlined headings, then paragraphs; without two sections, paragraphs."""
-    sections = F.filter(F.split(F.col(text), rf"(?m)(?=^{SECTION_START})"),
-                        lambda part: F.rlike(part, F.lit(rf"(?m)\A{SECTION_START}")))
+    titled = lambda part: F.rlike(part, F.lit(rf"(?m)\A{SECTION_START}"))
+    every = F.split(F.col(text), rf"(?m)(?=^{SECTION_START})")
+    sections = F.filter(every, titled)
     first_line = lambda part: F.element_at(lines_of(part), 1)
     heading = lambda part: strip(F.when(F.rlike(part, F.lit(r"(?m)\A#{1,6}\s+.+$")), F.regexp_replace(first_line(part), r"^#+\s*", ""))
                                  .otherwise(first_line(part)))
-    parts = with_evaluated(documents, _sections=sections)
+    parts = with_evaluated(documents, _sections=sections, _before=F.filter(F.slice(every, 1, 1), lambda part: ~titled(part)))
     by_section = F.flatten(F.transform("_sections", lambda part: let(strip(part), lambda content: let(
-        heading(part), lambda title: _paragraph_segments(content, title)))))
-    whole = _paragraph_segments(F.col(text), F.lit("Document"))
+        heading(part), lambda title: _paragraph_segments(content, title, limits)))))
+    if limits.front_matter:
+        by_section = F.concat(F.flatten(F.transform("_before", lambda part: _paragraph_segments(part, F.lit("Document"), limits))), by_section)
+    whole = _paragraph_segments(F.col(text), F.lit("Document"), limits)
     parts = parts.withColumn("_segments", F.when(F.size("_sections") > 1, by_section).otherwise(whole))
-    return _exploded(parts, text, "_segments", ["_sections"])
+    return _exploded(parts, text, "_segments", ["_sections", "_before"])
 
 
 # --- FMEA workbooks ---------------------------------------------------------------------------------
@@ -157,7 +177,6 @@ class BlockProfile:
 
     header_lines: int
     header_min_index: int
-    header_min_chars: int
     fields: Mapping[str, tuple[str, str]]          # name -> (pattern, default)
     header_type: str
     header_section: str
@@ -186,7 +205,7 @@ def _fields(profile: BlockProfile) -> dict[str, Column]:
     return {name: F.col(f"_f_{name}") for name in profile.fields}
 
 
-def _assemble(rows: DataFrame, text: str, blocks: Column, profile: BlockProfile) -> DataFrame:
+def _assemble(rows: DataFrame, text: str, blocks: Column, profile: BlockProfile, limits: Limits) -> DataFrame:
     """Header segment, then the blocks, or paragraphs of the body when there are no blocks at all.
 
     ``blocks``: array of struct(keep, segment); blocks count even when they are not kept.
@@ -195,10 +214,10 @@ def _assemble(rows: DataFrame, text: str, blocks: Column, profile: BlockProfile)
     rows = with_evaluated(
         rows, _blocks=blocks, _head=strip(join_lines(F.col("_lines"), F.lit(0), F.col("_header_end"))),
         _prefix=profile.paragraph_prefix(fields))
-    header = F.when(F.length("_head") > profile.header_min_chars, F.array(_segment(
+    header = F.when(F.length("_head") >= limits.header_chars, F.array(_segment(
         F.col("_head"), profile.header_type, profile.header_context(fields), F.lit(profile.header_section), F.lit(1), F.col("_header_end"))))
     body = join_lines(F.col("_lines"), F.col("_header_end"), F.size("_lines") - F.col("_header_end"))
-    long = F.filter(_paragraphs(body), lambda p: F.length(strip(p)) > 50)
+    long = F.filter(_paragraphs(body), lambda p: F.length(strip(p)) >= limits.block_chars)
     paragraphs = F.transform(long, lambda p, i: _segment(
         F.concat(F.col("_prefix"), F.lit("\n\n"), strip(p)), profile.paragraph_type,
         F.concat(F.lit(profile.paragraph_context + " "), (i + 1).cast("string")), profile.paragraph_section(fields),
@@ -216,8 +235,8 @@ def _block(text: Column, start: Column, end: Column, title: Column | None = None
     return F.struct(*fields, *([title.alias("title")] if title is not None else []))
 
 
-def _with_hazard_texts(rows: DataFrame) -> DataFrame:
-    """Adds _texts: body blocks of more than 50 characters. A boundary line opens a new block once the
+def _with_hazard_texts(rows: DataFrame, limits: Limits) -> DataFrame:
+    """Adds _texts: body blocks. A boundary line opens a new block once the
     current one has more than three lines."""
     first = F.col("_header_end")
     body_lines = F.greatest(F.size("_lines") - first, F.lit(1))
@@ -229,7 +248,7 @@ def _with_hazard_texts(rows: DataFrame) -> DataFrame:
     rows = with_evaluated(rows, _spans=F.arrays_zip(F.col("_starts").alias("a"), ends.alias("b")))
     texts = F.transform("_spans", lambda s: _block(
         strip(join_lines(F.col("_lines"), first + s["a"], s["b"] - s["a"])), first + 1 + s["a"], first + s["b"]))
-    return with_evaluated(rows, _texts=F.filter(texts, lambda b: F.length(b["text"]) > 50))
+    return with_evaluated(rows, _texts=F.filter(texts, lambda b: F.length(b["text"]) >= limits.block_chars))
 
 
 def _hazard_line(keywords: tuple[str, ...]) -> Callable[[Column], Column]:
@@ -248,7 +267,7 @@ def _pipe(*parts: Column) -> Column:
 
 
 IPAR = BlockProfile(
-    header_lines=30, header_min_index=5, header_min_chars=50,
+    header_lines=30, header_min_index=5,
     fields={
         "process": (r"(?iu)(?:processo|process)[:\s]*([^\n]+)", "Desconhecido"),
         "unit": (r"(?iu)(?:unidade|unit)[:\s]*([^\n]+)", "Desconhecida"),
@@ -262,7 +281,7 @@ IPAR = BlockProfile(
     paragraph_section=lambda f: f["process"],
 )
 HIRA = BlockProfile(
-    header_lines=30, header_min_index=5, header_min_chars=50,
+    header_lines=30, header_min_index=5,
     fields={
         "area": (r"(?iu)(?:area|department|setor|área)[:\s]*([^\n]+)", "Unknown"),
         "activity": (r"(?iu)(?:activity|task|atividade|tarefa)[:\s]*([^\n]+)", "Unknown"),
@@ -276,7 +295,7 @@ HIRA = BlockProfile(
     paragraph_section=lambda f: f["activity"],
 )
 ALERT = BlockProfile(
-    header_lines=25, header_min_index=3, header_min_chars=30,
+    header_lines=25, header_min_index=3,
     fields={
         "number": (r"(?iu)(?:alert|alerta|gppm|incident)[#:\s]*([A-Z0-9\-]+)", ""),
         "title": (r"(?iu)(?:title|título|subject|assunto)[:\s]*([^\n]+)", "Safety Alert"),
@@ -292,7 +311,7 @@ ALERT = BlockProfile(
 )
 
 
-def segment_ipar(documents: DataFrame, text: str = "text") -> DataFrame:
+def segment_ipar(documents: DataFrame, text: str = "text", limits: Limits = KEEP_ALL) -> DataFrame:
     """Audit header, then hazard blocks enriched with hazard type and classification."""
     fields = _fields(IPAR)
 
@@ -300,15 +319,15 @@ def segment_ipar(documents: DataFrame, text: str = "text") -> DataFrame:
         body = F.concat(IPAR.paragraph_prefix(fields), F.lit("\nPerigo: "), hazard,
                         F.when(grade != "", F.concat(F.lit(" | Classificação: "), grade)).otherwise(""), F.lit("\n\n"), block["text"])
         context = F.concat(F.lit("Perigo: "), hazard, F.when(grade != "", F.concat(F.lit(" ("), grade, F.lit(")"))).otherwise(""))
-        return _kept_if_long(body, "ipar_hazard_block", context, fields["process"], block)
+        return _kept_if_long(body, "ipar_hazard_block", context, fields["process"], block, limits)
 
     rows = _with_header(documents, text, _hazard_line(IPAR_HAZARDS), IPAR)
     blocks = F.transform("_texts", lambda block: _graded(
         enrich, block, _found(block, IPAR_HAZARDS, "Não identificado"), _found(block, IPAR_CLASSES, "")))
-    return _assemble(_with_hazard_texts(rows), text, blocks, IPAR)
+    return _assemble(_with_hazard_texts(rows, limits), text, blocks, IPAR, limits)
 
 
-def segment_hira(documents: DataFrame, text: str = "text") -> DataFrame:
+def segment_hira(documents: DataFrame, text: str = "text", limits: Limits = KEEP_ALL) -> DataFrame:
     """Assessment header, then hazard blocks enriched with hazard type, severity and likelihood."""
     fields = _fields(HIRA)
 
@@ -316,13 +335,13 @@ def segment_hira(documents: DataFrame, text: str = "text") -> DataFrame:
         body = F.concat(HIRA.paragraph_prefix(fields), F.lit("\nHazard: "), hazard,
                         F.when(grade != "", F.concat(F.lit(" | Risk: "), grade)).otherwise(""), F.lit("\n\n"), block["text"])
         context = F.concat(F.lit("Hazard: "), hazard, F.when(grade != "", F.concat(F.lit(" ("), grade, F.lit(")"))).otherwise(""))
-        return _kept_if_long(body, "hira_hazard_block", context, fields["activity"], block)
+        return _kept_if_long(body, "hira_hazard_block", context, fields["activity"], block, limits)
 
     rows = _with_header(documents, text, _hazard_line(HIRA_HAZARDS), HIRA)
     blocks = F.transform("_texts", lambda block: _graded(
         enrich, block, _found(block, HIRA_HAZARDS, "Unidentified"), F.concat_ws(
             " / ", capitalise(first_keyword(block["text"], HIRA_SEVERITIES)), capitalise(first_keyword(block["text"], HIRA_LIKELIHOODS)))))
-    return _assemble(_with_hazard_texts(rows), text, blocks, HIRA)
+    return _assemble(_with_hazard_texts(rows, limits), text, blocks, HIRA, limits)
 
 
 def _found(block: Column, keywords: tuple[str, ...], default: str) -> Column:
@@ -333,9 +352,9 @@ def _graded(enrich: Callable[[Column, Column, Column], Column], block: Column, h
     return let(hazard, lambda h: let(grade, lambda g: enrich(block, h, g)))
 
 
-def _kept_if_long(body: Column, kind: Column | str, context: Column, section: Column, block: Column) -> Column:
+def _kept_if_long(body: Column, kind: Column | str, context: Column, section: Column, block: Column, limits: Limits) -> Column:
     return let(body, lambda text: F.struct(
-        (estimate_tokens(text) >= MIN_SEGMENT_TOKENS).alias("keep"),
+        (estimate_tokens(text) >= limits.tokens).alias("keep"),
         _segment(text, kind, context, section, block["start"], block["end"]).alias("segment")))
 
 
@@ -352,7 +371,7 @@ def _alert_title(line: Column, lowered: Column) -> Column:
                   F.when(named, strip(label)).when(leading, strip(line)))
 
 
-def segment_alert(documents: DataFrame, text: str = "text") -> DataFrame:
+def segment_alert(documents: DataFrame, text: str = "text", limits: Limits = KEEP_ALL) -> DataFrame:
     """Alert header, then titled sections; text before the first title is the introduction."""
     fields = _fields(ALERT)
     rows = _with_header(documents, text, lambda line: alert_title(line).isNotNull(), ALERT)
@@ -372,7 +391,7 @@ def segment_alert(documents: DataFrame, text: str = "text") -> DataFrame:
     origin = _pipe(F.when(fields["number"] != "", _labelled("Alert: ", fields["number"])),
                    F.when(fields["location"] != "", _labelled("Location: ", fields["location"])))
     rows = with_evaluated(
-        rows, _texts=F.filter(texts, lambda b: F.length(b["text"]) > 30),
+        rows, _texts=F.filter(texts, lambda b: F.length(b["text"]) >= limits.section_chars),
         _origin=F.when(origin != "", origin).otherwise(_labelled("Alert: ", fields["title"])))
 
     def enrich(block: Column) -> Column:
@@ -380,9 +399,9 @@ def segment_alert(documents: DataFrame, text: str = "text") -> DataFrame:
         for key, name in reversed(ALERT_TYPES):
             kind = F.when(F.contains(F.lower(block["title"]), F.lit(key)), name).otherwise(kind)
         body = F.concat(F.col("_origin"), F.lit("\nSection: "), block["title"], F.lit("\n\n"), block["text"])
-        return _kept_if_long(body, kind, block["title"], block["title"], block)
+        return _kept_if_long(body, kind, block["title"], block["title"], block, limits)
 
-    return _assemble(rows, text, F.transform("_texts", enrich), ALERT)
+    return _assemble(rows, text, F.transform("_texts", enrich), ALERT, limits)
 
 
 # --- procedures ----------------------------------------------------------------------------------------
@@ -399,8 +418,8 @@ def is_section_title(line: Column) -> Column:
         F.rlike(line, F.lit(NUMBERED_TITLE)) | F.rlike(F.lower(line), F.lit("^" + any_of(FPS_TITLES))))
 
 
-def segment_fps(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Sections by title line; a text without any section is one segment."""
+def segment_fps(documents: DataFrame, text: str = "text", limits: Limits = KEEP_ALL) -> DataFrame:
+    """Sections by title line, after an introduction that ends at the first title; a text without any section is one segment."""
     rows = with_evaluated(documents, _lines=F.transform(lines_of(F.col(text)), strip))
     rows = with_evaluated(rows, _points=split_points(F.transform("_lines", is_section_title)))
     ends = F.concat(F.slice("_points", F.lit(2), F.size("_points")), F.array(F.size("_lines")))
@@ -409,14 +428,19 @@ def segment_fps(documents: DataFrame, text: str = "text") -> DataFrame:
     def segment(span: Column) -> Column:
         return let(F.get("_lines", span["a"]), lambda title: _segment(
             join_lines(F.col("_lines"), span["a"], span["b"] - span["a"]), fps_type(title), title, title, span["a"], span["b"] - 1))
-    rows = with_evaluated(rows, _sections=F.filter(F.transform("_spans", segment), lambda s: F.length(strip(s["text"])) > 50))
-    none = F.lit(None).cast("int")
+    rows = with_evaluated(rows, _sections=F.filter(F.transform("_spans", segment), lambda s: F.length(strip(s["text"])) >= limits.section_chars))
+    none, sections = F.lit(None).cast("int"), F.col("_sections")
+    if limits.front_matter:
+        first = F.coalesce(F.get("_points", F.lit(0)), F.lit(0))
+        opening = let(join_lines(F.col("_lines"), F.lit(0), first), lambda before: F.filter(F.array(_segment(
+            before, "fps_section", F.lit("Introduction"), F.lit("Introduction"), F.lit(0), first - 1)), lambda s: F.length(strip(s["text"])) > 0))
+        sections = F.concat(opening, sections)
     whole = F.array(_segment(F.col(text), "fps_document", F.lit("FPS Document"), F.lit("Full Document"), none, none))
-    rows = rows.withColumn("_segments", F.when(F.size("_sections") > 0, F.col("_sections")).otherwise(whole))
+    rows = rows.withColumn("_segments", F.when(F.size("_sections") > 0, sections).otherwise(whole))
     return _exploded(rows, text, "_segments", ["_lines", "_points", "_spans", "_sections"])
 
 
-def segment_fps_elements(elements: DataFrame) -> DataFrame:
+def segment_fps_elements(elements: DataFrame, limits: Limits = KEEP_ALL) -> DataFrame:
     """Sections from typed elements (document_id, position, type, text, page): a Title opens a section,
     a Table is a segment of its own. Running counts are taken block by block, so a document with very
     many elements does not end up in one task."""
@@ -432,7 +456,7 @@ def segment_fps_elements(elements: DataFrame) -> DataFrame:
         F.max(is_table).alias("is_table"), F.min("position").alias("first_position"), F.min("page").alias("first_page"),
         F.array_join(F.transform(ordered, lambda e: e["text"]), "\n\n").alias("text"))
     parts = parts.join(titles, ["document_id", "sum_title"], "left").withColumn("section", strip(F.col("section_title")))
-    parts = parts.filter(F.col("is_table") | (F.length(strip(F.col("text"))) > 50))
+    parts = parts.filter(F.col("is_table") | (F.length(strip(F.col("text"))) >= limits.section_chars))
     default = lambda table, other: F.coalesce("section", F.when(F.col("is_table"), table).otherwise(other))
     return parts.select(
         "document_id", "first_position", "text",

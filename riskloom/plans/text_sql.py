@@ -70,18 +70,18 @@ def _hazard_sql(text_sql: str, hazards: str, fields: tuple[str, str], process: s
       FROM (SELECT doc_id, unnest(s) AS a FROM starts) JOIN heads USING (doc_id)),
     blocks AS (SELECT s.doc_id, a, z, h, f1, f2, {_strip("string_agg(line, chr(10) ORDER BY j)")} AS t
       FROM spans s JOIN body b ON b.doc_id = s.doc_id AND b.j >= a AND b.j < z GROUP BY ALL),
-    named AS (SELECT *, {line} FROM blocks WHERE length(t) > 50),
+    named AS (SELECT *, {line} FROM blocks WHERE length(t) > 0),
     full_blocks AS (SELECT *, {prefix} || chr(10) || {kind[1]} AS text FROM named),
     header AS (SELECT doc_id, {_strip("string_agg(line, chr(10) ORDER BY i)")} AS text, h, f1, f2
       FROM flagged JOIN heads USING (doc_id) WHERE i < h GROUP BY ALL),
     paragraphs AS (SELECT doc_id, f1, f2, p, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS k FROM (
       SELECT doc_id, f1, f2, unnest(string_split_regex(t, '\\n\\n+')) AS p, generate_subscripts(string_split_regex(t, '\\n\\n+'), 1) AS k
       FROM (SELECT doc_id, f1, f2, string_agg(line, chr(10) ORDER BY j) AS t FROM body JOIN heads USING (doc_id)
-            WHERE doc_id NOT IN (SELECT doc_id FROM named) GROUP BY ALL)) WHERE length({_strip('p')}) > 50),
+            WHERE doc_id NOT IN (SELECT doc_id FROM named) GROUP BY ALL)) WHERE length({_strip('p')}) > 0),
     segments AS (
       SELECT doc_id, -1 AS o, text, '{head_type}' AS semantic_type, {head} AS context, '{head_section}' AS section, 1 AS line_start, h AS line_end
-        FROM header WHERE length(text) > 50
-      UNION ALL SELECT doc_id, a, text, '{kind[0]}', {context}, {process}, h + 1 + a, h + z FROM full_blocks WHERE ceil(length(text) / 4.0) >= 20
+        FROM header WHERE length(text) > 0
+      UNION ALL SELECT doc_id, a, text, '{kind[0]}', {context}, {process}, h + 1 + a, h + z FROM full_blocks
       UNION ALL SELECT doc_id, k, {prefix} || chr(10) || chr(10) || {_strip('p')}, '{paragraph[0]}', '{paragraph[1]} ' || (k + 1), {process},
         k * 5, k * 5 + length(p) - length(replace(p, chr(10), '')) + 1 FROM paragraphs)
     SELECT doc_id, text, semantic_type, context, section, row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS segment_index,
@@ -118,17 +118,17 @@ _ALERT = f"""
     sections AS (SELECT doc_id, g, h, source, coalesce(max(title), 'Introduction') AS title, min(i) + 1 AS line_start, max(i) + 1 AS line_end,
         {_strip("coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (title IS NULL), '')")} AS t FROM body GROUP BY doc_id, g, h, source),
     full_sections AS (SELECT *, 'Alert: A-' || doc_id || ' | Location: ' || source || chr(10) || 'Section: ' || title || chr(10) || chr(10) || t AS text
-      FROM sections WHERE length(t) > 30),
+      FROM sections WHERE length(t) > 0),
     segments AS (
       SELECT doc_id, -1 AS o, {_strip("string_agg(line, chr(10) ORDER BY i)")} AS text, 'alert_header' AS semantic_type, 'Alert: A-' || doc_id AS context,
         'Header' AS section, 1 AS line_start, h AS line_end FROM titled JOIN heads USING (doc_id) WHERE i < h GROUP BY doc_id, h
       UNION ALL SELECT doc_id, g, text, CASE WHEN contains(lower(title), 'root cause') THEN 'alert_root_cause' ELSE 'alert_section' END,
-        title, title, line_start, line_end FROM full_sections WHERE ceil(length(text) / 4.0) >= 20
+        title, title, line_start, line_end FROM full_sections
       UNION ALL SELECT doc_id, 0, 'Alert: A-' || doc_id || chr(10) || chr(10) || {_strip('t')}, 'alert_paragraph', 'Paragraph 1', 'Content', 0,
         length(t) - length(replace(t, chr(10), '')) + 1 FROM (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM body
-          WHERE doc_id NOT IN (SELECT doc_id FROM full_sections) GROUP BY 1) WHERE length({_strip('t')}) > 50)
+          WHERE doc_id NOT IN (SELECT doc_id FROM full_sections) GROUP BY 1) WHERE length({_strip('t')}) > 0)
     SELECT doc_id, text, semantic_type, context, section, row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS segment_index,
-      CAST(line_start AS BIGINT) AS line_start, CAST(line_end AS BIGINT) AS line_end FROM segments WHERE length(text) > 30"""
+      CAST(line_start AS BIGINT) AS line_start, CAST(line_end AS BIGINT) AS line_end FROM segments WHERE length(text) > 0"""
 
 _FPS_TITLE = """length(line) BETWEEN 3 AND 100 AND (regexp_matches(line, '^\\d+\\.?\\s*[–\\-:.]?\\s*[A-ZÁÊÔÇ]')
     OR regexp_matches(lower(line), '^(escopo|definições|procedimentos|responsabilidades|objetivo|anexo)'))"""
@@ -140,7 +140,9 @@ _FPS = f"""
     kept AS (SELECT *, CASE WHEN contains(lower(title), 'escopo') THEN 'fps_scope' WHEN contains(lower(title), 'procedimento') THEN 'fps_procedures'
         WHEN contains(lower(title), 'responsabilidade') THEN 'fps_responsibilities' WHEN contains(lower(title), 'objetivo') THEN 'fps_objective'
         WHEN contains(lower(title), 'anexo') THEN 'fps_appendix' ELSE 'fps_section' END AS kind
-      FROM sections WHERE length({_strip('text')}) > 50)
+      FROM sections WHERE length({_strip('text')}) > 0
+      UNION ALL SELECT doc_id, 0, 'Introduction', 0, max(i), string_agg(line, chr(10) ORDER BY i), 'fps_section' FROM grouped
+        WHERE g = 0 AND doc_id IN (SELECT doc_id FROM sections) GROUP BY 1 HAVING length({_strip("string_agg(line, chr(10) ORDER BY i)")}) > 0)
     SELECT doc_id, text, kind AS semantic_type, title AS context, title AS section,
       row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS segment_index, a AS line_start, z AS line_end FROM kept
     UNION ALL SELECT doc_id, text, 'fps_document', 'FPS Document', 'Full Document', 0, NULL, NULL
@@ -152,16 +154,16 @@ _GENERIC = f"""
     kept AS (SELECT *, {_strip('p')} AS t, CASE WHEN k = 1 THEN source ELSE 'part' END AS heading FROM parts)
     SELECT doc_id, t AS text, 'paragraph' AS semantic_type, 'Section: ' || heading AS context, heading AS section,
       row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS segment_index, CAST(3 AS BIGINT) AS line_start, CAST(4 AS BIGINT) AS line_end
-    FROM kept WHERE length(t) >= 20 AND n > 1
+    FROM kept WHERE length(t) > 0 AND n > 1
     UNION ALL SELECT doc_id, t, 'paragraph', 'Section: Document', 'Document',
       row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1, CASE WHEN part = 0 THEN 1 ELSE 3 END, CASE WHEN part = 0 THEN 2 ELSE 4 END
-    FROM (SELECT doc_id, 1 AS part, t FROM kept WHERE n = 1) WHERE length(t) >= 20"""
+    FROM (SELECT doc_id, 1 AS part, t FROM kept WHERE n = 1) WHERE length(t) > 0"""
 _PARAGRAPHS = f"""
     SELECT doc_id, t AS text, 'paragraph' AS semantic_type, 'Section: Document' AS context, 'Document' AS section,
       CAST(0 AS BIGINT) AS segment_index, CAST(1 + lead_lines AS BIGINT) AS line_start,
       1 + lead_lines + length(t) - length(replace(t, chr(10), '')) + 1 AS line_end
     FROM (SELECT doc_id, {_strip('text')} AS t, length(regexp_extract(text, '^\\s*')) - length(replace(regexp_extract(text, '^\\s*'), chr(10), '')) AS lead_lines
-          FROM documents) WHERE length(t) >= 20"""
+          FROM documents) WHERE length(t) > 0"""
 
 _FMEA = f"""
     WITH lines AS ({_SHEET_LINES}), parsed AS ({_CELLS}),
@@ -192,7 +194,7 @@ _ELEMENTS = """
       coalesce({0}, CASE WHEN tab THEN 'Table' ELSE 'FPS Document' END) AS context, coalesce({0}, CASE WHEN tab THEN 'Table' ELSE 'Body' END) AS section,
       CASE WHEN tab THEN p.page ELSE coalesce(t.page, 1) END AS page
     FROM parts p LEFT JOIN (SELECT document_id, s, text, page FROM counted WHERE type = 'Title') t ON t.document_id = p.document_id AND t.s = p.s
-    WHERE tab OR length({1}) > 50""".format(_strip("t.text"), _strip("p.text"))
+    WHERE tab OR length({1}) > 0""".format(_strip("t.text"), _strip("p.text"))
 
 # Walks all documents line by line at once; state is the open chunk.
 _FIXED = """

@@ -106,11 +106,27 @@ def test_fixed_chunks_cover_lines_and_repeat_the_overlap(spark):
 def test_generic_sections(spark):
     text = "# Top\n\nA paragraph that is long enough.\n\nshort\n\nUnder lined\n-----\n\nAnother paragraph, long enough too.\nSecond line."
     plain = "First paragraph of the text.\n\nSecond paragraph of the text."
-    got = sg.segment_generic(docs(spark, text, plain)).collect()
+    got = sg.segment_generic(docs(spark, text, plain), limits=sg.STRICT).collect()
     assert [(r.document_id, r.section, r.line_start, r.line_end) for r in got] == [
         ("0", "Top", 3, 4), ("0", "Under lined", 4, 6), ("1", "Document", 1, 2), ("1", "Document", 3, 4)]
 
 
+def test_no_line_is_left_out(spark):
+    """By default every line that is not blank comes back in some segment, as text or as the title of a section."""
+    texts = ["a\n\n# Top\n\nb\n\nUnder\n-----\n\nc", "x", "ab\n1. Escopo\nc\n2. Objetivo\nd", "Alert: A-1\nL\nM\nN\nRoot cause:\nq\nLesson learned\nz",
+             "Processo: S\n1\n2\n3\n4\n5\n1. Ruído x\nb\nc\nd\n2. Queda\ne", "p\n\nq\n\nr" + "\nl" * 40 + "\n\ntail"]
+    rules = ("# Top", "-----")
+    for segmenter in (sg.segment_generic, sg.segment_ipar, sg.segment_hira, sg.segment_alert, sg.segment_fps):
+        got = {}
+        for r in segmenter(docs(spark, *texts)).collect():
+            got.setdefault(r.document_id, []).extend([*map(str.strip, r.text.split("\n")), r.section, *r.section.split(":")])
+        for i, text in enumerate(texts):
+            for line in filter(None, map(str.strip, text.split("\n"))):
+                if line not in rules or segmenter is not sg.segment_generic:
+                    assert line in got[str(i)] or line.rstrip(":") in got[str(i)] or any(line in x for x in got[str(i)]), (segmenter, line)
+    assert sg.segment_fps(docs(spark, texts[2])).select("section").collect()[0].section == "Introduction"
+
+
 def test_fmea_groups(spark):
     text = ('--- Sheet: Main ---\nProcess,Cause\nWeld,"a, b"\n,second\n,\nWeld,third\nCut,x\n'
             '--- Sheet: Other ---\nNo,Col\n1,2\n')
@@ -135,13 +151,13 @@ def test_ipar_blocks_and_fallback(spark):
 def test_alert_sections(spark):
     text = ("Alert: A-1\nLocation: Plant\nintro line\nmore intro\nRoot cause:\nThe cause was a worn bolt that failed.\n"
             "Lesson learned\nCheck all bolts before every single shift.\n")
-    got = sg.segment_alert(docs(spark, text)).orderBy("segment_index").collect()
+    got = sg.segment_alert(docs(spark, text), limits=sg.STRICT_ALERT).orderBy("segment_index").collect()
     assert [r.semantic_type for r in got] == ["alert_header", "alert_root_cause", "alert_lesson_learned"]
     assert got[1].text.startswith("Alert: A-1 | Location: Plant\nSection: Root cause\n\nThe cause") and (got[1].line_start, got[1].line_end) == (5, 6)
 
 
 def test_fps_text_and_elements(spark):
-    got = sg.segment_fps(docs(spark, "lead\n1. Escopo do documento\n" + "texto do escopo " * 5, "nothing here")).collect()
+    got = sg.segment_fps(docs(spark, "lead\n1. Escopo do documento\n" + "texto do escopo " * 5, "nothing here"), limits=sg.STRICT).collect()
     assert [(r.document_id, r.semantic_type) for r in got] == [("0", "fps_scope"), ("1", "fps_document")]
     rows = [("d", 0, "Title", "Escopo", 1), ("d", 1, "NarrativeText", "n" * 60, 1), ("d", 2, "Table", "a | b", 2), ("d", 3, "NarrativeText", "m" * 60, 3)]
     elements = spark.createDataFrame(rows, "document_id string, position int, type string, text string, page int")
