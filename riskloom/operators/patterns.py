@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import schemas
 from riskloom.functions.filters import matches
+from riskloom.functions.ordering import in_blocks
 from riskloom.graph import AuditGraph
 from riskloom.session import cut_lineage
 
@@ -259,6 +260,32 @@ def page(rows: DataFrame, order: Sequence[str], offset: int = 0, limit: int = 20
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_index(rows: DataFrame, key: str, page_rows: int) -> DataFrame:
+    """(page, first): the first key of every page of ``page_rows`` rows in order of ``key``, pages counted from 0.
+
+    Keys must be unique; null keys are on no page. Only the keys are sorted, in range partitions whose counts give each its
+    place; write the result and keep it beside the table.
+    """
+    keys = in_blocks(rows.filter(F.col(key).isNotNull()).select(F.col(key).alias("first")), ["first"], [])
+    sizes = keys.groupBy("_block").agg(F.count(F.lit(1)).alias("n"))  # a row per partition
+    offsets = sizes.select("_block", (F.sum("n").over(Window.orderBy("_block")) - F.col("n")).alias("offset"))
+    place = F.row_number().over(Window.partitionBy("_block").orderBy("first")) - 1
+    placed = keys.withColumn("place", place).join(offsets, "_block").withColumn("place", F.col("place") + F.col("offset"))
+    return placed.filter(F.col("place") % page_rows == 0).select(F.floor(F.col("place") / page_rows).alias("page"), "first")
+
+
+def page_by_key(rows: DataFrame, index: DataFrame, key: str, number: int) -> DataFrame:
+    """One page by a range of keys that the index names, two of its rows; a late page reads no more than the first.
+
+    Filters on the key reach the scan, and files that are sorted or partitioned by it are skipped.
+    """
+    bounds = {r.page: r.first for r in index.filter(F.col("page").isin(number, number + 1)).collect()}
+    if number not in bounds:
+        return rows.limit(0)
+    found = rows.filter(F.col(key) >= F.lit(bounds[number]))
+    return (found.filter(F.col(key) < F.lit(bounds[number + 1])) if number + 1 in bounds else found).orderBy(key)
+
+
 def run_query(graph: AuditGraph, sql: str, **params: object) -> DataFrame:
     """Parameterised SQL (``:name``) over the graph tables, registered as temp views by label."""
     for label in schemas.LABELS:

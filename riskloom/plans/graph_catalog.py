@@ -345,6 +345,7 @@ QUERIES: dict[str, Query] = {
     "g07_run_query": on_graph(lambda g: pt.run_query(g, OPEN_HIGH, status="OPEN", rel="REFERENCES")),
     "g08_latest_versions": on_graph(lambda g: pt.latest_versions(g, "FailureMode").select("id", "code")),
     "g09_version_chains": on_graph(lambda g: pt.version_chains(g, "FailureMode")),
+    "g11_page_by_key": on_graph(lambda g: (lambda rows: pt.page_by_key(rows, pt.page_index(rows, "id", 25), "id", 3))(g.node("Finding").select("id", "status"))),
     "g11_page": on_graph(lambda g: pt.page(g.node("Finding").select("id", "status"), ["id"], offset=40, limit=25)),
     "g12_expected_paths": on_graph(expected_paths),
     # vectors

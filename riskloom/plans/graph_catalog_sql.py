@@ -285,6 +285,7 @@ ORACLES: dict[str, str] = {
         SELECT id, latest_id, depth FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY depth DESC) AS n FROM walk) WHERE n = 1""",
         walk="""SELECT id, id AS latest_id, CAST(0 AS BIGINT) AS depth FROM failure_mode
           UNION ALL SELECT w.id, s.src, w.depth + 1 FROM walk w JOIN supersedes s ON s.dst = w.latest_id"""),
+    "g11_page_by_key": with_graph("SELECT id, status FROM finding ORDER BY id LIMIT 25 OFFSET 75"),
     "g11_page": with_graph("SELECT id, status FROM finding ORDER BY id LIMIT 25 OFFSET 40"),
     "g12_expected_paths": with_graph("""
         SELECT 'finding-control-risk' AS path, count(DISTINCT f.src) AS starts, count(DISTINCT (f.src, m.dst)) AS pairs

@@ -24,10 +24,18 @@ def arriving_documents(files: DataFrame) -> DataFrame:
         detect_type(name, F.col("text")).alias("document_type"), content_hash(F.col("text")).alias("content_hash"), "text")
 
 
-def ingest_folder(spark: SparkSession, folder: str, target: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Streams text files from ``folder`` into ``target``/documents and ``target``/chunks."""
+def ingest_folder(spark: SparkSession, folder: str, target: str, checkpoint: str, available_now: bool = True,
+                  skip_known: bool = True) -> StreamingQuery:
+    """Streams text files from ``folder`` into ``target``/documents and ``target``/chunks.
+
+    With ``skip_known`` a content is one document for as long as the stream lives: the hashes seen are keyed state, kept in
+    ``checkpoint`` over batches and restarts, and of equal files the first batch's is taken (of one batch, any). State grows by a
+    hash per content; set Spark's RocksDB state store provider where there are many. The choice is part of the checkpoint.
+    """
     files = (spark.readStream.schema("value string").option("wholetext", "true").text(folder)
              .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+    if skip_known:
+        files = files.withColumn("content_hash", content_hash(F.col("text"))).dropDuplicates(["content_hash"]).drop("content_hash")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         documents = arriving_documents(batch)

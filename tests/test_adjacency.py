@@ -32,6 +32,20 @@ def test_expansion_equals_the_join_with_all_edges(spark, tmp_path):
     stored.adjacency.drop()
 
 
+def test_pages_by_key_are_those_by_offset(spark, tmp_path):
+    rows = spark.range(107).select(F.format_string("k%05d", F.col("id") * 7 % 1000).alias("key"), F.col("id").alias("value")).union(
+        spark.createDataFrame([(None, 9)], "key string, value bigint"))
+    ids = sorted(r.key for r in rows.collect() if r.key)
+    index = pt.page_index(rows, "key", 10)
+    index.write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    for number in range(12):
+        assert [r.key for r in pt.page_by_key(rows, index, "key", number).collect()] == ids[10 * number:10 * number + 10]
+    rows.repartitionByRange(8, "key").write.parquet(str(tmp_path / "rows"))
+    plan = pt.page_by_key(spark.read.parquet(str(tmp_path / "rows")), index, "key", 5)._jdf.queryExecution().toString()
+    assert f"GreaterThanOrEqual(key,{ids[50]}), LessThan(key,{ids[60]})" in plan
+
+
 def test_a_hop_shuffles_no_edges(spark, tmp_path):
     _, stored = graphs(spark)
     stored.adjacency = adj.store(stored, str(tmp_path / "adjacency"), buckets=3)
