@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 
 from riskloom.llm import quality
@@ -14,6 +16,48 @@ def test_risk_separates_without_negative_labels():
     assert (scorer(good[2000:]) >= 0.5).mean() > 0.95 and (scorer(bad[700:]) < 0.5).mean() > 0.95
 
 
+def brute_scores(positive, unlabelled, prior, asked):
+    """The same risk written down row by row, its slopes taken one weight at a time, minimised by the same steps."""
+    n, bins = len(positive[0]), quality.BINS
+    both = [*positive, *unlabelled]
+    edges = [[float(np.quantile([r[j] for r in both], k / bins)) for k in range(1, bins)] for j in range(n)]
+    hot = lambda row: [j * bins + sum(e <= v for e in edges[j]) for j, v in enumerate(row)]
+    p, u, size = [hot(r) for r in positive], [hot(r) for r in unlabelled], n * bins
+    w, bias = [0.0] * size, 0.0
+    first, second = [0.0] * (size + 1), [0.0] * (size + 1)
+    sigmoid = lambda g: 1 / (1 + math.exp(-g))
+    score = lambda on: sigmoid(sum(w[i] for i in on) + bias)
+    for step in range(1, quality.STEPS + 1):
+        sp, su = [score(r) for r in p], [score(r) for r in u]
+        negative = sum(su) / len(u) - prior * sum(sp) / len(p)
+        rise = [0.0] * (size + 1)  # slope of the risk that this step lowers
+        for weight, rows, scores in (((-2 * prior, p, sp), (1.0, u, su)) if negative >= 0 else ((prior, p, sp), (-1.0, u, su))):
+            for on, s in zip(rows, scores):
+                for i in (*on, size):
+                    rise[i] += weight * s * (1 - s) / len(rows)
+        for i in range(size):
+            rise[i] += quality.DECAY * w[i]
+        for i in range(size + 1):
+            first[i] = 0.9 * first[i] + 0.1 * rise[i]
+            second[i] = 0.999 * second[i] + 0.001 * rise[i] ** 2
+            move = quality.RATE * (first[i] / (1 - 0.9 ** step)) / (math.sqrt(second[i] / (1 - 0.999 ** step)) + 1e-8)
+            if i < size:
+                w[i] -= move
+            else:
+                bias -= move
+    return [score(hot(r)) for r in asked]
+
+
+def test_fit_equals_a_plain_minimiser(monkeypatch):
+    monkeypatch.setattr(quality, "STEPS", 60)
+    monkeypatch.setattr(quality, "N_FEATURES", 3)
+    rng = np.random.default_rng(2)
+    positive, unlabelled, asked = (rng.normal(m, 1, (n, 3)) for m, n in ((0, 25), (1, 40), (0.5, 20)))
+    for prior in (0.3, 0.9):  # the second makes the negative part fall below zero
+        got = quality.fit(positive, unlabelled, prior)(asked)
+        assert np.allclose(got, brute_scores(positive.tolist(), unlabelled.tolist(), prior, asked.tolist()), atol=1e-6)
+
+
 def test_held_out_accuracy_and_independence_of_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
