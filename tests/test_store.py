@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from conftest import one, table
 from riskloom import AuditGraph
 from riskloom.functions.filters import matches
-from riskloom.operators import classify, ingest, patterns, records, vectors
+from riskloom.operators import classify, ingest, patterns, records, vector_index, vectors
 from riskloom.sources import files
 
 
@@ -46,7 +46,7 @@ def chunks(spark):
     return spark.createDataFrame(rows, "id string, embedding array<float>, document_id string, chunk_index int, chunk_text string").withColumn("document_type", F.lit("fps"))
 
 
-def test_vector_search_ranks_and_breaks_ties_by_id(spark):
+def test_vector_search_ranks_and_breaks_ties_by_id(spark, tmp_path):
     got = vectors.vector_search(chunks(spark), [1.0, 0.0], 3).collect()
     assert [(r.id, round(r.score, 4)) for r in got] == [("k1", 1.0), ("k4", 1.0), ("k2", 0.7071)]
     assert [r.id for r in vectors.vector_search(chunks(spark), [1.0, 0.0], 5, {"document_id": "d2"}).collect()] == ["k4", "k3"]
@@ -54,7 +54,8 @@ def test_vector_search_ranks_and_breaks_ties_by_id(spark):
     assert table(many, "question_id", "chunk_id") == {(7, "k1"), (8, "k3")}
     asked = chunks(spark).filter("id = 'k3'").select(F.lit("q").alias("question_id"), "document_id", "embedding")
     assert [r.chunk_id for r in vectors.nearest_chunks(asked, chunks(spark), 2).orderBy("rank").collect()] == ["k3", "k4"]
-    near = {r.id for r in vectors.approximate_search(chunks(spark), [1.0, 0.0], 2).collect()}
+    index = vector_index.build(chunks(spark), str(tmp_path / "index"))
+    near = {r.id for r in vector_index.search(index, [1.0, 0.0], 2).collect()}
     assert near == {"k1", "k4"}
 
 
