@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import schemas
+from riskloom.functions.bitsets import bitsets, members, unite
 from riskloom.graph import AuditGraph
 
 STAT_LABELS = ("Process", "FailureMode", "Risk", "Control", "Finding", "Requirement", "Audit", "Document")
@@ -107,8 +110,23 @@ def _audit_modes(graph: AuditGraph) -> tuple[DataFrame, DataFrame]:
     return uses, uses.join(identifies, "document_id").select("audit_id", "fm_id").distinct()
 
 
-def _distinct_per_audit(pairs: DataFrame, value: str, alias: str) -> DataFrame:
-    return pairs.select("audit_id", value).distinct().groupBy("audit_id").agg(F.count(F.lit(1)).alias(alias))
+def _per_audit(pairs: DataFrame, alias: str) -> DataFrame:
+    return pairs.groupBy("audit_id").agg(F.count(F.lit(1)).alias(alias))
+
+
+def _reached_per_audit(modes: DataFrame, **ends: DataFrame) -> DataFrame:
+    """Distinct ends that an audit reaches over its failure modes, one column for each of the given (fm_id, id) links.
+
+    Ends travel as sets of bits per failure mode, all kinds in one join, so audits times ends is never written.
+    """
+    links = reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind"), "fm_id", F.col("end_id")) for kind, df in ends.items()])
+    sets = bitsets(links, "fm_id", "end_id", ["kind"])
+    reached = unite(modes.join(sets, "fm_id"), ["audit_id", "kind"], {"bits": None})
+    return reached.groupBy("audit_id").agg(*[F.sum(F.when(F.col("kind") == kind, members("bits"))).alias(kind) for kind in ends])
+
+
+def _mitigating(graph: AuditGraph) -> DataFrame:
+    return graph.edge("MITIGATES", dst_label="FailureMode").select(F.col("dst").alias("fm_id"), F.col("src").alias("end_id"))
 
 
 def audit_summary(graph: AuditGraph, all_findings: bool = False) -> DataFrame:
@@ -119,18 +137,12 @@ def audit_summary(graph: AuditGraph, all_findings: bool = False) -> DataFrame:
     """
     uses, modes = _audit_modes(graph)
     levels = ("HIGH",) if all_findings else ("HIGH", "CRITICAL")
-    high = graph.node("Risk").filter(F.col("level").isin(*levels)).select(F.col("id").alias("risk_id"))
-    implies = graph.edge("IMPLIES").select(F.col("src").alias("fm_id"), F.col("dst").alias("risk_id")).join(high, "risk_id", "left_semi")
-    controls = graph.edge("MITIGATES", dst_label="FailureMode").select(F.col("dst").alias("fm_id"), F.col("src").alias("control_id"))
-    counts = [
-        _distinct_per_audit(uses, "document_id", "documents"),
-        _distinct_per_audit(modes, "fm_id", "failure_modes"),
-        _distinct_per_audit(modes.join(implies, "fm_id"), "risk_id", "high_risks"),
-        _distinct_per_audit(modes.join(controls, "fm_id"), "control_id", "controls"),
-    ]
+    high = graph.node("Risk").filter(F.col("level").isin(*levels)).select(F.col("id").alias("end_id"))
+    implies = graph.edge("IMPLIES").select(F.col("src").alias("fm_id"), F.col("dst").alias("end_id")).join(high, "end_id", "left_semi")
+    ends = {"high_risks": implies, "controls": _mitigating(graph)}
     if not all_findings:
-        addressed = graph.edge("ADDRESSES").select(F.col("dst").alias("fm_id"), F.col("src").alias("finding_id"))
-        counts.append(_distinct_per_audit(modes.join(addressed, "fm_id"), "finding_id", "findings"))
+        ends["findings"] = graph.edge("ADDRESSES").select(F.col("dst").alias("fm_id"), F.col("src").alias("end_id"))
+    counts = [_per_audit(uses, "documents"), _per_audit(modes, "failure_modes"), _reached_per_audit(modes, **ends)]
     processes = graph.node("Process").select(
         F.col("id").alias("process_id"), F.col("name").alias("process_name"), F.col("version").alias("process_version"))
     evaluates = (graph.edge("EVALUATES").select(F.col("src").alias("audit_id"), F.col("dst").alias("process_id"))
@@ -159,14 +171,10 @@ def audit_relationship_stats(graph: AuditGraph) -> DataFrame:
     The failure mode only counts when it implies a risk; its controls count with it.
     """
     _, modes = _audit_modes(graph)
-    implies = graph.edge("IMPLIES").select(F.col("src").alias("fm_id"), F.col("dst").alias("risk_id"))
-    linked = modes.join(implies, "fm_id")
-    risky = linked.select("audit_id", "fm_id").distinct()
-    controls = graph.edge("MITIGATES", dst_label="FailureMode").select(F.col("dst").alias("fm_id"), F.col("src").alias("control_id"))
+    implies = graph.edge("IMPLIES").select(F.col("src").alias("fm_id"), F.col("dst").alias("end_id"))
+    risky = modes.join(implies, "fm_id", "left_semi")
     out = graph.edge("USES").select(F.col("src").alias("audit_id")).distinct()
-    for branch in (_distinct_per_audit(risky, "fm_id", "n_modes"),
-                   _distinct_per_audit(linked, "risk_id", "n_risks"),
-                   _distinct_per_audit(risky.join(controls, "fm_id"), "control_id", "n_controls")):
+    for branch in (_per_audit(risky, "n_modes"), _reached_per_audit(risky, n_risks=implies, n_controls=_mitigating(graph))):
         out = out.join(branch, "audit_id", "left")
     out = out.fillna(0, ["n_modes", "n_risks", "n_controls"])
     return out.select("audit_id", F.concat_ws("->", "n_modes", "n_risks").alias("fm_to_risk"),
