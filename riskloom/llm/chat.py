@@ -4,8 +4,8 @@ r"""Chat formatting with a grammar that can be read back.
     turn         := "### " role ": " body "</turn>\n"
     role         := "System" | "User" | "Assistant" | "Tool" | "@" escaped
 
-In a body or a custom role a backslash makes the next character ordinary. A text is first written as it is and read back
-by the parser; only if it does not come back identical are its control strings escaped, and the result is read back again.
+In a body or a custom role a backslash makes the next character ordinary. A text without control strings is written as it
+is; one that holds any, or that the parser does not give back identical, gets them escaped, and the result is read back again.
 """
 
 from __future__ import annotations
@@ -48,9 +48,9 @@ def parse(formatted: str) -> Iterator[tuple[str, str, int, int]]:
 
 
 def render(role: str, text: str) -> str:
-    """One turn; the text is escaped only if the plain form does not read back as it is."""
+    """One turn; the text is escaped if it holds a control string or its plain form does not read back as it is."""
     name = ROLES.get(role) or "@" + re.sub(r"[\\:]", r"\\\g<0>", role)
-    for body in (text, _CONTROL.sub(r"\\\g<0>", text)):
+    for body in ([] if _CONTROL.search(text) else [text]) + [_CONTROL.sub(r"\\\g<0>", text)]:
         formatted = f"### {name}: {body}{END}"
         try:
             if [x[:2] for x in parse(formatted)] == [(role, text)]:
@@ -146,7 +146,7 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
   UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
 f AS (SELECT *, CASE role WHEN 'system' THEN '### System: ' WHEN 'user' THEN '### User: ' WHEN 'assistant' THEN '### Assistant: ' WHEN 'tool' THEN '### Tool: '
       ELSE '### @' || replace(replace(role, '\', '\\'), ':', '\:') || ': ' END
-    || CASE WHEN contains(text, '\') OR contains(text, '</turn>' || chr(10)) THEN replace(replace(replace(text, '\', '\\'), '### ', '\### '), '</turn>', '\</turn>') ELSE text END
+    || replace(replace(replace(text, '\', '\\'), '### ', '\### '), '</turn>', '\</turn>')
     || '</turn>' || chr(10) AS formatted FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, formatted)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
