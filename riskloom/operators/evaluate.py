@@ -8,10 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.functions.filters import matches
 from riskloom.functions.intervals import overlapping
 from riskloom.functions.rounding import ratio, round_half_up
 from riskloom.graph import AuditGraph
-from riskloom.operators.patterns import related_ids
+from riskloom.operators.patterns import edge_ends, related_ids
 from riskloom.sources.ground_truth import GROUND_TRUTH
 
 QUESTION_TYPES = ("factoid", "contextual", "multi-span")
@@ -236,21 +237,42 @@ def run_summaries(runs: DataFrame) -> DataFrame:
 # --- ground truth ---------------------------------------------------------------------------------------------
 
 def expected_entities(graph: AuditGraph, limit: int | None = None) -> DataFrame:
-    """(question_id, id): the entities each evaluation question is about."""
-    found = []
+    """(question_id, id): the entities each evaluation question is about.
+
+    Every label is read once: a node carries the numbers of the questions whose filters it meets, and those that also
+    ask for a relationship remain if an edge says so. With a ``limit`` each question is a search of its own.
+    """
+    asked: dict[str, list[tuple]] = {}
     for question_id, _, label, filters, relationship, _ in GROUND_TRUTH:
-        if label == "Extraction":
-            ids = graph.extractions.filter(F.col("confidence") > filters["confidence"]["$gt"]).select("id")
-            ids = ids if limit is None else ids.orderBy("id").limit(limit)
-        elif set(filters) - set(graph.node(label).columns):
-            continue  # a property no node has matches nothing
-        else:
+        nodes = graph.extractions if label == "Extraction" else graph.node(label)
+        if not set(filters) - set(nodes.columns):  # a property no node has matches nothing
             edge = relationship and {"type": relationship[0], "direction": relationship[1], "target_label": relationship[2]}
-            ids = related_ids(graph, label, filters, edge, limit)
-        found.append(ids.select(F.lit(question_id).alias("question_id"), "id"))
+            asked.setdefault(label, []).append((question_id, filters, edge))
+    found = []
+    for label, questions in asked.items():
+        nodes = graph.extractions if label == "Extraction" else graph.node(label)
+        if limit is None:
+            found.append(_asked_about(graph, nodes, questions))
+            continue
+        for question_id, filters, edge in questions:
+            ids = nodes.filter(matches(filters)).select("id").orderBy("id").limit(limit) if label == "Extraction" else related_ids(graph, label, filters, edge, limit)
+            found.append(ids.select(F.lit(question_id).alias("question_id"), "id"))
     return reduce(DataFrame.unionByName, found)
 
 
+def _asked_about(graph: AuditGraph, nodes: DataFrame, questions: Sequence[tuple]) -> DataFrame:
+    """(question_id, id) for the questions (id, filters, relationship or None) on one table of nodes."""
+    met = lambda some: F.array_compact(F.array(*[F.when(matches(filters), F.lit(q)) for q, filters, _ in some])) if some else F.array().cast("array<int>")
+    free, tied = [q for q in questions if not q[2]], [q for q in questions if q[2]]
+    marked = nodes.select("id", met(free).alias("free"), met(tied).alias("tied"))
+    if not tied:
+        return marked.select(F.explode("free").alias("question_id"), "id")
+    ends = reduce(DataFrame.unionByName, [edge_ends(graph, edge).select("id", F.lit(q).alias("question_id")) for q, _, edge in tied])
+    linked = ends.groupBy("id").agg(F.collect_set("question_id").alias("linked"))  # at most one entry a question
+    both = F.concat("free", F.array_intersect("tied", F.coalesce("linked", F.array().cast("array<int>"))))
+    return marked.join(linked, "id", "left").select(F.explode(both).alias("question_id"), "id")
+
+
 def entity_scores(questions: DataFrame, expected: DataFrame, retrieved: DataFrame) -> DataFrame:
     """Precision, recall, F1 per question, and count accuracy of aggregation questions."""
     sides = (expected.select("question_id", "id", F.lit(1).alias("side"))

@@ -144,20 +144,24 @@ def related_ids(graph: AuditGraph, label: str, filters: Mapping[str, object] | N
     """Distinct ids of a label with the filters and, if given, an edge of a type / direction / target."""
     nodes = graph.node(label).filter(matches(filters)).select("id")
     if relationship:
-        edges = all_edges(graph, relationship["type"])
-        target, direction = relationship.get("target_label"), relationship.get("direction", "both")
-        ends = []
-        if direction in ("out", "both"):
-            out = edges.filter(F.col("dst_label") == target) if target else edges
-            ends.append(out.select(F.col("src").alias("id")))
-        if direction in ("in", "both"):
-            into = edges.filter(F.col("src_label") == target) if target else edges
-            ends.append(into.select(F.col("dst").alias("id")))
-        linked = ends[0] if len(ends) == 1 else ends[0].unionByName(ends[1])
-        nodes = nodes.join(linked.distinct(), "id", "left_semi")
+        nodes = nodes.join(edge_ends(graph, relationship).distinct(), "id", "left_semi")
     return nodes if limit is None else nodes.orderBy("id").limit(limit)
 
 
+def edge_ends(graph: AuditGraph, relationship: Mapping[str, str]) -> DataFrame:
+    """Ids at the asking end of the edges of a type / direction / target, once per edge."""
+    edges = all_edges(graph, relationship["type"])
+    target, direction = relationship.get("target_label"), relationship.get("direction", "both")
+    ends = []
+    if direction in ("out", "both"):
+        out = edges.filter(F.col("dst_label") == target) if target else edges
+        ends.append(out.select(F.col("src").alias("id")))
+    if direction in ("in", "both"):
+        into = edges.filter(F.col("src_label") == target) if target else edges
+        ends.append(into.select(F.col("dst").alias("id")))
+    return ends[0] if len(ends) == 1 else ends[0].unionByName(ends[1])
+
+
 def all_edges(graph: AuditGraph, rel_type: str) -> DataFrame:
     """Edges of a type, with the provenance edges derived from the extraction table."""
     ext = graph.extractions
