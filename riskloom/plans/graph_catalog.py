@@ -12,6 +12,7 @@ from riskloom.operators import adjacency as adj
 from riskloom.operators import classify as cl
 from riskloom.operators import graph_store as gs
 from riskloom.operators import ingest as ing
+from riskloom.operators import keyed_table as kt
 from riskloom.operators import patterns as pt
 from riskloom.operators import records as rec
 from riskloom.operators import vector_index as vix
@@ -92,6 +93,26 @@ def upserted_chunks(graph: AuditGraph) -> DataFrame:
         "id", "document_id", F.col("tokens").cast("bigint").alias("tokens"), "is_oversized")
 
 
+def keyed_chunks(graph: AuditGraph) -> DataFrame:
+    """The same upsert on a stored table in buckets of the key."""
+    stored = kt.KeyedTable(graph.spark, shared_path(graph.spark, "chunks"), "id string, document_id string, tokens bigint, is_oversized boolean")
+    as_stored = lambda df: df.select("id", "document_id", F.col("tokens").cast("bigint").alias("tokens"), "is_oversized")
+    stored.upsert(as_stored(graph.chunks))
+    stored.upsert(as_stored(new_chunks(graph)))
+    return stored.rows()
+
+
+def keyed_failure_modes(graph: AuditGraph) -> DataFrame:
+    """Stored failure modes after those without an RPN were graded and the mildest deleted."""
+    modes = graph.node("FailureMode")
+    stored = kt.KeyedTable(graph.spark, shared_path(graph.spark, "failure-modes"), "id string, description string, rpn bigint")
+    stored.upsert(modes.select("id", "description", F.col("rpn").cast("bigint").alias("rpn")))
+    stored.update(modes.filter("rpn is null").select(
+        "id", (F.col("severity") * F.col("occurrence") * F.col("detection")).cast("bigint").alias("rpn")))
+    stored.delete(modes.filter("severity = 1").select("id"))
+    return stored.rows()
+
+
 def fmea_documents(graph: AuditGraph) -> DataFrame:
     return graph.node("Document").filter("document_type = 'fmea'").select(F.col("id").alias("document_id"))
 
@@ -306,6 +327,7 @@ QUERIES: dict[str, Query] = {
     "s07_created_records": on_ingestion(created_records),
     "s08_entity_with_provenance": on_graph(line_range_text),
     "s09_update_entities": on_graph(updated_failure_modes),
+    "s09_keyed_changes": on_graph(keyed_failure_modes),
     "s10_delete_entities": on_graph(remaining_after_delete),
     "s11_create_relationships": on_graph(lambda g: rec.create_relationships(g, relationship_candidates(g), ["Control"], ["Risk"]).select(
         "src", "dst", "rel_type", "src_label", "dst_label", "confidence", "extraction_id")),
@@ -315,6 +337,7 @@ QUERIES: dict[str, Query] = {
     "s13_get_relationships": on_graph(lambda g: rec.get_relationships(g, critical_risks(g)).select(
         "id", "src", "dst", "rel_type", "direction")),
     "s14_upsert_chunks": on_graph(upserted_chunks),
+    "s14_keyed_upsert": on_graph(keyed_chunks),
     "s15_delete_chunks": on_graph(lambda g: rec.delete_by_document(g.chunks, fmea_documents(g)).select("id", "document_id")),
     "s16_scan_chunks": on_graph(lambda g: g.chunks.select(
         "id", "document_id", F.size("embedding").cast("bigint").alias("dimensions"), F.length("chunk_text").cast("bigint").alias("chars"))),

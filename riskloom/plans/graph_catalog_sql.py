@@ -217,6 +217,8 @@ ORACLES: dict[str, str] = {
         SELECT id, CASE WHEN rpn IS NULL AND severity > 5 THEN 'graded' ELSE description END AS description,
           CAST(coalesce(rpn, severity * occurrence * detection) AS BIGINT) AS rpn,
           CASE WHEN rpn IS NULL THEN TIMESTAMP '2025-01-01' ELSE created_at END AS updated_at FROM failure_mode"""),
+    "s09_keyed_changes": with_graph("""
+        SELECT id, description, CAST(coalesce(rpn, severity * occurrence * detection) AS BIGINT) AS rpn FROM failure_mode WHERE severity IS DISTINCT FROM 1"""),
     "s10_delete_entities": with_graph("""
         SELECT 'Risk' AS what, count(*) AS remaining FROM risk WHERE level <> 'LOW'
         UNION ALL SELECT rel_type, count(*) FROM edge LEFT JOIN risk ON risk.id = edge.dst
@@ -230,6 +232,9 @@ ORACLES: dict[str, str] = {
     "s14_upsert_chunks": with_graph("""
         SELECT id, document_id, CAST(least(tokens, 800) AS BIGINT) AS tokens, false AS is_oversized FROM chunk
         UNION ALL SELECT 'new-' || document_id, document_id, tokens, is_oversized FROM chunk WHERE chunk_index = 0"""),
+    "s14_keyed_upsert": with_graph("""
+        SELECT id, document_id, CAST(least(tokens, 800) AS BIGINT) AS tokens, false AS is_oversized FROM chunk
+        UNION ALL SELECT 'new-' || document_id, document_id, tokens, is_oversized FROM chunk WHERE chunk_index = 0"""),
     "s15_delete_chunks": with_graph("""
         SELECT id, document_id FROM chunk WHERE document_id NOT IN (SELECT id FROM document WHERE document_type = 'fmea')"""),
     "s16_scan_chunks": with_graph("SELECT id, document_id, len(embedding) AS dimensions, length(chunk_text) AS chars FROM chunk"),
