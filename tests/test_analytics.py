@@ -108,3 +108,13 @@ def test_diagnostics(tiny):
     assert (summary["failure_modes"], summary["high_risks"], summary["controls"], summary["findings"]) == (2, 1, 2, 1)
     assert one(dx.audit_summary(tiny, all_findings=True))["findings"] == 2
     assert table(dx.audit_relationship_stats(tiny)) == {("a1", "2->2", "2->2")}
+
+
+def test_network_counts_read_each_route_once(spark):
+    """One pass over the memberships for the links of entities, no second join of them for those of documents; rows that are distinct already are not made so again."""
+    graph = load_graph(spark, "/root/testdata/sf0.001")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    reads = lambda df: plan(df).count("Relation [l_orderkey")
+    assert reads(xd.entity_links(graph)) == reads(xd.shared_memberships(graph))
+    assert "LeftOuter" not in plan(xd.document_connections(graph))
+    assert plan(xd.extracted(graph)).count("Aggregate") == 3  # one for each kind of entity
