@@ -59,8 +59,8 @@ def retrieve_by_words(chunks: DataFrame, questions: DataFrame, k: int = 5) -> Da
     ``chunks``: document_id, chunk_id, text and any other columns. All chunks of a document compete; a chunk that shares no
     word is not retrieved, ties go to the lower chunk_id. Words meet by (document, word), texts join the k winners only.
     """
-    facts = questions.select("question_id", "document_id", F.explode("expected_facts").alias("fact")).select(
-        "question_id", "document_id", F.explode(_words(F.col("fact"))).alias("word")).distinct()
+    # Dealt once, as the join needs it; repeated questions are made one where they already lie.
+    facts = questions.select("question_id", "document_id", F.explode(_fact_words()).alias("word")).repartition("document_id", "word").distinct()
     found = chunks.select("document_id", "chunk_id", F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
     shared = facts.join(found, ["document_id", "word"]).groupBy("question_id", "document_id", "chunk_id").agg(F.count(F.lit(1)).alias("shared"))
     best = Window.partitionBy("question_id").orderBy(F.desc("shared"), "chunk_id")
@@ -79,21 +79,24 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda w: F.length(w) > 2)
 
 
+def _fact_words() -> Column:
+    """The distinct words of a question's facts."""
+    return F.array_distinct(_words(F.array_join("expected_facts", " ")))
+
+
 def token_overlap(results: DataFrame, questions: DataFrame) -> DataFrame:
     """Shared over all distinct words of a question's facts and its retrieved chunks; 0 without fact words.
 
-    Words are compared as rows, so neither side of a question has to fit in one value.
+    A question's facts are one value as they come, and stay so: its distinct words meet those of its retrieved chunks, of
+    which there are as many as were asked for, in one row instead of a row a word.
     """
-    facts = questions.select("question_id", F.explode("expected_facts").alias("fact")).select(
-        "question_id", F.explode(_words(F.col("fact"))).alias("word"), F.lit(1).alias("side"))
-    found = results.select("question_id", F.explode(_words(F.col("text"))).alias("word"), F.lit(2).alias("side"))
-    per_word = facts.unionByName(found).groupBy("question_id", "word").agg(F.bit_or("side").alias("sides"))
-    per_question = per_word.groupBy("question_id").agg(
-        F.sum((F.col("sides") == 3).cast("int")).alias("shared"), F.sum((F.col("sides") != 2).cast("int")).alias("facts"),
-        F.count(F.lit(1)).alias("all"))
-    iou = F.when(F.col("facts") > 0, F.col("shared") / F.col("all")).otherwise(0.0)
-    return questions.select("question_id").join(per_question, "question_id", "left").select(
-        "question_id", F.coalesce(iou, F.lit(0.0)).alias("token_iou"))
+    found = (results.select("question_id", F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
+             .groupBy("question_id").agg(F.collect_set("word").alias("found")))
+    rows = questions.select("question_id", F.coalesce(_fact_words(), F.array().cast("array<string>")).alias("facts")).join(found, "question_id", "left")
+    rows = rows.withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
+    rows = rows.withColumn("shared", F.size(F.array_intersect("facts", "found")))
+    iou = F.when(F.size("facts") > 0, F.col("shared") / (F.size("facts") + F.size("found") - F.col("shared"))).otherwise(0.0)
+    return rows.select("question_id", iou.alias("token_iou"))
 
 
 def score_questions(results: DataFrame, questions: DataFrame) -> DataFrame:
