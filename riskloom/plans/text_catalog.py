@@ -14,7 +14,7 @@ from riskloom.functions.text import locate_lines
 from riskloom.operators import chunk as ch
 from riskloom.operators import segment as sg
 from riskloom.plans.analytics_catalog import Query
-from riskloom.plans.graph_catalog import workbook_texts
+from riskloom.plans.graph_catalog import workbook_text, workbook_texts
 from riskloom.sources.star_schema import read_texts
 
 VOWEL_LINE = r"\n([AEIOU])"
@@ -51,13 +51,12 @@ def markdown_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def typed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, one of the six types each, with the marks of their type."""
+    """All documents, one of the six types each, with the marks of their type, made in their rows."""
     kind = F.element_at(F.array(*[F.lit(t) for t in schemas.DOCUMENT_TYPES]), (F.col("doc_id") % 6 + 1).cast("int"))
-    sheet = workbook_texts(spark, sf_dir).select("doc_id", F.col("text").alias("sheet"))
-    text = F.when(kind == "fmea", F.col("sheet"))
+    text = F.when(kind == "fmea", workbook_text())
     for name, (head, mark) in MARKS.items():
         text = text.when(kind == name, F.concat(filled(head), F.regexp_replace("text", VOWEL_LINE, mark)))
-    return read_texts(spark, sf_dir).join(sheet, "doc_id").select(
+    return read_texts(spark, sf_dir).select(
         F.col("doc_id").cast("string").alias("document_id"), kind.alias("document_type"),
         text.otherwise(F.col("text")).alias("text"))
 
