@@ -255,7 +255,7 @@ def expected_entities(graph: AuditGraph, limit: int | None = None) -> DataFrame:
     for label, questions in asked.items():
         nodes = graph.extractions if label == "Extraction" else graph.node(label)
         if limit is None:
-            found.append(_asked_about(graph, nodes, questions))
+            found.append(_asked_about(graph, label, nodes, questions))
             continue
         for question_id, filters, edge in questions:
             ids = nodes.filter(matches(filters)).select("id").orderBy("id").limit(limit) if label == "Extraction" else related_ids(graph, label, filters, edge, limit)
@@ -263,14 +263,14 @@ def expected_entities(graph: AuditGraph, limit: int | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def _asked_about(graph: AuditGraph, nodes: DataFrame, questions: Sequence[tuple]) -> DataFrame:
-    """(question_id, id) for the questions (id, filters, relationship or None) on one table of nodes."""
+def _asked_about(graph: AuditGraph, label: str, nodes: DataFrame, questions: Sequence[tuple]) -> DataFrame:
+    """(question_id, id) for the questions (id, filters, relationship or None) on the table of nodes of a label."""
     met = lambda some: F.array_compact(F.array(*[F.when(matches(filters), F.lit(q)) for q, filters, _ in some])) if some else F.array().cast("array<int>")
     free, tied = [q for q in questions if not q[2]], [q for q in questions if q[2]]
     marked = nodes.select("id", met(free).alias("free"), met(tied).alias("tied"))
     if not tied:
         return marked.select(F.explode("free").alias("question_id"), "id")
-    ends = reduce(DataFrame.unionByName, [edge_ends(graph, edge).select("id", F.lit(q).alias("question_id")) for q, _, edge in tied])
+    ends = reduce(DataFrame.unionByName, [edge_ends(graph, edge, label).select("id", F.lit(q).alias("question_id")) for q, _, edge in tied])
     linked = ends.groupBy("id").agg(F.collect_set("question_id").alias("linked"))  # at most one entry a question
     both = F.concat("free", F.array_intersect("tied", F.coalesce("linked", F.array().cast("array<int>"))))
     return marked.join(linked, "id", "left").select(F.explode(both).alias("question_id"), "id")

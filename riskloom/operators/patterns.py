@@ -51,10 +51,11 @@ def entities_by_ids(graph: AuditGraph, ids: DataFrame | Sequence[str]) -> DataFr
     return graph.entities().filter(F.col("id").isin(list(ids))).select("id", "type")
 
 
-def hops(graph: AuditGraph, rel_types: Sequence[str] = (), direction: str = "both", also: Sequence[str] = ()) -> DataFrame:
+def hops(graph: AuditGraph, rel_types: Sequence[str] = (), direction: str = "both", also: Sequence[str] = (),
+         ids: Sequence[str] | None = None) -> DataFrame:
     """Edges seen from a node: (id, neighbour_id, neighbour_type, rel_type, src, dst, direction) and ``also`` columns of the edge.
 
-    Both directions come from one scan of the edges.
+    Both directions come from one scan of the edges. With ``ids``, a few given ones, only what is seen from these nodes.
     """
     views = {
         "out": F.struct(F.col("src").alias("id"), F.col("dst").alias("neighbour_id"), F.col("dst_label").alias("neighbour_type"),
@@ -63,8 +64,12 @@ def hops(graph: AuditGraph, rel_types: Sequence[str] = (), direction: str = "bot
                        F.lit("in").alias("direction")),
     }
     chosen = list(views.values()) if direction == "both" else [views[direction]]
-    return graph.edges(*rel_types).select("src", "dst", "rel_type", *also, F.inline(F.array(*chosen))).select(
+    edges = graph.edges(*rel_types)
+    if ids is not None:
+        edges = edges.filter(F.col("src").isin(*ids) | F.col("dst").isin(*ids))
+    seen = edges.select("src", "dst", "rel_type", *also, F.inline(F.array(*chosen))).select(
         "id", "neighbour_id", "neighbour_type", "rel_type", "src", "dst", "direction", *also)
+    return seen if ids is None else seen.filter(F.col("id").isin(*ids))
 
 
 def expand_relationships(graph: AuditGraph, seeds: DataFrame, rel_types: Sequence[str] = (),
@@ -144,20 +149,25 @@ def related_ids(graph: AuditGraph, label: str, filters: Mapping[str, object] | N
     """Distinct ids of a label with the filters and, if given, an edge of a type / direction / target."""
     nodes = graph.node(label).filter(matches(filters)).select("id")
     if relationship:
-        nodes = nodes.join(edge_ends(graph, relationship).distinct(), "id", "left_semi")
+        nodes = nodes.join(edge_ends(graph, relationship, label).distinct(), "id", "left_semi")
     return nodes if limit is None else nodes.orderBy("id").limit(limit)
 
 
-def edge_ends(graph: AuditGraph, relationship: Mapping[str, str]) -> DataFrame:
-    """Ids at the asking end of the edges of a type / direction / target, once per edge."""
+def edge_ends(graph: AuditGraph, relationship: Mapping[str, str], label: str | None = None) -> DataFrame:
+    """Ids at the asking end of the edges of a type / direction / target, once per edge.
+
+    With the ``label`` that asks, of edges that have it at that end only: kinds of edges that never do are not read.
+    """
     edges = all_edges(graph, relationship["type"])
     target, direction = relationship.get("target_label"), relationship.get("direction", "both")
     ends = []
     if direction in ("out", "both"):
         out = edges.filter(F.col("dst_label") == target) if target else edges
+        out = out.filter(F.col("src_label") == label) if label else out
         ends.append(out.select(F.col("src").alias("id")))
     if direction in ("in", "both"):
         into = edges.filter(F.col("src_label") == target) if target else edges
+        into = into.filter(F.col("dst_label") == label) if label else into
         ends.append(into.select(F.col("dst").alias("id")))
     return ends[0] if len(ends) == 1 else ends[0].unionByName(ends[1])
 

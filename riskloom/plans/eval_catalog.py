@@ -131,9 +131,13 @@ def question_hits(graph: AuditGraph) -> DataFrame:
 
 
 def retrieved_entities(graph: AuditGraph, hits: DataFrame) -> DataFrame:
-    """Owners of each question's nearest chunks and their direct neighbours."""
+    """Owners of each question's nearest chunks and their direct neighbours.
+
+    The owners are few, TOP_K a question at most: as values they reach the scans, below the steps that make edges distinct.
+    """
     owners = hits.select("question_id", F.col("graph_node_id").alias("id")).distinct()
-    near = owners.join(hops(graph).select("id", "neighbour_id"), "id").select("question_id", F.col("neighbour_id").alias("id"))
+    ids = [r.id for r in owners.filter("id is not null").select("id").distinct().collect()]
+    near = owners.join(hops(graph, ids=ids).select("id", "neighbour_id"), "id").select("question_id", F.col("neighbour_id").alias("id"))
     return owners.unionByName(near).distinct()
 
 

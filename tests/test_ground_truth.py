@@ -1,5 +1,7 @@
 from riskloom.operators import evaluate as ev
+from riskloom.operators.patterns import edge_ends, hops
 from riskloom.sources.ground_truth import GROUND_TRUTH
+from riskloom.sources.star_schema import load_graph
 from tests.conftest import table
 
 
@@ -17,3 +19,27 @@ def test_labels_are_read_once(tiny):
     labels = {row[2] for row in GROUND_TRUTH}
     plan = ev.expected_entities(tiny)._jdf.queryExecution().analyzed().toString()
     assert plan.count("explode(") <= len(labels)
+
+
+def test_only_edges_that_can_answer_are_read(tiny):
+    # A requirement is at neither end of a provenance edge, so question 4 reads none: the extractions are read for question 20 alone.
+    asked = {row[0]: row for row in GROUND_TRUTH}[4]
+    edge = {"type": asked[4][0], "direction": asked[4][1], "target_label": asked[4][2]}
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation <empty>" in plan(edge_ends(tiny, edge, "Requirement")) and edge_ends(tiny, edge, "Extraction").count() > 0
+    ends = edge_ends(tiny, {"type": "MITIGATES", "direction": "in", "target_label": "Control"}, "FailureMode")
+    assert {r.id for r in ends.collect()} == {r.dst for r in tiny.edge("MITIGATES").collect() if r.dst_label == "FailureMode" and r.src_label == "Control"}
+
+
+def test_hops_of_given_nodes(tiny):
+    every = hops(tiny).select("id", "neighbour_id", "rel_type", "direction")
+    for ids in (["d1", "c1"], ["fm1", "none"], []):
+        found = hops(tiny, ids=ids).select("id", "neighbour_id", "rel_type", "direction")
+        assert sorted(map(tuple, found.collect())) == sorted(tuple(r) for r in every.collect() if r.id in ids)
+
+
+def test_given_ids_reach_the_scans(spark):
+    """The line items are narrowed before their pairs are made distinct."""
+    graph = load_graph(spark, "/root/testdata/sf0.001")
+    plan = hops(graph, ["IDENTIFIES"], ids=["doc-1", "doc-2"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.rindex("Filter") and "doc-" in plan[plan.rindex("Filter"):]
