@@ -1,7 +1,8 @@
 """Exact top-k inner-product search by tiles.
 
 Vectors are packed into shards, queries into blocks. Each tile (one block of queries, one shard) is one matrix product; the
-best k per query are selected inside the tile, and the lists of the tiles are merged in a tree.
+best k per query are selected inside the tile, and the lists of the tiles are merged in a tree, first those of a task. Tiles are
+made where shards and blocks are read: neither is shuffled.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ K = 20
 #: Vectors of a shard, queries of a block, and tiles whose lists are merged at once.
 SHARD_ROWS, QUERY_ROWS, FAN_IN = 4096, 1024, 32
 SCALE = 64
+#: The least score there is.
+LOWEST = -(2 ** 63) + 1
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
@@ -44,19 +47,29 @@ def _matrix(data: bytes, dim: int) -> np.ndarray:
     return np.frombuffer(data, np.float64).reshape(-1, dim)
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and cells, the components as packed doubles. Rows with a null id, a null or empty vector, or a null or
-    non-finite component take no part."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = [np.array(v, np.float64).tobytes() for v in batch.column("v").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(cells, pa.binary())], ["vec_id", "cells"])
-
+def _finite(vectors: DataFrame) -> DataFrame:
+    """vec_id and v, the components as doubles. Rows with a null id, a null or empty vector, or a null or non-finite component
+    take no part."""
     v = F.col("v")
     plain = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
-    held = plain.where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size("v") > 0) & F.forall(
+    return plain.where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size("v") > 0) & F.forall(
         v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    return held.mapInArrow(run, "vec_id long, cells binary")
+
+
+def _packed(vectors: DataFrame) -> DataFrame:
+    """vec_id and cells, the components as packed doubles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column("v")
+            parts = np.split(v.flatten().to_numpy(), np.diff(v.offsets.to_numpy()).cumsum()[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([x.tobytes() for x in parts[:len(v)]], pa.binary())], ["vec_id", "cells"])
+
+    return vectors.mapInArrow(run, "vec_id long, cells binary")
+
+
+def usable(vectors: DataFrame) -> DataFrame:
+    """vec_id and cells, the components as packed doubles, of the rows that take part."""
+    return _packed(_finite(vectors))
 
 
 def _whole(x: float, scale: int) -> int:
@@ -65,16 +78,17 @@ def _whole(x: float, scale: int) -> int:
 
 
 def _scores(queries: np.ndarray, shard: np.ndarray, scale: int) -> np.ndarray:
-    """Exact integer products of floor(scale * x): by doubles while every sum stays below 2**53, else by Python's integers. A
-    score beyond 64 bits counts as the nearest that fits."""
+    """Exact integer products of floor(scale * x): by floats while every sum stays below 2**24, by doubles below 2**53, else by
+    Python's integers. A score beyond 64 bits counts as the nearest that fits."""
     with np.errstate(over="ignore", invalid="ignore"):
         q, s = np.floor(scale * queries), np.floor(scale * shard)
         bound = np.abs(q).max(initial=0) * np.abs(s).max(initial=0) * queries.shape[1]
     if bound < 2.0 ** 53:
-        return (q @ s.T).astype(np.int64)
+        kind = np.float32 if bound < 2.0 ** 24 else np.float64
+        return q.astype(kind) @ s.astype(kind).T
     whole = lambda m: np.array([[_whole(x, scale) for x in row] for row in m.tolist()], object).reshape(m.shape)
     exact = whole(queries) @ whole(shard).T
-    return np.clip(exact, -(2 ** 63) + 1, 2 ** 63 - 1).astype(np.int64)
+    return np.clip(exact, LOWEST, 2 ** 63 - 1).astype(np.int64)
 
 
 def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +103,46 @@ def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(above | (ties & (np.cumsum(ties, 1) <= room)))
 
 
+def _reached(scores: np.ndarray, k: int) -> np.ndarray:
+    """A score that k columns of each row reach: the k-th highest of the maxima of groups of columns."""
+    n = scores.shape[1]
+    groups = min(n, 8 * k)
+    if groups < k:
+        return np.full(len(scores), LOWEST)
+    tops = scores[:, :n - n % groups].reshape(len(scores), -1, groups).max(1)
+    return np.partition(tops, groups - k, axis=1)[:, groups - k]
+
+
+class _Lists:
+    """The k best of every query of a block over the tiles of a task, as columns: query, score, vec_id, shard, at."""
+
+    def __init__(self, n_queries: int, k: int) -> None:
+        self.k, self.floor = k, np.full(n_queries, LOWEST)
+        self.columns = [np.zeros(0, np.int64)] * 5
+
+    def add(self, scores: np.ndarray, ids: np.ndarray, shard: int, at: np.ndarray) -> None:
+        """Merges a tile. Only scores that a full list does not exceed are looked at, and the k best of a row with many of them."""
+        least = self.floor.astype(scores.dtype)
+        if (self.floor == LOWEST).any():
+            least = np.maximum(least, _reached(scores, self.k).astype(scores.dtype))
+        chosen = scores >= least[:, None]
+        many = np.flatnonzero(np.count_nonzero(chosen, axis=1) > 4 * self.k)
+        if len(many):
+            row, column = _best(scores[many], self.k)
+            chosen[many] = False
+            chosen[many[row], column] = True
+        q, c = np.divmod(np.flatnonzero(chosen), scores.shape[1])
+        if not len(q):
+            return
+        tile = (q, scores[q, c].astype(np.int64), ids[c], np.full(len(q), shard), at[c])
+        query, score, vec_id, shards, places = merged = [np.concatenate(x) for x in zip(self.columns, tile, strict=True)]
+        order = np.lexsort((places, shards, vec_id, -score, query))
+        query, score = query[order], score[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        self.columns = [x[order[rank < self.k]] for x in merged]
+        self.floor[query[rank == self.k - 1]] = score[rank == self.k - 1]
+
+
 def search(vectors: DataFrame, k: int = K, every: int = 20, scale: int = SCALE) -> DataFrame:
     """Each query's k highest scores: query_id, rank (from 1), vec_id, score.
 
@@ -96,8 +150,9 @@ def search(vectors: DataFrame, k: int = K, every: int = 20, scale: int = SCALE)
     row. Scores are held to 64 bits, ties go to the smaller vec_id. A repeated id is another row: it is a candidate of its twin, and each row with the
     id of a query is a query. Fewer candidates give shorter lists; an empty table gives none. Other columns are not read.
     """
-    rows = usable(vectors)
-    n = rows.count()
+    finite = _finite(vectors)
+    n, n_queries = finite.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0)).first()
+    rows = _packed(finite)
     shards = max(1, math.ceil(n / SHARD_ROWS))
     listed = lambda names: ", ".join(f"{c} array<bigint>" for c in names)
     table_of = staged(rows.repartition(shards).mapInArrow(lambda b: _blocks(b, ("vec_id",)),
@@ -113,36 +168,38 @@ def search(vectors: DataFrame, k: int = K, every: int = 20, scale: int = SCALE)
                      pa.array([matrix[i].tobytes() for i in at], pa.binary())], ["own_block", "own_at", "query_id", "cells"])
 
     queries = table_of.mapInArrow(chosen, "own_block long, own_at long, query_id long, cells binary")
-    blocks = max(1, math.ceil(queries.count() / QUERY_ROWS))
+    blocks = max(1, math.ceil(n_queries / QUERY_ROWS))
     names = ("own_block", "own_at", "query_id")
     query_blocks = staged(queries.repartition(blocks).mapInArrow(lambda b: _blocks(b, names),
                                                                  f"block int, dim int, {listed(names)}, cells binary"), "topk-queries")
 
-    # Every block of queries meets every shard once: both sides are dealt out by tile.
-    left = table_of.select(F.col("block").alias("shard"), "dim", "vec_id", F.col("cells").alias("shard_cells"),
-                           F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("query_block"))
-    right = query_blocks.select(F.col("block").alias("query_block"), "dim", *names, F.col("cells").alias("query_cells"),
-                                F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    # Every block of queries meets every shard once, without a shuffle; vectors of another length are passed over in the task.
+    left = table_of.select(F.col("block").alias("shard"), "dim", "vec_id", F.col("cells").alias("shard_cells"))
+    right = query_blocks.select(F.col("block").alias("query_block"), F.col("dim").alias("query_dim"), *names, F.col("cells").alias("query_cells"))
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int], tuple[_Lists, np.ndarray, np.ndarray]] = {}
+        columns = ("shard", "dim", "vec_id", "shard_cells", "query_block", "query_dim", *names, "query_cells")
         for batch in batches:
-            for shard, dim, ids, cells, own_block, own_at, query_id, query_cells in zip(
-                    *(batch.column(c).to_pylist() for c in ("shard", "dim", "vec_id", "shard_cells", *names, "query_cells")), strict=True):
-                ids = np.array(ids, np.int64)
+            for row in range(batch.num_rows):
+                shard, dim, ids, cells, block, query_dim, own_block, own_at, query_id, query_cells = (batch.column(c)[row] for c in columns)
+                shard, dim, block = shard.as_py(), dim.as_py(), block.as_py()
+                if dim != query_dim.as_py():
+                    continue
+                ids, own_block, own_at, query_id = (x.values.to_numpy() for x in (ids, own_block, own_at, query_id))
                 order = np.argsort(ids, kind="stable")
-                own_block, own_at, query_id = (np.array(x, np.int64) for x in (own_block, own_at, query_id))
-                scores = _scores(_matrix(query_cells, dim), _matrix(cells, dim)[order], scale)
+                scores = _scores(_matrix(query_cells.as_buffer(), dim), _matrix(cells.as_buffer(), dim)[order], scale)
                 here = own_block == shard
-                scores[np.flatnonzero(here), np.argsort(order)[own_at[here]]] = np.iinfo(np.int64).min
-                q, c = _best(scores, k)
-                found = scores[q, c]
-                q, c, found = (x[found > np.iinfo(np.int64).min] for x in (q, c, found))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own_block[q] << 32 | own_at[q]), pa.array(query_id[q]), pa.array(np.full(len(q), shard, np.int32)),
-                     pa.array(ids[order][c]), pa.array(order[c]), pa.array(found)], ["query", "query_id", "shard", "vec_id", "at", "score"])
-
-    lists = left.join(right, ["query_block", "shard", "dim"]).mapInArrow(
-        tile, "query long, query_id long, shard int, vec_id long, at long, score long")
+                scores[np.flatnonzero(here), np.argsort(order)[own_at[here]]] = -np.inf if scores.dtype.kind == "f" else LOWEST - 1
+                if (block, dim) not in best:
+                    best[block, dim] = _Lists(len(query_id), k), own_block << 32 | own_at, query_id.copy()
+                best[block, dim][0].add(scores, ids[order], shard, order)
+        for lists, query, query_id in best.values():
+            q, score, vec_id, shard, at = lists.columns
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (query[q], query_id[q], shard.astype(np.int32), vec_id, at, score)], ["query", "query_id", "shard", "vec_id", "at", "score"])
+
+    lists = left.crossJoin(right).mapInArrow(tile, "query long, query_id long, shard int, vec_id long, at long, score long")
     order = (F.desc("score"), "vec_id", "shard", "at")
     width = FAN_IN
     while width < shards:  # a merge takes lists of at most FAN_IN tiles

@@ -49,3 +49,15 @@ def test_query_matches_sql(spark):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
     assert sorted(map(tuple, topk.op4_exact_topk(spark, SF).collect())) == sorted(db.execute(topk.ORACLE).fetchall())
+
+
+def test_many_equal_scores_and_lists_merged_in_a_task(spark, monkeypatch):
+    rows = [(i % 90, [float(i % 3), 1.0] if i % 7 else [1e7, float(i)]) for i in range(400)] + [(i, [0.5, 0.25, float(i % 2)]) for i in range(40)]
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, label int, score string")
+    monkeypatch.setattr(topk, "SHARD_ROWS", 60)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 5)
+    found = topk.search(df, 5)
+    assert Counter(map(tuple, found.collect())) == brute(rows, 5)
+    # Shards and blocks meet where they are read: nothing but the lists is dealt out.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "cells" not in "".join(line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
