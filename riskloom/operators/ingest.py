@@ -357,6 +357,11 @@ def entity_references(resolved: DataFrame) -> DataFrame:
             .agg(F.max_by("entity_id", "ordinal").alias("entity_id"), F.max("entity_type").alias("entity_type")))
 
 
+def between_entities(relationships: DataFrame) -> DataFrame:
+    """Relationships of a known type that refer to no document."""
+    return relationships.filter(~_is_document("from_ref") & ~_is_document("to_ref") & F.col("rel_type").isin(*schemas.RELATIONSHIP_TYPES))
+
+
 def resolve_relationships(relationships: DataFrame, references: DataFrame) -> DataFrame:
     """Relationships between entity ids; unresolved or unknown ones and document references drop out.
 
@@ -365,7 +370,7 @@ def resolve_relationships(relationships: DataFrame, references: DataFrame) -> Da
     """
     refs = references.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct(
         "ref", F.struct("entity_id", "entity_type")))).alias("refs"))
-    rows = relationships.drop("refs").filter(~_is_document("from_ref") & ~_is_document("to_ref") & F.col("rel_type").isin(*schemas.RELATIONSHIP_TYPES))
+    rows = between_entities(relationships.drop("refs"))
     ends = rows.join(refs, "document_id").withColumns({"from": F.col("refs")[F.col("from_ref")], "to": F.col("refs")[F.col("to_ref")]})
     return ends.filter("from IS NOT NULL AND to IS NOT NULL").select(
         "document_id", F.col("from.entity_id").alias("src"), F.col("to.entity_id").alias("dst"), "rel_type", "confidence", "section", "ordinal",

@@ -93,3 +93,23 @@ def test_purge_and_chunks(spark, tmp_path):
     store.ingest("b3", raw(spark, ("d2", 9, response("B", 1))))
     assert {r.id for r in store.graph().node("Document").collect()} == {"d1", "d2"}
     assert not before - content(store)
+
+
+def test_only_batches_with_known_documents_look_them_up(spark, tmp_path, monkeypatch):
+    store = gs.GraphStore(spark, str(tmp_path / "graph"))
+    calls, resolve = [], gs.GraphStore._resolved_tables
+    monkeypatch.setattr(gs.GraphStore, "_resolved_tables", lambda self, passed, seen, again: calls.append(again) or resolve(self, passed, seen, again))
+    first, other = raw(spark, ("d1", 1, response("A", 5)), ("d2", 2, response("B", 1, section=""))), raw(spark, ("d3", 3, response("A", 6)))
+    store.ingest("b1", first)
+    store.ingest("b2", other)
+    two = content(store)
+    assert calls == [False, False]
+    # Nothing new: no resolution, and only the log and the failed document are written.
+    store.ingest("b3", first)
+    assert calls == [False, False] and content(store) == two and set(store.batches()[-1][2]) == {"log", "nodes/Document"}
+    # One document of two is known: what the other brings is added as if it came alone.
+    store.ingest("b4", first.unionByName(raw(spark, ("d4", 4, response("C", 2)))))
+    alone = gs.GraphStore(spark, str(tmp_path / "alone"))
+    for batch, rows in (("b1", first), ("b2", other), ("b4", raw(spark, ("d4", 4, response("C", 2))))):
+        alone.ingest(batch, rows)
+    assert calls[:3] == [False, False, True] and content(store) == content(alone) and content(store) != two
